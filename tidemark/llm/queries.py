@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_langid, op2_kdtree, op4_cube, op6_packing, op10_digest
+from . import op1_langid, op2_kdtree, op4_cube, op5_rabitq, op6_packing, op8_chosen_path, op10_digest
 from .common import Work, documents, semi_reduce
 
 
@@ -29,6 +29,15 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return op5_rabitq.near_links(vectors, "vec_id", "embedding", threshold=0.95, recall=0.999, work=Work(spark, "op5"))
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_chosen_path.similar(documents(spark, sf_dir), width=5, threshold=0.8, recall=0.999, work=Work(spark, "op8"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -83,6 +92,8 @@ def queries() -> dict:
         "op1_language_id": op1_language_id,
         "op2_sharding": op2_sharding,
         "op4_mixing": op4_mixing,
+        "op5_embedding_near_dedup": op5_embedding_near_dedup,
+        "op8_jaccard_join": op8_jaccard_join,
         "op6_packing": op6_packing_query,
         "op10_fingerprints": op10_fingerprints,
     }
