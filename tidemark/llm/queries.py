@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_langid, op2_kdtree, op4_cube, op5_rabitq, op6_packing, op8_chosen_path, op10_digest
+from . import op1_langid, op2_kdtree, op4_cube, op5_rabitq, op6_packing, op7_suffix, op8_chosen_path, op10_digest
 from .common import Work, documents, semi_reduce
 
 
@@ -34,6 +34,13 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_rabitq.near_links(vectors, "vec_id", "embedding", threshold=0.95, recall=0.999, work=Work(spark, "op5"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op7_suffix.repeats(documents(spark, sf_dir), span=50, work=Work(spark, "op7"))
+    return found.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_chosen_path.similar(documents(spark, sf_dir), width=5, threshold=0.8, recall=0.999, work=Work(spark, "op8"))
 
@@ -93,6 +100,7 @@ def queries() -> dict:
         "op2_sharding": op2_sharding,
         "op4_mixing": op4_mixing,
         "op5_embedding_near_dedup": op5_embedding_near_dedup,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_jaccard_join": op8_jaccard_join,
         "op6_packing": op6_packing_query,
         "op10_fingerprints": op10_fingerprints,
