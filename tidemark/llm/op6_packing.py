@@ -11,6 +11,7 @@ cut at window ends; its last, incomplete window is cut into powers of two.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections import defaultdict
 
@@ -21,62 +22,145 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Work, binary_column, slices
+from .words import word_hashes, word_spans
 
-CACHE = 200_000
+CACHE = 1_200_000
+#: Stands between texts; a text that holds it is not plain.
+GAP = "\x1e"
 _tokenizers: dict = {}
 
 
 class Encoder:
     """Token ids of whole texts with a bounded cache of words.
 
-    The tokenizer drops white space, so a text's ids are those of its
-    white-space-separated words in a row.  Texts in which lower case depends on
-    context or on normal form are encoded as they are.
+    The tokenizer drops white space and never merges across it, so a text's ids
+    are those of its words in a row; new words go through the merge model many
+    at a time, already lower case and normal.  Texts for which this is not plain
+    (control characters, not in NFC, lower case that depends on context, special tokens, letters
+    beyond U+2FFF) are encoded as they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
+        bare = json.loads(self.t.to_str()) | {"normalizer": None, "added_tokens": []}
+        self.merges = Tokenizer.from_str(json.dumps(bare | {"pre_tokenizer": {"type": "WhitespaceSplit"}}))
         vocab = self.t.get_vocab()
         self.end = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
             self.end[i] = token.endswith("</w>")
-        self.words: dict[str, bytes] = {}
+        # the characters that byte-level models use for bytes
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        low = [i for i in range(256) if i not in shown]
+        self.shown = np.array([i if i in shown else 256 + low.index(i) for i in range(256)], dtype="<u4")
+        self.shown[32] = 32
+        category = [unicodedata.category(chr(i))[0] for i in range(0x3000)]
+        self.kind = np.array([0 if chr(i).isspace() else 1 if c == "L" else 2 if c == "N" else 3 for i, c in enumerate(category)], np.uint8)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known = np.zeros(0, np.uint64)  # hashes of words, in order
+        self.place = np.zeros(0, np.int64)  # their places in begin and size
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        return np.where(self.known[at] == h, self.place[at], -1)
+
+    def _merge(self, line: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each word of the line ends in them); a word has no white space."""
+        u = np.frombuffer(line.encode("utf-32-le"), "<u4")
+        kind = self.kind[u]
+        cut = np.flatnonzero((kind[1:] != 0) & (kind[:-1] != 0) & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))) + 1
+        last = np.flatnonzero(u == 32)  # one after each word
+        first = np.concatenate([[0], last[:-1] + 1])
+        blank = np.concatenate([[0], np.cumsum((kind != 0) & np.concatenate([[True], (kind[:-1] == 0)]))])  # runs of letters begun
+        parts = blank[last] - blank[first] + np.searchsorted(cut, last) - np.searchsorted(cut, first)
+        u = np.insert(np.where(kind == 0, 32, u).astype("<u4"), cut, 32)
+        shown = self.shown[np.frombuffer(u.tobytes().decode("utf-32-le").encode(), np.uint8)]
+        ids = np.array(self.merges.encode_batch_fast([shown.tobytes().decode("utf-32-le")], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.concatenate([[0], np.flatnonzero(self.end[ids]) + 1])
+        assert len(ends) == parts.sum() + 1
+        return ids, ends[np.cumsum(parts)]
+
+    def _index(self, h: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Places in the cache of distinct words (in order of their hashes), new ones added."""
+        if len(self.known) > CACHE:
+            self._clear()
+        at = self._find(h)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            # words with an apostrophe go through the tokenizer's own pattern, the others are cut where the kind of letter changes
+            quotes = np.concatenate([[0], np.cumsum(raw == 39)])
+            quoted = quotes[end[new]] > quotes[start[new]]
+            new = np.concatenate([new[~quoted], new[quoted]])
+            plain, rest = new[: len(new) - quoted.sum()], new[len(new) - quoted.sum() :]
+            ids, stop = self._merge(_line(raw, start[plain], end[plain])) if len(plain) else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+            more = self._plain(_line(raw, start[rest], end[rest]).split(" ")[:-1]) if len(rest) else []
+            stop = np.concatenate([stop, len(ids) + np.cumsum([len(x) // 4 for x in more], dtype=np.int64)])
+            ids = np.concatenate([ids, np.frombuffer(b"".join(more), "<u4")])
+            begin = np.concatenate([[0], stop[:-1]])
+            at[new] = len(self.begin) + np.arange(len(new))
+            self.begin = np.concatenate([self.begin, begin + len(self.ids)])
+            self.size = np.concatenate([self.size, stop - begin])
+            self.ids = np.concatenate([self.ids, ids])
+            new.sort()
+            where = np.searchsorted(self.known, h[new])
+            self.known, self.place = np.insert(self.known, where, h[new]), np.insert(self.place, where, at[new])
+        return at
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        odd = [i for i, t in enumerate(texts) if not t.isascii() and ("Σ" in t or "İ" in t or not unicodedata.is_normalized("NFC", t)) or "<|" in t]
-        split = [t.lower().split() for t in texts]
+        odd = [i for i, t in enumerate(texts) if not t.isascii() and ("Σ" in t or "İ" in t or not unicodedata.is_normalized("NFC", t)) or "<|" in t or GAP in t]
+        plain = list(texts)
         for i in odd:
-            split[i] = []
-        words = self.words
-        if len(words) > CACHE:
-            words.clear()
-        new = list({w for ws in split for w in ws if w not in words})
-        simple = [w for w in new if w.isalpha()]
-        if simple:
-            ids = np.array(self.t.encode_batch_fast([" ".join(simple)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(self.end[ids]) + 1
-            if len(ends) == len(simple):
-                blob, at = ids.tobytes(), [0, *(ends * 4).tolist()]
-                for w, a, b in zip(simple, at, at[1:]):
-                    words[w] = blob[a:b]
-            else:
-                simple = []
-        if len(simple) < len(new):
-            rest = [w for w in new if w not in words]
-            words.update(zip(rest, self._plain(rest)))
-        get = words.__getitem__
-        out = [b"".join(map(get, ws)) for ws in split]
+            plain[i] = ""
+        raw = np.frombuffer(bytearray(GAP.join(plain).lower().encode()), np.uint8)
+        gaps = np.flatnonzero(raw == ord(GAP))  # between texts alone
+        raw[gaps] = 32
+        at = np.concatenate([[0], gaps + 1, [len(raw)]])
+        # control characters, C1 ones too, and what lies beyond U+2FFF
+        strange = (raw < 32) & ((raw < 9) | (raw > 13)) | (raw == 127) | (raw > 0xE2)
+        strange[:-1] |= (raw[:-1] == 0xC2) & (raw[1:] < 0xA0)
+        start, end, doc = word_spans(raw, at)
+        if strange.any():
+            more = np.unique(np.searchsorted(at, np.flatnonzero(strange), side="right") - 1)
+            odd += more.tolist()
+            keep = ~np.isin(doc, more)
+            start, end, doc = start[keep], end[keep], doc[keep]
+        if len(start):
+            h, first, which = np.unique(word_hashes(raw, start, end), return_index=True, return_inverse=True)
+            index = self._index(h, raw, start[first], end[first])[which]
+            n = self.size[index]
+            upto = np.cumsum(n)
+            ids = self.ids[np.repeat(self.begin[index] - (upto - n), n) + np.arange(upto[-1])]
+            cut = np.concatenate([[0], upto])[np.searchsorted(doc, np.arange(len(texts) + 1), side="left")]
+            out = [ids[a:b].tobytes() for a, b in zip(cut.tolist(), cut[1:].tolist())]
+        else:
+            out = [b""] * len(texts)
         if odd:
             for i, x in zip(odd, self._plain([texts[i] for i in odd])):
                 out[i] = x
         return out
 
 
+def _line(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> str:
+    """The words, each followed by a space."""
+    n = end - start
+    width = n + 1
+    upto, done = np.cumsum(width), np.cumsum(n) - n
+    line = np.full(upto[-1] if len(n) else 0, 32, np.uint8)
+    each = np.arange(n.sum())
+    line[np.repeat(upto - width - done, n) + each] = raw[np.repeat(start - done, n) + each]
+    return line.tobytes().decode()
+
+
 def encoder(path: str) -> Encoder:
     if path not in _tokenizers:
         _tokenizers[path] = Encoder(path)
@@ -173,7 +257,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, window: int, end_id: int) ->
     def run(batches):
         encode, part = encoder(tokenizer_path), TaskContext.get().partitionId()
         seen, full, end = defaultdict(int), 0, np.array([end_id], dtype="<u4").tobytes()
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, 4 << 20):
             ids = [x + end for x in encode(batch.column(1).to_pylist())]
             sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
             rank, before = [], []
