@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_langid, op2_kdtree, op4_cube, op5_rabitq, op6_packing, op7_suffix, op8_chosen_path, op10_digest
+from . import op1_langid, op2_kdtree, op4_cube, op5_rabitq, op6_packing, op7_suffix, op8_chosen_path, op9_debruijn, op10_digest
 from .common import Work, documents, semi_reduce
 
 
@@ -45,6 +45,12 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_chosen_path.similar(documents(spark, sf_dir), width=5, threshold=0.8, recall=0.999, work=Work(spark, "op8"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op9_debruijn.repeats(documents(spark, sf_dir), span=50, work=Work(spark, "op9"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -102,6 +108,7 @@ def queries() -> dict:
         "op5_embedding_near_dedup": op5_embedding_near_dedup,
         "op7_suffix_dedup": op7_suffix_dedup,
         "op8_jaccard_join": op8_jaccard_join,
+        "op9_substring_dedup": op9_substring_dedup,
         "op6_packing": op6_packing_query,
         "op10_fingerprints": op10_fingerprints,
     }
