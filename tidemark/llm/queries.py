@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_langid, op2_kdtree, op4_cube, op5_rabitq, op6_packing, op7_suffix, op8_chosen_path, op9_debruijn, op10_digest
+from . import op1_langid, op2_kdtree, op3_chain, op4_cube, op5_rabitq, op6_packing, op7_suffix, op8_chosen_path, op9_debruijn, op10_digest
 from .common import Work, documents, semi_reduce
 
 
@@ -24,6 +24,14 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels table has two categories, quality and toxicity; the chain predicts low quality first."""
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    chain = op3_chain.train(docs, labels, ["low_quality", "toxic"], "toxic")
+    return op3_chain.score(docs, chain, "toxic")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = op4_cube.mix(documents(spark, sf_dir), weights=(5, 2, 1), share=1.5, most=2, work=Work(spark, "op4"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
@@ -104,6 +112,7 @@ def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
         "op2_sharding": op2_sharding,
+        "op3_toxicity": op3_toxicity,
         "op4_mixing": op4_mixing,
         "op5_embedding_near_dedup": op5_embedding_near_dedup,
         "op7_suffix_dedup": op7_suffix_dedup,
