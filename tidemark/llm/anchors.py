@@ -21,7 +21,7 @@ from .common import Work, flat
 from .words import mix
 
 #: Text bytes of a cell.
-CELL = 24 << 20
+CELL = 12 << 20
 DOC = 9
 LAST = (1 << 63) - 1
 ROW = "q int, kind int, id long, uid long, blob binary, text string"
@@ -31,10 +31,11 @@ LOW = np.uint64((1 << 48) - 1)
 class Cells:
     """Documents of a table dealt to cells by id, with markers of copies of whole texts."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, shortest: int, work: Work):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, shortest: int, work: Work, columns: tuple[str, ...] = ()):
         text = F.coalesce(F.col(text_col), F.lit(""))
         own = F.col(id_col).cast("long")
-        rows = docs.select(F.coalesce(own, F.lit(LAST)).alias("id"), text.alias("text"))
+        self.columns = columns
+        rows = docs.select(F.coalesce(own, F.lit(LAST)).alias("id"), text.alias("text"), *[F.col(c).cast("string").alias(f"_{c}") for c in columns])
         rows = rows.withColumn("uid", F.xxhash64(F.lit(5), "id", "text"))
         size = F.octet_length("text").cast("long")
         keys = work.save(rows.select("id", "uid", size.alias("n"), F.xxhash64(F.lit(6), "text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2")), "keys")
@@ -46,13 +47,14 @@ class Cells:
         first = keys.where(F.col("n") >= shortest).groupBy("h1", "h2", "n").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
         copies = keys.join(first, ["h1", "h2", "n"]).where("id > first").select(q.alias("q"), F.lit(0).alias("kind"), "id", "uid", none.alias("blob"), no_text.alias("text"))
         self.copies = work.save(copies.distinct(), "copies")
-        self.docs = rows.select(q.alias("q"), F.lit(DOC).alias("kind"), "id", "uid", none.alias("blob"), "text")
+        self.docs = rows.select(q.alias("q"), F.lit(DOC).alias("kind"), "id", "uid", none.alias("blob"), "text", *[f"_{c}" for c in columns])
 
-    def dealt(self, *notes: DataFrame) -> DataFrame:
-        """Documents, markers and notes (q, kind, blob) to cells, small rows first."""
-        all_ = self.docs.unionByName(self.copies)
+    def dealt(self, *notes: DataFrame, payload: bool = False) -> DataFrame:
+        """Documents (with their other columns if asked for), markers and notes (q, kind, blob) to cells, small rows first."""
+        docs = self.docs if payload else self.docs.drop(*[f"_{c}" for c in self.columns])
+        all_ = docs.unionByName(self.copies, allowMissingColumns=True)
         for n in notes:
-            all_ = all_.unionByName(n.select("q", "kind", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("uid"), "blob", F.lit(None).cast("string").alias("text")))
+            all_ = all_.unionByName(n.select("q", "kind", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("uid"), "blob", F.lit(None).cast("string").alias("text")), allowMissingColumns=True)
         return all_.repartition("q").sortWithinPartitions("q", "kind")
 
 
@@ -153,6 +155,15 @@ def grow(blob: bytes, owner: int) -> np.ndarray:
     return out.view("<u8").ravel() | (np.uint64(owner) << np.uint64(48))
 
 
+def shared_here(hashes: list[np.ndarray], ids: list[np.ndarray]) -> np.ndarray:
+    """Hashes that occur in two documents of a cell."""
+    h, d = np.concatenate(hashes), np.concatenate(ids)
+    order = np.argsort(h, kind="stable")
+    h, d = h[order], d[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return h[first[np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first)]] if len(h) else h
+
+
 def recurring(cells: Cells, anchors_of, work: Work) -> DataFrame:
     """Notes (q, kind 1, blob): the anchor hashes of each cell that other cells hold too.
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+ARROW_BYTES = str(8 << 20)
 FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -42,6 +43,7 @@ class Work:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)  # workers hold a few batches
         self.root = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self._clear)
 

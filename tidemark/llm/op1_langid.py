@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from .common import Work, list_column, slices
 
@@ -137,6 +138,16 @@ def train(labelled: DataFrame, work: Work, per_label: int = 400, landmarks_per_l
     return model
 
 
+def classify(m: Model | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    label, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    if m:
+        for at, x in m.features([t or "" for t in texts]):
+            value = x @ m.weights
+            for i, k, v in zip(at, value.argmax(1).tolist(), value.max(1).tolist()):
+                label[i], score[i] = m.labels[k], min(1.0, max(0.0, v))
+    return label, score
+
+
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score): score is the winning regression value cut to 0..1.
 
@@ -148,17 +159,27 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     def run(batches):
         m = shared.value
         for b in slices(batches, 1):
-            label, score = [UNKNOWN] * b.num_rows, [0.0] * b.num_rows
-            if m:
-                for at, x in m.features(b.column(1).to_pylist()):
-                    value = x @ m.weights
-                    for i, k, v in zip(at, value.argmax(1).tolist(), value.max(1).tolist()):
-                        label[i], score[i] = m.labels[k], min(1.0, max(0.0, v))
+            label, score = classify(m, b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(label, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def annotate(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs`` with lang_pred and score; texts pass through the workers once, nothing is joined."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        m = shared.value
+        for b in slices(batches, at):
+            label, score = classify(m, b.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(label, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.mapInArrow(run, schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """One document in five by the checksum of its id; ids that are null are held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))

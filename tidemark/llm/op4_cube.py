@@ -132,18 +132,22 @@ def _round(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(pi=pi).drop(columns="blocks")
 
 
-def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2, work: Work | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
-    """Documents as (doc_id, source, size, source_size, target, copies): how often the mix takes each.
+def row_hash():
+    """Tells rows with one id apart; equal rows agree."""
+    return F.xxhash64("doc_id", F.lit(4), "text", "source")
+
+
+def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2, work: Work | None = None) -> DataFrame:
+    """Documents as (doc_id, source, size, source_size, target, copies, h): how often the mix takes each; h is the row's hash.
 
     Null text has size 0; documents of size 0 are taken as often as their
     source is taken whole.  Null sources are one source, last in order.  Equal
     rows are rows of their own.  An empty table gives no rows.  Reruns agree.
-    ``columns`` adds columns of ``docs`` (then texts travel too).
     """
     spark = docs.sparkSession
     work = work or Work(spark, "cube")
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = work.save(docs.select("doc_id", "source", words.alias("size"), F.xxhash64("doc_id", F.lit(4), "text").alias("h")), "sized")
+    sized = work.save(docs.select("doc_id", "source", words.alias("size"), row_hash().alias("h")), "sized")
     counts = {r["source"]: (r["s"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()}  # one row a source
     goal = targets({s: x[0] for s, x in counts.items()}, weights, share, most)
     rows = []

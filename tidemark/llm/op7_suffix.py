@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import DOC, LAST, Cell, Cells, anchors, owner_hash, recurring, runs
+from .anchors import DOC, LAST, Cell, Cells, anchors, owner_hash, recurring, runs, shared_here
 from .common import Work, flat
 from .words import mix
 
 K = 20
 #: Records indexed together.
-BATCH = 200_000
+BATCH = 100_000
 NOTE = np.dtype([("uid", "<i8"), ("pos", "<i8"), ("mask", "<u8")])
 SYMBOLS = mix(np.arange(1, 257, dtype=np.uint64))
 
@@ -142,28 +142,26 @@ def covered(cells: Cells, span: int, work: Work) -> list[DataFrame]:
                 [pa.array(np.full(len(full), 3, np.int32)), pa.array(full.astype(np.int32)), pa.array([r[cut[i] : cut[i + 1]].tobytes() for i in full.tolist()], pa.binary())], names=["kind", "q", "blob"]
             )
 
-        def hold(cell, slices, wanted):
-            """Survivors among a cell's anchors: known elsewhere, or in two documents here."""
-            seen = np.concatenate([np.unique(np.stack([h, rows_id.view(np.uint64)], 1), axis=0)[:, 0] for h, rows_id in slices]) if slices else np.zeros(0, np.uint64)
-            value, count = np.unique(seen, return_counts=True)
-            return np.union1d(wanted, value[count > 1])
-
-        # a cell's anchors are read twice: first their hashes, then the surroundings of those that matter
+        # first a cell's hashes, then the surroundings of those that matter
         cell, docs = None, []
 
         def finish(cell, docs):
             wanted = np.unique(cell.blobs(1, "<u8"))
-            hashes, kept = [], []
+            hashes, own, kept = [], [], []
             for rows in docs:
                 raw, at = flat(rows.column(5))
                 d, p, h = of(raw, at)
                 h = owner_hash(h, bit)
                 ids = rows.column(2).to_numpy()[d]
-                hashes.append((h, ids))
-                kept.append((d, p, h))
-            wanted = hold(cell, hashes, wanted)
+                hashes.append(h)
+                own.append(ids)
+                kept.append((d.astype(np.int32), p.astype(np.int32)))
+            if not docs:
+                return
+            wanted = np.union1d(wanted, shared_here(hashes, own))
+            del own
             held = []
-            for rows, (d, p, h) in zip(docs, kept):
+            for rows, h, (d, p) in zip(docs, hashes, kept):
                 if not len(wanted):
                     break
                 hit = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
@@ -272,42 +270,52 @@ def spans_of(dead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 50, work: Work | None = None) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 50, work: Work | None = None, whole_characters: bool = False, columns: tuple[str, ...] = ()) -> DataFrame:
     """(id, n_bytes, kept, spans): the text's bytes without those covered by a ``span``-byte string that also starts in a document with a smaller id.
 
     ``spans`` are the maximal removed runs (start, end).  Matches never cross
     documents and are judged on the input.  Null text is empty; a null id comes
     after all others and is returned as null; rows with equal ids are one
     document's versions and never remove each other's bytes; texts shorter than
-    ``span`` stay.  Other columns are ignored; an empty table gives no rows.
+    ``span`` stay.  Of other columns, the strings named in ``columns`` are
+    returned and the rest is ignored; an empty table gives no rows.  With
+    ``whole_characters`` a character that is removed in part stays, so that what is kept is UTF-8.
     """
     work = work or Work(docs.sparkSession, "suffix")
-    cells = Cells(docs, id_col, text_col, span, work)
+    cells = Cells(docs, id_col, text_col, span, work, columns)
     notes = covered(cells, span, work)
 
     def cut(batches):
-        ids, size, kept, spans = [], [], [], []
+        ids, size, kept, spans, more = [], [], [], [], [[] for _ in columns]
 
         def out():
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.list_(pa.int64())))], names=["id", "n_bytes", "kept", "spans"]
+                [pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), *[pa.array(x, pa.string()) for x in more]],
+                names=["id", "n_bytes", "kept", "spans", *columns],
             )
 
         held = 0
         for rows, i, raw, dead in each_document(batches, span):
+            if dead is not None and whole_characters:
+                lead = np.cumsum((raw & 0xC0) != 0x80) - 1  # each byte's character
+                whole = np.bincount(lead, ~dead) == 0
+                dead = whole[lead]
             a, b = spans_of(dead) if dead is not None else ((), ())
             ids.append(rows.column(2)[i].as_py())
             size.append(len(raw))
             kept.append((raw if dead is None else raw[~dead]).tobytes())
             spans.append([[int(x), int(y)] for x, y in zip(a, b)])
+            for k, x in enumerate(more):
+                x.append(rows.column(6 + k)[i].as_py())
             held += len(raw) + 64
             if held > 4 << 20:
                 yield out()
-                ids, size, kept, spans, held = [], [], [], [], 0
+                ids, size, kept, spans, held, more = [], [], [], [], 0, [[] for _ in columns]
         if ids:
             yield out()
 
-    out = cells.dealt(*notes).mapInArrow(cut, "id long, n_bytes long, kept binary, spans array<array<long>>")
+    schema = "id long, n_bytes long, kept binary, spans array<array<long>>" + "".join(f", {c} string" for c in columns)
+    out = cells.dealt(*notes, payload=True).mapInArrow(cut, schema)
     return out.withColumn("id", F.when(F.col("id") < LAST, F.col("id"))).withColumnRenamed("id", id_col)
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import DOC, LAST, Cell, Cells, anchors, owner_hash, recurring, runs
+from .anchors import DOC, LAST, Cell, Cells, anchors, owner_hash, recurring, runs, shared_here
 from .common import Work, flat
 from .op7_suffix import NOTE, bits, spans_of
 from .words import mix, powers, word_hashes, word_spans
@@ -61,16 +61,12 @@ def occurrences(cells: Cells, answers: DataFrame, span: int, work: Work) -> Data
         def finish(cell, docs):
             if not docs:
                 return
-            wanted, seen = np.unique(cell.blobs(1, "<u8")), []
+            wanted, seen, own = np.unique(cell.blobs(1, "<u8")), [], []
             for rows, h, first in docs:
                 pos, a = anchors(h, first, K, span)
-                a = owner_hash(a, bit)
-                d = np.searchsorted(first, pos, side="right") - 1
-                ids = rows.column(2).to_numpy()[d]
-                pair = np.unique(np.stack([a, ids.view(np.uint64)], 1), axis=0) if len(a) else np.zeros((0, 2), np.uint64)
-                seen.append(pair[:, 0])
-            value, count = np.unique(np.concatenate(seen), return_counts=True)
-            wanted = np.union1d(wanted, value[count > 1])
+                seen.append(owner_hash(a, bit))
+                own.append(rows.column(2).to_numpy()[np.searchsorted(first, pos, side="right") - 1])
+            wanted = np.union1d(wanted, shared_here(seen, own))
             if not len(wanted):
                 return
             for rows, h, first in docs:
