@@ -1,9 +1,385 @@
-"""Registered queries."""
+"""Registered queries over the events table, each with the SQL that a database would run."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .functions import codec
+from .functions.values import F32, SQ1, UINT, cell_text, f32_order, f32_value, sq1_fp4
+from .model import KEY
+from .operators.aggregate import aggregate
+from .operators.lookup import latest, value_at
+from .operators.sample import sample
+from .operators.scan import scan
+from .plans import lifecycle
+from .sources.frames import event_facts
+
+DAY = 86_400_000_000
+START = 1_704_067_200_000_000  # 2024-01-01
+END = START + 30 * DAY
+MID = START + 15 * DAY
+AT = START + 20 * DAY + 43_200_000_000
+MICRO = 1_000_000
+HOURS = 21_600  # a validity of six hours, in seconds
+UNIT = 3 * DAY  # width of the units in the lifecycle queries
+
+
+def _keys(facts: DataFrame, repeat: int = 1) -> DataFrame:
+    """Every stream, ``repeat`` times; ord tells requests apart."""
+    k = facts.select(*KEY).distinct()
+    if repeat > 1:
+        k = k.withColumn("_r", F.explode(F.array(*[F.lit(i) for i in range(repeat)])))
+    else:
+        k = k.withColumn("_r", F.lit(0))
+    return k.select(((F.col("series_id") * 10 + F.col("field_id")) * 10 + F.col("_r")).cast("int").alias("ord"), *KEY)
+
+
+def _tables(facts: DataFrame) -> DataFrame:
+    return facts.groupBy("table_id").agg(F.max("ts").alias("last_ts"))
+
+
+def _versions(spark: SparkSession, rows) -> DataFrame:
+    return spark.createDataFrame(rows, "table_id long, version_no int, effective_from long, effective_to long, validity_s long")
+
+
+FOREVER = [(1, 1, -(2**62), None, None)]
+SHORT = [(1, 1, -(2**62), None, HOURS)]
+TWO = [(1, 1, -(2**62), MID, HOURS), (1, 2, MID, None, 8 * HOURS)]
+
+
+def _facts_sql(kind: int = UINT, nulls: bool = True) -> str:
+    value = {
+        UINT: "CAST(round(value * 100) AS BIGINT)",
+        SQ1: """CAST(least(CASE WHEN b <= 500 THEN (b + 5) // 10 WHEN b <= 1200 THEN 50 + (b - 500 + 12) // 25 ELSE 78 + (b - 1200 + 25) // 50 END, 254) AS BIGINT)""",
+        F32: "CAST(value AS FLOAT)",
+    }[kind]
+    return f"""f AS (SELECT 1::BIGINT AS table_id, user_id AS series_id, event_id,
+      CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 WHEN 'view' THEN 5 END AS field_id,
+      epoch_us(ts) AS ts, CASE WHEN {'event_id % 11 = 0' if nulls else 'false'} THEN 0 ELSE {kind} END AS kind,
+      CASE WHEN {'event_id % 11 <> 0' if nulls else 'true'} THEN {value} END AS v
+      FROM (SELECT *, least(CAST(floor(value * 20) AS BIGINT), 10000) AS b FROM events))"""
+
+
+# --- aggregate ---
+
+
+def _agg(spark, sf_dir, kind=UINT, start=START, end=END, width=DAY, repeat=1, nulls=True):
+    facts = event_facts(spark, sf_dir, kind, nulls)
+    fields = spark.createDataFrame([(1, i, kind) for i in range(1, 6)], "table_id long, field_id int, value_type int")
+    out = aggregate(facts, _keys(facts, repeat), _tables(facts), start, end, width, fields=fields)
+    low, high = {UINT: ("min_u", "max_u"), SQ1: ("min_q", "max_q"), F32: ("min_f", "max_f")}[kind]
+    show = (lambda c: f32_value(F.col(c)).cast("double")) if kind == F32 else (lambda c: F.col(c).cast("long"))
+    return out.select(
+        "ord", "series_id", "field_id", "start_ts", "end_ts", "sample_count", F.col("null_count").cast("long").alias("null_count"),
+        show(low).alias("low"), show(high).alias("high"), F.col("sum").cast("long").alias("total"), "is_partial",
+    )
+
+
+def _agg_sql(kind=UINT, start=START, end=END, width=DAY, repeat=1, nulls=True) -> str:
+    number = {UINT: "v", SQ1: "CASE WHEN v <= 50 THEN v * 1000 WHEN v <= 78 THEN 50000 + (v - 50) * 2500 ELSE 120000 + (v - 78) * 5000 END", F32: "NULL"}[kind]
+    total = "CAST(NULL AS BIGINT)" if kind == F32 else f"CAST(coalesce(sum({number}), 0) AS BIGINT)"
+    shown = "DOUBLE" if kind == F32 else "BIGINT"
+    return f"""WITH {_facts_sql(kind, nulls)}, c AS (SELECT max(ts) AS last_ts FROM f)
+      SELECT CAST((series_id * 10 + field_id) * 10 + r AS INTEGER) AS ord, series_id, CAST(field_id AS INTEGER) AS field_id, {start} + b * {width} AS start_ts,
+        least({start} + (b + 1) * {width}, {end}) AS end_ts, count(*) AS sample_count, count(*) - count(v) AS null_count,
+        CAST(min(v) AS {shown}) AS low, CAST(max(v) AS {shown}) AS high, {total} AS total,
+        {start} + (b + 1) * {width} > {end} OR (SELECT last_ts FROM c) < least({start} + (b + 1) * {width}, {end}) AS is_partial
+      FROM (SELECT *, (ts - {start}) // {width} AS b FROM f WHERE ts >= {start} AND ts < {end}), range({repeat}) AS x(r)
+      GROUP BY series_id, field_id, b, r"""
+
+
+# --- lookups ---
+
+
+def _shown(out: DataFrame) -> DataFrame:
+    return out.select("ord", "series_id", "field_id", "state", F.col("u").cast("long").alias("u"), "at_ts")
+
+
+def _retired(spark, facts):
+    series = facts.select("table_id", "series_id").distinct().where("series_id % 7 = 0").withColumn("cutoff", F.lit(START + 12 * DAY).cast("long"))
+    fields = spark.createDataFrame([(1, 2, START + 20 * DAY)], "table_id long, field_id int, cutoff long")
+    return series, fields
+
+
+def _value_at(spark, sf_dir, versions=FOREVER, repeat=1, series=False, fields=False, t=AT):
+    facts = event_facts(spark, sf_dir)
+    rs, rf = _retired(spark, facts)
+    return _shown(value_at(facts, _keys(facts, repeat), t, _versions(spark, versions), rs if series else None, rf if fields else None, ticks=MICRO))
+
+
+def _validity_sql(versions, at="p.ts") -> str:
+    """Validity in ticks of the version active at a fact; null for ever."""
+    cases = " ".join(f"WHEN {at} >= {a} AND {'true' if b is None else f'{at} < {b}'} THEN {'NULL' if v is None else v * MICRO}" for _, _, a, b, v in versions)
+    return f"(CASE {cases} END)"
+
+
+def _live_sql(t: str, versions, series=False, fields=False) -> str:
+    cut = []
+    if series:
+        cut.append(f"CASE WHEN p.series_id % 7 = 0 THEN {START + 12 * DAY} END")
+    if fields:
+        cut.append(f"CASE WHEN p.field_id = 2 THEN {START + 20 * DAY} END")
+    gone = f"AND NOT coalesce({t} > greatest({', '.join(cut)}) AND p.ts <= greatest({', '.join(cut)}), false)" if cut else ""
+    v = _validity_sql(versions)
+    return f"p.ts IS NOT NULL AND ({v} IS NULL OR {t} - p.ts < {v}) {gone}"
+
+
+def _value_at_sql(versions=FOREVER, repeat=1, series=False, fields=False, t=AT) -> str:
+    live = _live_sql(str(t), versions, series, fields)
+    return f"""WITH {_facts_sql()}, k AS (SELECT DISTINCT series_id, field_id FROM f),
+      p AS (SELECT * FROM f WHERE ts <= {t} QUALIFY row_number() OVER (PARTITION BY series_id, field_id ORDER BY ts DESC) = 1),
+      s AS (SELECT p.*, {live} AS live FROM p)
+      SELECT CAST((k.series_id * 10 + k.field_id) * 10 + r AS INTEGER) AS ord, k.series_id, CAST(k.field_id AS INTEGER) AS field_id,
+        CASE WHEN NOT coalesce(live, false) THEN 'missing' WHEN kind = 0 THEN 'null' ELSE 'value' END AS state,
+        CASE WHEN live THEN v END AS u, CASE WHEN live THEN s.ts END AS at_ts
+      FROM k LEFT JOIN s USING (series_id, field_id), range({repeat}) AS x(r)"""
+
+
+def value_at_with_heads(spark, sf_dir):
+    """Facts before the middle are gone but for each stream's last one."""
+    facts = event_facts(spark, sf_dir)
+    heads = lifecycle.retention_heads(facts.where(F.col("ts") < MID), MID, _versions(spark, FOREVER), ticks=MICRO)
+    return _shown(value_at(facts.where(F.col("ts") >= MID), _keys(facts), MID + DAY // 24, _versions(spark, FOREVER), heads=heads, ticks=MICRO))
+
+
+def latest_table_clock(spark, sf_dir):
+    facts = event_facts(spark, sf_dir)
+    return _shown(latest(facts, _keys(facts), _tables(facts), _versions(spark, [(1, 1, -(2**62), None, 40 * HOURS)]), ticks=MICRO))
+
+
+# --- sample ---
+
+
+def _sample(spark, sf_dir, versions=FOREVER, step=DAY):
+    facts = event_facts(spark, sf_dir)
+    keys = _keys(facts)
+    out = sample(facts, keys, START, END, step, 1, _versions(spark, versions), ticks=MICRO)
+    return out.select("ord", "series_id", "field_id", "slot_ts", "state", F.col("u").cast("long").alias("u"), "source_ts", "carried")
+
+
+def _sample_sql(versions=FOREVER, step=DAY) -> str:
+    live = _live_sql("g.t", versions)
+    return f"""WITH {_facts_sql()}, g AS (SELECT * FROM (SELECT DISTINCT series_id, field_id FROM f), (SELECT unnest(range({START}, {END}, {step})) AS t)),
+      s AS (SELECT g.series_id, g.field_id, g.t, p.kind, p.v, p.ts, {live} AS live FROM g ASOF LEFT JOIN f p ON g.series_id = p.series_id AND g.field_id = p.field_id AND g.t >= p.ts)
+      SELECT CAST((series_id * 10 + field_id) * 10 AS INTEGER) AS ord, series_id, CAST(field_id AS INTEGER) AS field_id, t AS slot_ts,
+        CASE WHEN NOT coalesce(live, false) THEN 'gap' WHEN kind = 0 THEN 'null' ELSE 'value' END AS state,
+        CASE WHEN live THEN v END AS u, CASE WHEN live THEN ts END AS source_ts, CASE WHEN live THEN ts < t END AS carried FROM s"""
+
+
+# --- scans and metadata ---
+
+
+def _scan(spark, sf_dir, start, end):
+    """One stream, as the operator is defined."""
+    out = scan(event_facts(spark, sf_dir), 1, 3, 5, start, end)
+    return out.select("series_id", "field_id", "ts", F.col("kind").cast("int").alias("kind"), F.col("u").cast("long").alias("u"))
+
+
+def _scan_sql(start, end) -> str:
+    return f"""WITH {_facts_sql()} SELECT series_id, CAST(field_id AS INTEGER) AS field_id, ts, CAST(kind AS INTEGER) AS kind, v AS u
+      FROM f WHERE series_id = 3 AND field_id = 5 AND ts >= {start} AND ts < {end}"""
+
+
+def cli_scan_rows(spark, sf_dir):
+    """All facts as the command line prints them."""
+    f = event_facts(spark, sf_dir)
+    return f.select(F.concat_ws("\t", F.col("ts").cast("string"), cell_text(F.col("kind"), F.col("u"), F.col("q"), F.col("f"))).alias("line"))
+
+
+def table_versions(spark, sf_dir):
+    """A version takes effect with the first fact under it; versions change at the middle of the range."""
+    f = event_facts(spark, sf_dir).withColumn("version_no", F.when(F.col("ts") < MID, 1).otherwise(2))
+    v = f.groupBy("table_id", "version_no").agg(F.min("ts").alias("effective_from"))
+    return v.withColumn("effective_to", F.lead("effective_from").over(W.partitionBy("table_id").orderBy("version_no")))
+
+
+# --- ingest checks ---
+
+
+def ingest_validate_clock(spark, sf_dir):
+    """Rows whose timestamp, to the second, is not after that of the row before in the table: batches are checked day by day, then at their borders."""
+    f = event_facts(spark, sf_dir).select("table_id", "seq", F.expr(f"ts div {MICRO}").alias("ts"))
+    return lifecycle.clock_violations(f, "seq", cells=64).select("seq", "ts", "last_ts")
+
+
+def ingest_validate_schema(spark, sf_dir):
+    """How many rows of each field a schema of fields 1 to 4, field 4 a float, would reject, and why."""
+    f = event_facts(spark, sf_dir)
+    schema = spark.createDataFrame([(1, 1, 1), (1, 2, 1), (1, 3, 1), (1, 4, 3)], "table_id long, field_id int, value_type int")
+    return lifecycle.schema_violations(f, schema).groupBy("field_id", "reason").agg(F.count("*").alias("rows"))
+
+
+# --- lifecycle ---
+
+
+def _units(facts: DataFrame) -> DataFrame:
+    return facts.withColumn("unit_id", F.expr(f"(ts - {START}L) div {UNIT}L"))
+
+
+def units_zone_map(spark, sf_dir):
+    return lifecycle.zone_map(_units(event_facts(spark, sf_dir)))
+
+
+def retain_heads(spark, sf_dir):
+    facts = event_facts(spark, sf_dir)
+    units = lifecycle.zone_map(_units(facts))
+    floor = lifecycle.retention_floor(units, MID)
+    old = _units(facts).join(F.broadcast(lifecycle.expired_units(units, MID)), "unit_id", "left_semi")
+    heads = lifecycle.retention_heads(old, floor, _versions(spark, [(1, 1, -(2**62), None, 8 * HOURS)]), ticks=MICRO)
+    return heads.select("series_id", "field_id", "ts", F.col("kind").cast("int").alias("kind"), F.col("u").cast("long").alias("u"))
+
+
+def retention_floor(spark, sf_dir):
+    units = lifecycle.zone_map(_units(event_facts(spark, sf_dir)))
+    return lifecycle.expired_units(units, MID).agg((F.max("max_ts") + 1).alias("floor"), F.count("*").alias("removed_units"))
+
+
+def retain_then_value_at(spark, sf_dir):
+    facts = event_facts(spark, sf_dir)
+    units = lifecycle.zone_map(_units(facts))
+    floor = lifecycle.retention_floor(units, MID)
+    gone = F.broadcast(lifecycle.expired_units(units, MID))
+    parts = _units(facts)
+    heads = lifecycle.retention_heads(parts.join(gone, "unit_id", "left_semi"), floor, _versions(spark, FOREVER), ticks=MICRO)
+    return _shown(value_at(parts.join(gone, "unit_id", "left_anti"), _keys(facts), AT, _versions(spark, FOREVER), heads=heads, ticks=MICRO))
+
+
+def compact_preserves_facts(spark, sf_dir):
+    """Count and checksums of each table's facts after joining adjacent units."""
+    joined = lifecycle.compacted(_units(event_facts(spark, sf_dir)), DAY)
+    return joined.groupBy("table_id").agg(
+        F.count("*").alias("facts"), F.sum(F.col("u").cast("long")).alias("total"), F.sum(F.col("ts") % 1_000_003).alias("clock"), F.count_if(F.col("kind") == 0).cast("long").alias("nulls")
+    )
+
+
+def closed_window_selection(spark, sf_dir):
+    """Units of level 0 whose window of twelve days lies behind the table's clock."""
+    units = lifecycle.zone_map(_units(event_facts(spark, sf_dir)))
+    return lifecycle.closed_windows(units, 12 * DAY).select("unit_id", "window_start")
+
+
+def export_chunk_budget(spark, sf_dir):
+    """The records a replica at sequence 99 gets in one chunk of 64 KiB, at 40 bytes and its value's text a record."""
+    f = event_facts(spark, sf_dir).select("seq", (F.length(F.coalesce(F.col("u").cast("string"), F.lit(""))) + 40).cast("long").alias("bytes"))
+    return lifecycle.export_chunk(f, 99, 65_536).select("seq", "bytes", "upto")
+
+
+# --- functions ---
+
+
+def sq1_decode(spark, sf_dir):
+    return spark.range(256).select(F.col("id").cast("int").alias("code"), sq1_fp4(F.col("id")).cast("long").alias("fp4"))
+
+
+def f32_order_key(spark, sf_dir):
+    """The place of each float among its stream's by total order of patterns."""
+    f = event_facts(spark, sf_dir, F32).where("kind = 3").withColumn("k", f32_order(F.col("f")))
+    place = F.rank().over(W.partitionBy("series_id", "field_id").orderBy("k")).cast("long")
+    return f.select(F.col("seq").alias("event_id"), place.alias("place"))
+
+
+def delta2_zigzag(spark, sf_dir):
+    f = event_facts(spark, sf_dir).select("series_id", "field_id", "ts", "u")
+    return codec.delta2(f, ["series_id", "field_id"]).select("series_id", "field_id", "ts", F.col("code").cast("long").alias("code"))
+
+
+def delta2_round_trip(spark, sf_dir):
+    f = event_facts(spark, sf_dir).select("series_id", "field_id", "ts", "u")
+    keys = ["series_id", "field_id"]
+    return codec.undelta2(codec.delta2(f, keys), keys).select("series_id", "field_id", "ts", F.col("decoded").cast("long").alias("u"))
+
+
+def f32_xor_round_trip(spark, sf_dir):
+    f = event_facts(spark, sf_dir, F32).select("series_id", "field_id", "ts", "f")
+    keys = ["series_id", "field_id"]
+    return codec.unxor(codec.xor_previous(f, keys), keys).select("series_id", "field_id", "ts", f32_value(F.col("decoded")).cast("double").alias("value"))
+
+
+def nvr_run_lengths(spark, sf_dir):
+    f = event_facts(spark, sf_dir).select("series_id", "field_id", "ts", "u")
+    t = codec.run_tokens(f.withColumnRenamed("u", "code"), ["series_id", "field_id"])
+    return t.select("series_id", "field_id", "token", "first_ts", "length", F.col("size").cast("long").alias("size"))
+
+
+def fixed_width_size(spark, sf_dir):
+    f = event_facts(spark, sf_dir).select("series_id", "field_id", "ts", "u")
+    return codec.encoding_choice(f, ["series_id", "field_id"]).select("series_id", "field_id", "rows", "fixed_bytes")
 
 
 def queries() -> dict:
-    return {}
+    q = lambda f, *a, **k: lambda spark, sf_dir: f(spark, sf_dir, *a, **k)
+    return {
+        "agg_uint": q(_agg), "agg_sq1_fp4": q(_agg, SQ1), "agg_f32_minmax": q(_agg, F32), "agg_no_nulls": q(_agg, nulls=False),
+        "agg_clipped_partial": q(_agg, end=END - DAY // 2, width=7 * DAY), "agg_multi_key": q(_agg, width=10 * DAY, repeat=2),
+        "scan_range": q(_scan, START, END), "scan_empty_range": q(_scan, START, START), "cli_scan_rows": cli_scan_rows,
+        "value_at_forever": q(_value_at), "value_at_validity": q(_value_at, SHORT), "value_at_multi_key_dups": q(_value_at, SHORT, repeat=3),
+        "value_at_retired_series": q(_value_at, series=True, t=START + 13 * DAY), "value_at_retired_field": q(_value_at, fields=True),
+        "value_at_retired_both": q(_value_at, series=True, fields=True), "value_at_versions": q(_value_at, TWO, t=MID + DAY // 12),
+        "value_at_with_heads": value_at_with_heads, "latest_table_clock": latest_table_clock,
+        "sample_carry": q(_sample), "sample_validity_gap": q(_sample, SHORT), "sample_versions": q(_sample, TWO),
+        "table_last_ts": lambda spark, sf_dir: _tables(event_facts(spark, sf_dir)), "table_versions": table_versions, "retention_floor": retention_floor,
+        "ingest_validate_clock": ingest_validate_clock, "ingest_validate_schema": ingest_validate_schema,
+        "units_zone_map": units_zone_map, "retain_heads": retain_heads, "retain_then_value_at": retain_then_value_at,
+        "compact_preserves_facts": compact_preserves_facts, "closed_window_selection": closed_window_selection, "export_chunk_budget": export_chunk_budget,
+        "sq1_decode": sq1_decode, "f32_order_key": f32_order_key, "delta2_zigzag": delta2_zigzag, "delta2_round_trip": delta2_round_trip,
+        "f32_xor_round_trip": f32_xor_round_trip, "nvr_run_lengths": nvr_run_lengths, "fixed_width_size": fixed_width_size,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    unit = f"(ts - {START}) // {UNIT}"
+    zones = f"z AS (SELECT CAST({unit} AS BIGINT) AS unit_id, min(ts) AS min_ts, max(ts) AS max_ts, count(*) AS facts FROM f GROUP BY 1)"
+    # a unit goes if it and all before it end before the cutoff
+    expired = f"x AS (SELECT * FROM z a WHERE NOT EXISTS (SELECT 1 FROM z b WHERE b.min_ts <= a.min_ts AND b.max_ts >= {MID}))"
+    floor = "(SELECT max(max_ts) + 1 FROM x)"
+    step = "v - coalesce(lag(v) OVER w, 0)"
+    delta = f"""d AS (SELECT *, {step} AS s FROM f WHERE v IS NOT NULL WINDOW w AS (PARTITION BY series_id, field_id ORDER BY ts)),
+      e AS (SELECT *, s - coalesce(lag(s) OVER (PARTITION BY series_id, field_id ORDER BY ts), 0) AS c FROM d)"""
+    varint = lambda v, bits: "(CASE " + " ".join(f"WHEN {v} < {2 ** (bits + 7 * n)} THEN {1 + n}" for n in range(7)) + " END)"
+    short = f"p.ts IS NOT NULL AND {floor} - p.ts < {8 * HOURS * MICRO}"
+    return {
+        "agg_uint": _agg_sql(), "agg_sq1_fp4": _agg_sql(SQ1), "agg_f32_minmax": _agg_sql(F32), "agg_no_nulls": _agg_sql(nulls=False),
+        "agg_clipped_partial": _agg_sql(end=END - DAY // 2, width=7 * DAY), "agg_multi_key": _agg_sql(width=10 * DAY, repeat=2),
+        "scan_range": _scan_sql(START, END), "scan_empty_range": _scan_sql(START, START),
+        "cli_scan_rows": f"WITH {_facts_sql()} SELECT concat(ts, chr(9), CASE WHEN kind = 0 THEN 'null' ELSE concat('u:', v) END) AS line FROM f",
+        "value_at_forever": _value_at_sql(), "value_at_validity": _value_at_sql(SHORT), "value_at_multi_key_dups": _value_at_sql(SHORT, repeat=3),
+        "value_at_retired_series": _value_at_sql(series=True, t=START + 13 * DAY), "value_at_retired_field": _value_at_sql(fields=True),
+        "value_at_retired_both": _value_at_sql(series=True, fields=True), "value_at_versions": _value_at_sql(TWO, t=MID + DAY // 12),
+        "value_at_with_heads": _value_at_sql(t=MID + DAY // 24), "retain_then_value_at": _value_at_sql(),
+        "latest_table_clock": _value_at_sql([(1, 1, -(2**62), None, 40 * HOURS)], t="(SELECT max(ts) FROM f)"),
+        "sample_carry": _sample_sql(), "sample_validity_gap": _sample_sql(SHORT), "sample_versions": _sample_sql(TWO),
+        "table_last_ts": f"WITH {_facts_sql()} SELECT table_id, max(ts) AS last_ts FROM f GROUP BY 1",
+        "table_versions": f"""WITH {_facts_sql()}, a AS (SELECT table_id, CAST(CASE WHEN ts < {MID} THEN 1 ELSE 2 END AS INTEGER) AS version_no, min(ts) AS effective_from FROM f GROUP BY 1, 2)
+          SELECT *, lead(effective_from) OVER (ORDER BY version_no) AS effective_to FROM a""",
+        "retention_floor": f"WITH {_facts_sql()}, {zones}, {expired} SELECT max(max_ts) + 1 AS floor, count(*) AS removed_units FROM x",
+        "ingest_validate_clock": f"""WITH {_facts_sql()}, a AS (SELECT event_id AS seq, ts // {MICRO} AS ts, max(ts // {MICRO}) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_ts FROM f)
+          SELECT * FROM a WHERE ts <= last_ts""",
+        "ingest_validate_schema": f"""WITH {_facts_sql()} SELECT CAST(field_id AS INTEGER) AS field_id, CASE WHEN field_id = 5 THEN 'unknown field' ELSE 'type mismatch' END AS reason, count(*) AS rows
+          FROM f WHERE field_id = 5 OR (field_id = 4 AND kind <> 0) GROUP BY 1, 2""",
+        "units_zone_map": f"WITH {_facts_sql()}, {zones} SELECT * FROM z",
+        "retain_heads": f"""WITH {_facts_sql()}, {zones}, {expired},
+          p AS (SELECT * FROM f WHERE {unit} IN (SELECT unit_id FROM x) QUALIFY row_number() OVER (PARTITION BY series_id, field_id ORDER BY ts DESC) = 1)
+          SELECT series_id, CAST(field_id AS INTEGER) AS field_id, ts, CAST(kind AS INTEGER) AS kind, v AS u FROM p WHERE {short}""",
+        "compact_preserves_facts": f"WITH {_facts_sql()} SELECT table_id, count(*) AS facts, CAST(sum(v) AS BIGINT) AS total, CAST(sum(ts % 1000003) AS BIGINT) AS clock, count(*) - count(v) AS nulls FROM f GROUP BY 1",
+        "closed_window_selection": f"""WITH {_facts_sql()}, {zones} SELECT unit_id, min_ts - min_ts % {12 * DAY} AS window_start FROM z
+          WHERE min_ts - min_ts % {12 * DAY} = max_ts - max_ts % {12 * DAY} AND (SELECT max(ts) FROM f) >= min_ts - min_ts % {12 * DAY} + {12 * DAY}""",
+        "sq1_decode": """SELECT CAST(i AS INTEGER) AS code, CAST(CASE WHEN i <= 50 THEN i * 1000 WHEN i <= 78 THEN 50000 + (i - 50) * 2500 WHEN i <= 254 THEN 120000 + (i - 78) * 5000 END AS BIGINT) AS fp4 FROM range(256) AS t(i)""",
+        "delta2_zigzag": f"""WITH {_facts_sql()}, {delta} SELECT f.series_id, CAST(f.field_id AS INTEGER) AS field_id, f.ts, CAST(CASE WHEN c >= 0 THEN 2 * c ELSE -2 * c - 1 END AS BIGINT) AS code
+          FROM f LEFT JOIN e USING (event_id)""",
+        "delta2_round_trip": f"WITH {_facts_sql()} SELECT series_id, CAST(field_id AS INTEGER) AS field_id, ts, v AS u FROM f",
+        "f32_xor_round_trip": f"WITH {_facts_sql(F32)} SELECT series_id, CAST(field_id AS INTEGER) AS field_id, ts, CAST(v AS DOUBLE) AS value FROM f",
+        "nvr_run_lengths": f"""WITH {_facts_sql()}, a AS (SELECT *, CASE WHEN v IS NULL THEN 'null' WHEN v = 0 THEN 'zero' ELSE 'lit' END AS token FROM f),
+          b AS (SELECT *, token = 'lit' OR coalesce(lag(token) OVER (PARTITION BY series_id, field_id ORDER BY ts) <> token, true) AS n FROM a),
+          c AS (SELECT *, sum(CAST(n AS INTEGER)) OVER (PARTITION BY series_id, field_id ORDER BY ts) AS run FROM b),
+          r AS (SELECT series_id, field_id, run, token, min(ts) AS first_ts, count(*) AS length, max(v) AS v FROM c GROUP BY ALL)
+          SELECT series_id, CAST(field_id AS INTEGER) AS field_id, token, first_ts, length,
+            CAST(CASE token WHEN 'lit' THEN {varint('v', 6)} WHEN 'zero' THEN {varint('length', 5)} ELSE {varint('length', 4)} END AS BIGINT) AS size FROM r""",
+        "fixed_width_size": f"""WITH {_facts_sql()} SELECT series_id, CAST(field_id AS INTEGER) AS field_id, count(*) AS rows,
+            CAST(CASE WHEN coalesce(max(v), 0) < 256 THEN 1 WHEN max(v) < 65536 THEN 2 WHEN max(v) < 4294967296 THEN 4 ELSE 8 END * count(v)
+            + CASE WHEN count(v) < count(*) THEN (count(*) + 7) // 8 ELSE 0 END AS BIGINT) AS fixed_bytes FROM f GROUP BY 1, 2""",
+        "export_chunk_budget": f"""WITH {_facts_sql()}, a AS (SELECT event_id AS seq, 40 + length(coalesce(CAST(v AS VARCHAR), '')) AS bytes FROM f WHERE event_id > 99),
+          b AS (SELECT seq, bytes, CAST(sum(bytes) OVER (ORDER BY seq) AS BIGINT) AS upto FROM a) SELECT * FROM b WHERE upto <= 65536""",
+        "f32_order_key": f"WITH {_facts_sql(F32)} SELECT event_id, rank() OVER (PARTITION BY series_id, field_id ORDER BY v) AS place FROM f WHERE v IS NOT NULL",
+    }
