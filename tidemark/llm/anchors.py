@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Work, flat
+from .common import Work, flat, tidy
 from .words import mix
 
 #: Text bytes of a cell.
@@ -136,7 +136,7 @@ def anchors(symbols: np.ndarray, at: np.ndarray, k: int, span: int) -> tuple[np.
     pad = np.zeros(w - 1, np.uint64)
     reach = slide(np.maximum, np.concatenate([pad, low, pad]), w)
     pos = np.flatnonzero(reach == h)
-    return pos, h[pos]
+    return pos, mix(h[pos])  # minima crowd at low values; owners want them spread
 
 
 def owner_hash(h: np.ndarray, bits: int) -> np.ndarray:
@@ -190,6 +190,7 @@ def recurring(cells: Cells, anchors_of, work: Work) -> DataFrame:
                 if cell:
                     yield from out(cell, held)
                 cell, held = Cell(q), []
+                tidy()
             if kind != DOC:
                 cell.note(kind, rows)
             elif (rows := cell.fresh(rows)).num_rows:
@@ -223,6 +224,7 @@ def recurring(cells: Cells, anchors_of, work: Work) -> DataFrame:
                 if owner != last and blobs:
                     yield from out(last, qs, blobs)
                     qs, blobs = [], []
+                    tidy()
                 last = owner
                 qs.append(q)
                 blobs.append(blob)

@@ -100,7 +100,23 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def slices(batches, column: int, most: int = 2 << 20):
+def tidy() -> None:
+    """Gives freed memory of a worker back to the system between pieces of work."""
+    pa.default_memory_pool().release_unused()
+    if not _libc:
+        import ctypes
+
+        try:
+            _libc.append(ctypes.CDLL("libc.so.6").malloc_trim)
+        except (OSError, AttributeError):  # another C library
+            _libc.append(lambda _: 0)
+    _libc[0](0)
+
+
+_libc: list = []
+
+
+def slices(batches, column: int, most: int = 1 << 20):
     """Record batches cut so that one piece holds about ``most`` text bytes, or one row."""
     for batch in batches:
         if not batch.num_rows:
@@ -111,6 +127,7 @@ def slices(batches, column: int, most: int = 2 << 20):
             j = max(i + 1, int(np.searchsorted(at, at[i] + most, side="right")) - 1)
             yield batch.slice(i, j - i)
             i = j
+    tidy()
 
 
 def binary_column(blob: bytes | np.ndarray, offsets: np.ndarray) -> pa.Array:

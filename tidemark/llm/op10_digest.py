@@ -44,8 +44,9 @@ def resolve(digests: DataFrame, keys: list[str], reread: Callable[[DataFrame], D
     group of equal texts shrinks to a row for each task before the shuffle.
     """
     shared = digests.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    members = work.save(digests.join(shared, ["h1", "h2"]).select(*keys, "h1", "h2"), "members")
-    texts = reread(members.select(*keys)).join(members, keys)
+    members = work.save(digests.join(shared, ["h1", "h2"]).select(*keys, "h1", "h2").distinct(), "members")
+    own = reread(members.select(*keys)).select(*keys, "canon", *hashes(F.col("canon")))  # an id may have several texts
+    texts = own.join(members, [*keys, "h1", "h2"]).distinct()
     kinds = texts.groupBy("h1", "h2", "canon").agg(F.count("*").alias("n"))
     clash = kinds.groupBy("h1", "h2").agg(F.count("*").alias("kinds")).where("kinds > 1")
     clash = work.save(clash, "clash")
@@ -55,8 +56,10 @@ def resolve(digests: DataFrame, keys: list[str], reread: Callable[[DataFrame], D
         return out
     order = W.partitionBy("h1", "h2").orderBy("canon")
     ranked = kinds.join(clash, ["h1", "h2"]).withColumn("k", F.row_number().over(order))
-    which = texts.join(ranked.select("h1", "h2", "canon", "k"), ["h1", "h2", "canon"]).select(*keys, "k")
-    return out.join(which, keys, "left").withColumn(
+    which = texts.join(ranked.select("h1", "h2", "canon", "k"), ["h1", "h2", "canon"]).select(*keys, "h1", "h2", "canon", "k")
+    # in a colliding bucket hashes do not tell an id's texts apart: its lowest number counts for all of them
+    which = which.groupBy(*keys, "h1", "h2").agg(F.min("k").alias("k"))
+    return out.join(which, [*keys, "h1", "h2"], "left").withColumn(
         "fingerprint", F.when(F.col("k") > 1, F.concat("fingerprint", F.lit("-"), F.col("k").cast("string"))).otherwise(F.col("fingerprint"))
     ).drop("k")
 

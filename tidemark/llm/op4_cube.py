@@ -79,7 +79,8 @@ def large_first(size: list[int], pi: list[float], seed: int, most: int = 64) ->
 
     Three at a time, the flight would keep large entries undecided to the end.
     Here the move is 1 for the large entry and a + b * size for the others, with
-    a and b such that words and documents stay as they are.
+    a and b such that words and documents stay as they are (words alone, where
+    all others have one size).
     """
     rng, s, p = random.Random(seed), np.array(size, float), np.array(pi, float)
     order = np.argsort(-s, kind="stable")

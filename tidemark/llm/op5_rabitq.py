@@ -95,7 +95,7 @@ def near_links(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     fine = F.coalesce((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0), F.lit(False))
     tagged = rows.withColumn("ok", fine & F.col("id").isNotNull()).withColumn("h1", F.xxhash64(F.lit(1), vec)).withColumn("h2", F.xxhash64(F.lit(2), vec))
     points = work.save(
-        tagged.where("ok").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("mult"), F.min("v").alias("v")).withColumn("dim", F.size("v")), "points"
+        tagged.where("ok").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("mult"), F.min("v").alias("v")).withColumn("dim", F.size("v")).withColumn("key", F.xxhash64("h1", "h2", "dim")), "points"
     )
     n = points.count()
     dims = [r["dim"] for r in points.select("dim").distinct().collect()]
@@ -107,9 +107,12 @@ def near_links(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
         found = spark.createDataFrame([], "src long, dst long, n long")
     found = work.save(found, "found")
     label = components(found.where("dst is not null").select("src", "dst"), work)
-    counts = found.where("dst is null").groupBy(F.col("src").alias("rep")).agg(F.sum("n").alias("n"))
-    per = points.select("rep", "h1", "h2", "mult").join(counts, "rep", "left").join(label.withColumnRenamed("id", "rep"), "rep", "left")
-    per = per.select("h1", "h2", F.lit(True).alias("ok"), (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    counts = found.where("dst is null").groupBy(F.col("src").alias("key")).agg(F.sum("n").alias("n"))
+    label = points.select("key", "rep").join(label.withColumnRenamed("id", "key"), "key")
+    low = label.groupBy("component").agg(F.min("rep").alias("low"))  # a component's smallest id
+    label = label.join(low, "component").select("key", "low")
+    per = points.select("key", "rep", "h1", "h2", "mult").join(counts, "key", "left").join(label, "key", "left")
+    per = per.select("h1", "h2", F.lit(True).alias("ok"), (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("low", "rep").alias("component_id"))
     return tagged.join(per, ["ok", "h1", "h2"], "left").select(
         F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
@@ -139,7 +142,7 @@ def _links(points: DataFrame, dim: int, n: int, kind: str, threshold: float, rec
                     names=["bucket", "rep", "mult", "vec", "code", "factor", "keys"],
                 )
 
-    rows = points.select("rep", "mult", "v").mapInArrow(spread, "bucket long, rep long, mult long, vec binary, code binary, factor double, keys binary")
+    rows = points.select(F.col("key").alias("rep"), "mult", "v").mapInArrow(spread, "bucket long, rep long, mult long, vec binary, code binary, factor double, keys binary")
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK)
     sizes = work.save(sizes.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).select("bucket", "blocks"), f"hot-{dim}")
     if sizes.count() <= 100_000:

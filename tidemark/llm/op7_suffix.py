@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import DOC, LAST, Cell, Cells, anchors, owner_hash, recurring, runs, shared_here
-from .common import Work, flat
+from .common import Work, flat, tidy
 from .words import mix
 
 K = 20
@@ -179,6 +179,7 @@ def covered(cells: Cells, span: int, work: Work) -> list[DataFrame]:
                 if cell:
                     yield from finish(cell, docs)
                 cell, docs = Cell(q), []
+                tidy()
             if kind != DOC:
                 cell.note(kind, rows)
             elif (rows := cell.fresh(rows)).num_rows:
@@ -217,6 +218,7 @@ def covered(cells: Cells, span: int, work: Work) -> list[DataFrame]:
                 if part != last and blobs:
                     yield from out(blobs)
                     blobs = []
+                    tidy()
                 last = part
                 blobs.append(blob)
         if blobs:
@@ -308,11 +310,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spa
             for k, x in enumerate(more):
                 x.append(rows.column(6 + k)[i].as_py())
             held += len(raw) + 64
-            if held > 4 << 20:
+            if held > 2 << 20:
                 yield out()
                 ids, size, kept, spans, held, more = [], [], [], [], 0, [[] for _ in columns]
         if ids:
             yield out()
+        tidy()
 
     schema = "id long, n_bytes long, kept binary, spans array<array<long>>" + "".join(f", {c} string" for c in columns)
     out = cells.dealt(*notes, payload=True).mapInArrow(cut, schema)

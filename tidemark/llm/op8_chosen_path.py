@@ -61,7 +61,7 @@ def choose(tokens: np.ndarray, path: np.ndarray, threshold: float) -> tuple[np.n
 
 
 def sets_of(docs: DataFrame, id_col: str, text_col: str, width: int, with_sketch: bool) -> DataFrame:
-    """(id, n, d1, d2, data): distinct shingles counted and digested; data is the sketch or the sorted set."""
+    """(id, row_key, n, d1, d2, data): distinct shingles counted and digested; data is the sketch or the sorted set."""
 
     def run(batches):
         for b in slices(batches, 1, 1 << 20):
@@ -81,10 +81,17 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, width: int, with_sketch
                 data = binary_column(sketch(d, v, m).tobytes(), np.arange(m + 1) * 4 * SLOTS)
             else:
                 data = binary_column(v.tobytes(), np.concatenate([[0], np.cumsum(n * 8)]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), data], names=["id", "n", "d1", "d2", "data"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(2), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), data], names=["id", "row_key", "n", "d1", "d2", "data"]
+            )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "id long, n long, d1 long, d2 long, data binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), row_key(id_col, text_col).alias("row_key"))
+    return rows.mapInArrow(run, "id long, row_key long, n long, d1 long, d2 long, data binary")
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text"):
+    """Tells rows with one id apart; equal rows agree."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.lit(9), F.col(text_col))
 
 
 def _blocks(rows: DataFrame, key: str, sizes: DataFrame, row_id: str) -> DataFrame:
@@ -211,34 +218,39 @@ def _exact(batches, threshold: float):
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.999, work: Work | None = None) -> DataFrame:
-    """(id, class_id, n_links, kept): one row a document.
+    """(id, class_id, n_links, kept, class_key, row_key): one row a document.
 
     Linked documents have Jaccard similarity >= ``threshold`` of their sets of
     ``width``-word shingles; class_id is the smallest id reachable by links.  A
     document of fewer words has one shingle of all of them.  Null texts and texts
     without a word link with nothing.  Documents with equal sets link with each other
     and share all other links; repeated rows are copies.  Rows with a null id
-    are alone.  Other columns are ignored; an empty table gives no rows.
+    are alone.  Rows of one id with different texts are documents of their own;
+    ``class_key`` tells classes apart even then (null: alone), and ``row_key`` rows.
+    Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     work = work or Work(spark, "chosen-path")
     rows = work.save(sets_of(docs, id_col, text_col, width, True), "sketches")
     full = rows.where("n > 0 and id is not null")
-    sets = work.save(full.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("mult"), F.min("data").alias("data")), "sets")
+    sets = full.groupBy("d1", "d2", "n").agg(F.min("id").alias("low"), F.count("*").alias("mult"), F.min("data").alias("data"))
+    sets = work.save(sets.withColumn("rep", F.xxhash64("d1", "d2", "n")), "sets")
     edges = candidate_edges(sets, threshold, recall, work)
-    group = work.save(components(edges, work, "candidates"), "groups").withColumnRenamed("component", "grp")
-    some = semi_reduce(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", group.select("id"))
-    members = sets_of(some, "id", "text", width, False).join(group, "id").dropDuplicates(["id"])
+    group = work.save(components(edges, work, "candidates"), "groups").select(F.col("id").alias("rep"), F.col("component").alias("grp"))
+    wanted = sets.select("rep", "low", "mult").join(group, "rep")
+    some = semi_reduce(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", wanted.select("low"))
+    members = sets_of(some, "id", "text", width, False).withColumn("rep", F.xxhash64("d1", "d2", "n")).select("rep", "n", "data")
+    members = members.join(wanted.select("rep", "grp", "mult"), "rep").dropDuplicates(["rep"])
     sizes = group.groupBy("grp").agg(F.count("*").alias("m")).select("grp", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    members = members.join(sets.select(F.col("rep").alias("id"), "mult"), "id")
-    dealt = _blocks(members, "grp", sizes, "id").select("grp", "i", "j", "side", "id", "mult", "n", "data")
+    dealt = _blocks(members, "grp", sizes, "rep").select("grp", "i", "j", "side", "rep", "mult", "n", "data")
     found = work.save(dealt.mapInArrow(lambda it: _exact(it, threshold), "src long, dst long, n long"), "found")
     label = components(found.where("dst is not null").select("src", "dst"), work, "classes").withColumnRenamed("id", "rep")
     counts = found.where("dst is null").groupBy(F.col("src").alias("rep")).agg(F.sum("n").alias("n_links"))
-    per = sets.select("d1", "d2", F.col("n").alias("n"), "rep", "mult").join(counts, "rep", "left").join(label, "rep", "left").select(
-        "d1", "d2", "n", F.lit(False).alias("alone"), (F.coalesce("n_links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("class_id")
+    per = sets.select("d1", "d2", "n", "rep", "low", "mult").join(counts, "rep", "left").join(label, "rep", "left").withColumn("class_key", F.coalesce("component", "rep"))
+    lowest = per.where("component is not null").groupBy("class_key").agg(F.min("low").alias("class_low"))
+    per = per.join(lowest, "class_key", "left").select(
+        "d1", "d2", "n", "class_key", F.lit(False).alias("alone"), (F.coalesce("n_links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("class_low", "low").alias("class_id")
     )
     out = rows.withColumn("alone", (F.col("n") == 0) | F.col("id").isNull()).join(per, ["d1", "d2", "n", "alone"], "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")).withColumn(
-        "kept", F.coalesce(F.col(id_col) == F.col("class_id"), F.lit(True))
-    )
+    out = out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "class_key", "row_key")
+    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("class_id"), F.lit(True)))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import DOC, LAST, Cell, Cells, anchors, owner_hash, recurring, runs, shared_here
-from .common import Work, flat
+from .common import Work, flat, tidy
 from .op7_suffix import NOTE, bits, spans_of
 from .words import mix, powers, word_hashes, word_spans
 
@@ -94,6 +94,7 @@ def occurrences(cells: Cells, answers: DataFrame, span: int, work: Work) -> Data
                 if cell:
                     yield from finish(cell, docs)
                 cell, docs = Cell(q), []
+                tidy()
             if kind != DOC:
                 cell.note(kind, rows)
             elif (rows := cell.fresh(rows)).num_rows:
@@ -147,6 +148,7 @@ def verified(cells: Cells, marked: DataFrame, span: int, work: Work) -> list[Dat
                 if cell:
                     yield from out(cell, held)
                 cell, held, marks = Cell(q), [], None
+                tidy()
             if kind != DOC:
                 cell.note(kind, rows)
                 continue
@@ -203,6 +205,7 @@ def verified(cells: Cells, marked: DataFrame, span: int, work: Work) -> list[Dat
                 if part != last and blobs:
                     yield from out(blobs)
                     blobs = []
+                    tidy()
                 last = part
                 blobs.append(blob)
         if blobs:

@@ -50,7 +50,8 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op8_chosen_path.similar(documents(spark, sf_dir), width=5, threshold=0.8, recall=0.999, work=Work(spark, "op8"))
+    found = op8_chosen_path.similar(documents(spark, sf_dir), width=5, threshold=0.8, recall=0.999, work=Work(spark, "op8"))
+    return found.select("doc_id", "class_id", "n_links", "kept")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
