@@ -32,12 +32,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: the one with the smallest id; of rows with that id, one."""
-    work = Work(spark, "stage-jaccard")
-    classes = op8_chosen_path.similar(docs, work=work)
-    drop = classes.where("not kept").select("doc_id").distinct()
-    out = docs.join(drop, "doc_id", "left_anti")
-    return out.select(*COLUMNS)
+    """One document of each class of near-duplicates: the one with the smallest id; equal rows are one document."""
+    classes = op8_chosen_path.similar(docs, work=Work(spark, "stage-jaccard"))
+    chosen = classes.where("class_key is not null").groupBy("class_key").agg(F.min(F.struct("doc_id", "row_key")).alias("first"))
+    alone = classes.where("class_key is null").select("doc_id", "row_key")
+    stay = chosen.select("first.*").unionByName(alone).distinct()
+    keyed = docs.withColumn("row_key", op8_chosen_path.row_key())
+    return keyed.join(stay.select(F.col("doc_id").alias("_d"), "row_key"), "row_key").where(F.col("doc_id").eqNullSafe(F.col("_d"))).dropDuplicates(["row_key"]).select(*COLUMNS)
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
