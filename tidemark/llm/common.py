@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
+import tempfile
 import uuid
+import zipfile
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +19,26 @@ ARROW_BYTES = str(8 << 20)
 FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once an application; they need not have it installed."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp()), "tidemark.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in sorted(os.walk(top)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
     sc = spark.sparkContext
@@ -43,6 +66,7 @@ class Work:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        ship_package(spark)
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)  # workers hold a few batches
         self.root = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self._clear)

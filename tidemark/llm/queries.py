@@ -131,5 +131,44 @@ def queries() -> dict:
     }
 
 
+_LABELS = """label AS (SELECT a AS id, least(a, min(b)) AS low FROM reach GROUP BY a)"""
+
+#: All pairs, in double precision.
+OP5_SQL = f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  link AS MATERIALIZED (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id <> q.vec_id AND len(p.e) = len(q.e) WHERE list_cosine_similarity(p.e, q.e) >= 0.95),
+  reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a), {_LABELS},
+  n AS (SELECT a AS id, count(*) AS n FROM link GROUP BY a)
+  SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(low, vec_id) AS component_id, vec_id = coalesce(low, vec_id) AS kept
+  FROM embeddings LEFT JOIN label ON label.id = vec_id LEFT JOIN n ON n.id = vec_id"""
+
+OP7_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+  b AS (SELECT doc_id, n, unnest(range(n)) AS p, x FROM d),
+  s AS (SELECT doc_id, p, CASE WHEN p + 50 <= n THEN min(doc_id) OVER (PARTITION BY substr(x, 2 * p + 1, 100)) < doc_id ELSE false END AS later, substr(x, 2 * p + 1, 2) AS c FROM b),
+  r AS (SELECT doc_id, p, c, max(later) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM s),
+  t AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS head FROM r),
+  k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (head) AS n_spans, coalesce(string_agg(c, '' ORDER BY p) FILTER (NOT gone), '') AS kept FROM t GROUP BY doc_id)
+  SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+OP8_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+  s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + 5], ' ') AS x FROM (SELECT doc_id, w, unnest(range(greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  both_ AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM s p JOIN s q ON p.x = q.x AND p.doc_id <> q.doc_id GROUP BY ALL),
+  link AS MATERIALIZED (SELECT a, b FROM both_ JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 5 * c >= 4 * (na.n + nb.n - c)),
+  reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a), {_LABELS},
+  m AS (SELECT a AS id, count(*) AS m FROM link GROUP BY a)
+  SELECT doc_id, coalesce(low, doc_id) AS class_id, coalesce(m, 0)::BIGINT AS n_links, doc_id = coalesce(low, doc_id) AS kept FROM documents LEFT JOIN label ON label.id = doc_id LEFT JOIN m ON m.id = doc_id"""
+
+OP9_SQL = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+  b AS (SELECT doc_id, w, unnest(range(len(w))) AS p FROM d),
+  s AS (SELECT doc_id, p, CASE WHEN p + 50 <= len(w) THEN min(doc_id) OVER (PARTITION BY w[p + 1:p + 50]) < doc_id ELSE false END AS later, w[p + 1] AS c FROM b),
+  r AS (SELECT doc_id, p, c, max(later) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM s),
+  k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(c, ' ' ORDER BY p) FILTER (NOT gone), '') AS kept FROM r GROUP BY doc_id)
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Language ID, sharding, toxicity, sampling, packing and normal forms have no SQL; tests hold them against brute force."""
+    return {"op5_embedding_near_dedup": OP5_SQL, "op7_suffix_dedup": OP7_SQL, "op8_jaccard_join": OP8_SQL, "op9_substring_dedup": OP9_SQL}
