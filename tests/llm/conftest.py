@@ -22,7 +22,7 @@ def edge_rows(seed=5):
     texts += [f"{prose(rng, 80)} {shared} {prose(rng, 30)}" for _ in range(6)]
     words = base[3].split()
     texts += [" ".join(words[:k] + ["changed"] + words[k + 1 :]) for k in (3, 40)]
-    texts += ["x" * 200, "x" * 130 + "y", "ab " * 400, "ab " * 300, "Ünïcödé — „ﬁ“ 日本語 " * 20, "ünïcödé — „fi“ 日本語 " * 20, "a\x00b\x1ec 'tis we're", "é" * 60]
+    texts += ["=" * 4000 + " end", "=" * 3000, "start " + "-+" * 1500, "-+" * 1200 + " then", "x" * 200, "x" * 130 + "y", "ab " * 400, "ab " * 300, "Ünïcödé — „ﬁ“ 日本語 " * 20, "ünïcödé — „fi“ 日本語 " * 20, "a\x00b\x1ec 'tis we're", "é" * 60]
     texts += [prose(rng, 30_000)]
     rows = [(i * 3 + 1, t, rng.choice(["aa", "bb", None]), rng.choice(["s1", "s2", "é", None]), None if i % 4 else len(t or "")) for i, t in enumerate(texts)]
     rows += [rows[8], rows[8], (rows[9][0], rows[10][1], "aa", "s1", 1)]

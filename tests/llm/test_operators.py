@@ -3,12 +3,13 @@ import random
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
+from functools import partial
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import op1_langid, op2_kdtree, op3_chain, op4_cube, op5_rabitq, op6_packing, op7_suffix, op8_chosen_path, op9_debruijn, op10_digest
+from tidemark.llm import anchors, op1_langid, op2_kdtree, op3_chain, op4_cube, op5_rabitq, op6_packing, op7_suffix, op8_chosen_path, op9_debruijn, op10_digest
 from tidemark.llm.common import Work, semi_reduce
 from tidemark.llm.components import components
 from tidemark.llm.queries import tokenizer_path
@@ -281,6 +282,12 @@ def test_packing_round_trip(spark, edge, empty):
 # --- 7 and 9 ---
 
 
+def gathered(hot, batches, dtype, key):
+    """``gather`` with a low limit, set in the worker."""
+    anchors.HOT, anchors.GATHER = hot, hot * 100
+    return anchors.gather(batches, dtype, key)
+
+
 def brute(rows, cut, span):
     first = {}
     for i, t in rows:
@@ -299,9 +306,11 @@ def brute(rows, cut, span):
     return out
 
 
-@pytest.mark.parametrize("size", [12 << 20, 2000])
-def test_suffix_dedup_matches_brute_force(spark, edge, empty, monkeypatch, size):
+@pytest.mark.parametrize("size,hot", [(12 << 20, 1 << 20), (2000, 1 << 20), (2000, 1)])
+def test_suffix_dedup_matches_brute_force(spark, edge, empty, monkeypatch, size, hot):
     monkeypatch.setattr("tidemark.llm.anchors.CELL", size)
+    monkeypatch.setattr(op7_suffix, "gather", partial(gathered, hot))
+    monkeypatch.setattr(op9_debruijn, "gather", partial(gathered, hot))
     rows = [(r[0], r[1]) for r in ROWS]
     want = Counter((i, n, bytes(kept), spans) for i, n, kept, spans in brute(rows, lambda t: (t or "").encode(), 50))
     got = op7_suffix.repeats(edge).collect()
@@ -311,9 +320,11 @@ def test_suffix_dedup_matches_brute_force(spark, edge, empty, monkeypatch, size)
     assert op7_suffix.repeats(empty).count() == 0
 
 
-@pytest.mark.parametrize("size", [12 << 20, 2000])
-def test_substring_dedup_matches_brute_force(spark, edge, empty, monkeypatch, size):
+@pytest.mark.parametrize("size,hot", [(12 << 20, 1 << 20), (2000, 1 << 20), (2000, 1)])
+def test_substring_dedup_matches_brute_force(spark, edge, empty, monkeypatch, size, hot):
     monkeypatch.setattr("tidemark.llm.anchors.CELL", size)
+    monkeypatch.setattr(op7_suffix, "gather", partial(gathered, hot))
+    monkeypatch.setattr(op9_debruijn, "gather", partial(gathered, hot))
     rows = [(r[0], r[1]) for r in ROWS]
     want = Counter((i, n, " ".join(kept), spans) for i, n, kept, spans in brute(rows, lambda t: WORD.findall(t or ""), 50))
     got = op9_debruijn.repeats(edge).collect()

@@ -233,3 +233,89 @@ def recurring(cells: Cells, anchors_of, work: Work) -> DataFrame:
 
     owned = sent.repartition("owner").sortWithinPartitions("owner")
     return work.save(owned.mapInArrow(answer, "q int, kind int, blob binary"), "recurring")
+
+
+#: Records of one anchor beyond which its strings are classified one by one, by Spark, and record bytes a task gathers before it looks for such anchors.
+HOT, GATHER = 200_000, 96 << 20
+WINDOW = np.dtype([("w1", "<i8"), ("w2", "<i8"), ("id", "<i8"), ("uid", "<i8"), ("pos", "<i8"), ("stride", "<i4"), ("count", "<i4"), ("q", "<i4"), ("o", "<i4")])
+
+
+def gather(batches, dtype: np.dtype, key: str):
+    """(is_hot, records) from a stream of (part, blob) sorted by part.
+
+    A part comes as one array, except for anchors with more than ``HOT`` records:
+    theirs are passed on as they are read, so that a task holds ``GATHER`` bytes or
+    so even if one anchor has a third of all records.
+    """
+    last, held, size, hot = None, [], 0, np.zeros(0, dtype[key])
+
+    def split(r, hot):
+        return r[~np.isin(r[key], hot)], r[np.isin(r[key], hot)]
+
+    for b in batches:
+        for part, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if part != last:
+                if held:
+                    yield False, np.concatenate(held)
+                    tidy()
+                last, held, size, hot = part, [], 0, hot[:0]
+            r = np.frombuffer(blob, dtype)
+            if len(hot):
+                r, some = split(r, hot)
+                if len(some):
+                    yield True, some
+            held.append(r)
+            size += r.nbytes
+            if size > GATHER:
+                r = np.concatenate(held)
+                value, count = np.unique(r[key], return_counts=True)
+                if (count > HOT).any():
+                    hot = np.union1d(hot, value[count > HOT])
+                    r, some = split(r, hot)
+                    for i in range(0, len(some), 20_000):
+                        yield True, some[i : i + 20_000]
+                held, size = [r], r.nbytes // 2
+    if held:
+        yield False, np.concatenate(held)
+
+
+def hot_batch(r: np.ndarray, w1: np.ndarray, w2: np.ndarray) -> pa.RecordBatch:
+    """Note rows (kind 6) of the strings (offsets lo to hi) of hot records; w1 and w2 hash them."""
+    row, o = np.nonzero((np.arange(w1.shape[1]) >= r["lo"][:, None]) & (np.arange(w1.shape[1]) <= r["hi"][:, None]))
+    x = np.zeros(len(row), WINDOW)
+    x["w1"], x["w2"], x["o"] = w1[row, o].view(np.int64), w2[row, o].view(np.int64), o
+    x["count"] = 1
+    for c in ("id", "uid", "pos", "stride", "count", "q"):
+        if c in r.dtype.names:
+            x[c] = r[c][row]
+    return pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([6], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["q", "kind", "blob"])
+
+
+def hot_notes(found: DataFrame, note: np.dtype) -> DataFrame:
+    """Notes (kind 2) from kind 6: strings of hot anchors that an earlier document holds; equal strings meet in a map-side aggregation."""
+
+    def rows(batches):
+        for b in batches:
+            for blob in b.column(0).to_pylist():
+                x = np.frombuffer(blob, WINDOW)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[c])) for c in WINDOW.names], names=list(WINDOW.names))
+
+    each = found.where("kind = 6").select("blob").mapInArrow(rows, "w1 long, w2 long, id long, uid long, pos long, stride int, count int, q int, o int")
+    first = each.groupBy("w1", "w2").agg(F.min("id").alias("first"))
+    hit = each.join(first, ["w1", "w2"]).where("first < id")
+    masks = hit.groupBy("q", "uid", "pos", "stride", "count").agg(F.bit_or(F.expr("shiftleft(1L, o)")).alias("mask"))
+
+    def notes(batches):
+        for b in batches:
+            if b.num_rows:
+                q = b.column(0).to_numpy()
+                x = np.zeros(len(q), note)
+                x["uid"], x["pos"], x["stride"], x["count"], x["mask"] = (b.column(i).to_numpy() for i in range(1, 6))
+                order = np.argsort(q, kind="stable")
+                full, at = np.unique(q[order], return_index=True)
+                ends = [*at[1:].tolist(), len(q)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(full), pa.array(np.full(len(full), 2, np.int32)), pa.array([x[order[a:e]].tobytes() for a, e in zip(at.tolist(), ends)], pa.binary())], names=["q", "kind", "blob"]
+                )
+
+    return masks.mapInArrow(notes, "q int, kind int, blob binary")

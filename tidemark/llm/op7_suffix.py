@@ -22,20 +22,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import DOC, LAST, Cell, Cells, anchors, owner_hash, recurring, runs, shared_here
+from .anchors import DOC, LAST, Cell, Cells, anchors, gather, hot_batch, hot_notes, owner_hash, recurring, runs, shared_here
 from .common import Work, flat, tidy
 from .words import mix
 
 K = 20
 #: Records indexed together.
 BATCH = 100_000
-NOTE = np.dtype([("uid", "<i8"), ("pos", "<i8"), ("mask", "<u8")])
+#: Strings (bits of mask) around the anchors at pos, pos + stride ..., count of them, of one document.
+NOTE = np.dtype([("uid", "<i8"), ("pos", "<i8"), ("mask", "<u8"), ("stride", "<i4"), ("count", "<i4")])
 SYMBOLS = mix(np.arange(1, 257, dtype=np.uint64))
 
 
 def record(span: int) -> np.dtype:
     """An anchor with its surroundings; strings start at offsets lo to hi of the context."""
-    return np.dtype([("h", "<u8"), ("id", "<i8"), ("uid", "<i8"), ("pos", "<i8"), ("q", "<i4"), ("lo", "u1"), ("hi", "u1"), ("ctx", "u1", 2 * span - K)])
+    return np.dtype([("h", "<u8"), ("id", "<i8"), ("uid", "<i8"), ("pos", "<i8"), ("stride", "<i4"), ("count", "<i4"), ("q", "<i4"), ("lo", "u1"), ("hi", "u1"), ("ctx", "u1", 2 * span - K)])
 
 
 def byte_anchors(span: int):
@@ -58,6 +59,45 @@ def contexts(raw, at, doc, pos, span: int):
     return lo, hi, ctx
 
 
+def digests(r: np.ndarray) -> np.ndarray:
+    """64-bit hashes of records' anchors and surroundings."""
+    weight = np.random.default_rng(3).integers(1, 1 << 62, r["ctx"].shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    sums = [r["ctx"][s : s + 32768].astype(np.uint64) @ weight for s in range(0, len(r), 32768)]
+    return mix(np.concatenate(sums) ^ mix(r["lo"].astype(np.uint64) * np.uint64(256) + r["hi"]) ^ r["h"])
+
+
+def compress(r: np.ndarray) -> np.ndarray:
+    """Records of one document with equal surroundings at equal distances (text that repeats itself) as one with a count."""
+    digest = digests(r)
+    order = np.lexsort((r["pos"], digest, r["uid"]))
+    r, digest = r[order], digest[order]
+    same = (digest[1:] == digest[:-1]) & (r["uid"][1:] == r["uid"][:-1])
+    step = np.where(same, r["pos"][1:] - r["pos"][:-1], 0)
+    go_on = same.copy()
+    go_on[1:] &= ~same[:-1] | (step[1:] == step[:-1])
+    first = np.flatnonzero(np.concatenate([[True], ~go_on]))
+    count = np.diff(np.concatenate([first, [len(r)]]))
+    out = r[first].copy()
+    out["count"] = count
+    out["stride"] = np.where(count > 1, step[np.minimum(first, len(step) - 1)] if len(step) else 0, 0)
+    return out
+
+
+def spread(note: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, masks) of all anchors of notes."""
+    n = note["count"].astype(np.int64)
+    turn = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(note["pos"], n) + np.repeat(note["stride"], n) * turn, np.repeat(note["mask"], n)
+
+
+def noted(x: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    note = np.zeros(len(x), NOTE)
+    for c in ("uid", "pos", "stride", "count"):
+        note[c] = x[c]
+    note["mask"] = mask
+    return note
+
+
 def bits(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """A mask with bits lo to hi set."""
     one = np.uint64(1)
@@ -120,8 +160,7 @@ def covered(cells: Cells, span: int, work: Work) -> list[DataFrame]:
                 return
             r = np.concatenate(held)
             # equal surroundings within the cell: the earliest document speaks for all, the later ones are covered
-            weight = np.random.default_rng(3).integers(1, 1 << 62, r["ctx"].shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-            digest = mix(np.concatenate([r["ctx"][s : s + 65536].astype(np.uint64) @ weight for s in range(0, len(r), 65536)]) ^ mix(r["lo"].astype(np.uint64) * np.uint64(256) + r["hi"]) ^ r["h"])
+            digest = digests(r)
             order = np.lexsort((r["id"], digest))
             r, digest = r[order], digest[order]
             new = np.concatenate([[True], digest[1:] != digest[:-1]])
@@ -129,8 +168,7 @@ def covered(cells: Cells, span: int, work: Work) -> list[DataFrame]:
             late = r["id"] > first
             if late.any():
                 x = r[late]
-                note = np.zeros(len(x), NOTE)
-                note["uid"], note["pos"], note["mask"] = x["uid"], x["pos"], bits(x["lo"], x["hi"])
+                note = noted(x, bits(x["lo"], x["hi"]))
                 yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([cell.q], pa.int32()), pa.array([note.tobytes()], pa.binary())], names=["kind", "q", "blob"])
             r = r[~late]
             part = (r["h"] >> np.uint64(48)).astype(np.int64) % parts
@@ -166,12 +204,14 @@ def covered(cells: Cells, span: int, work: Work) -> list[DataFrame]:
                     break
                 hit = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
                 d, p, h = d[hit], p[hit], h[hit]
-                if len(d):
-                    raw, at = flat(rows.column(5))
-                    r = np.zeros(len(d), kind_of)
-                    r["lo"], r["hi"], r["ctx"] = contexts(raw, at, d, p, span)
-                    r["h"], r["id"], r["uid"], r["pos"], r["q"] = h, rows.column(2).to_numpy()[d], rows.column(3).to_numpy()[d], p - at[d], cell.q
-                    held.append(r)
+                raw, at = flat(rows.column(5))
+                for i in range(0, len(d), 32768):
+                    e, p_, h_ = d[i : i + 32768], p[i : i + 32768], h[i : i + 32768]
+                    r = np.zeros(len(e), kind_of)
+                    r["lo"], r["hi"], r["ctx"] = contexts(raw, at, e, p_, span)
+                    r["h"], r["id"], r["uid"], r["pos"], r["q"], r["count"] = h_, rows.column(2).to_numpy()[e], rows.column(3).to_numpy()[e], p_ - at[e], cell.q, 1
+                    # ordinary text has an anchor every 16 bytes; far more come from text that repeats itself
+                    held.append(compress(r) if len(d) > len(raw) // 6 else r)
             yield from out(cell, held)
 
         for q, kind, rows in runs(batches):
@@ -190,8 +230,7 @@ def covered(cells: Cells, span: int, work: Work) -> list[DataFrame]:
     found = work.save(cells.dealt(answers).mapInArrow(collect, "kind int, q int, blob binary"), "contexts")
 
     def index(batches):
-        def out(blobs):
-            r = np.frombuffer(b"".join(blobs), kind_of)
+        def out(r):
             r = r[np.argsort(r["h"], kind="stable")]
             new = np.flatnonzero(np.concatenate([[True], r["h"][1:] != r["h"][:-1]]))
             start = 0
@@ -203,8 +242,7 @@ def covered(cells: Cells, span: int, work: Work) -> list[DataFrame]:
                 mask = column_index(x["h"], x["ctx"], x["id"], x["lo"], x["hi"], span)
                 hit = np.flatnonzero(mask)
                 hit = hit[np.argsort(x["q"][hit], kind="stable")]
-                note = np.zeros(len(hit), NOTE)
-                note["uid"], note["pos"], note["mask"] = x["uid"][hit], x["pos"][hit], mask[hit]
+                note = noted(x[hit], mask[hit])
                 q, first = np.unique(x["q"][hit], return_index=True)
                 ends = [*first[1:].tolist(), len(hit)]
                 if len(q):
@@ -212,21 +250,20 @@ def covered(cells: Cells, span: int, work: Work) -> list[DataFrame]:
                         [pa.array(q.astype(np.int32)), pa.array(np.full(len(q), 2, np.int32)), pa.array([note[a:b].tobytes() for a, b in zip(first.tolist(), ends)], pa.binary())], names=["q", "kind", "blob"]
                     )
 
-        last, blobs = None, []
-        for b in batches:
-            for part, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if part != last and blobs:
-                    yield from out(blobs)
-                    blobs = []
-                    tidy()
-                last = part
-                blobs.append(blob)
-        if blobs:
-            yield from out(blobs)
+        for hot, r in gather(batches, kind_of, "h"):
+            if not hot:
+                yield from out(r)
+                continue
+            for i in range(0, len(r), 2000):
+                x = r[i : i + 2000]
+                words = np.lib.stride_tricks.sliding_window_view(x["ctx"], span, axis=1).astype(np.uint64)
+                salt = np.random.default_rng(7).integers(1, 1 << 62, (2, span), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+                yield hot_batch(x, mix(words @ salt[0] ^ x["h"][:, None]), mix(words @ salt[1]))
 
     part = found.where("kind = 3").select("q", "blob").repartition("q").sortWithinPartitions("q")
     far = work.save(part.mapInArrow(index, "q int, kind int, blob binary"), "indexed")
-    return [found.where("kind = 2").select("q", "kind", "blob"), far]
+    notes = [found.where("kind = 2").select("q", "kind", "blob"), far.where("kind = 2")]
+    return notes if far.where("kind = 6").isEmpty() else [*notes, work.save(hot_notes(far, NOTE), "hot")]
 
 
 def gone(n: int, pos: np.ndarray, mask: np.ndarray, span: int) -> np.ndarray:
@@ -261,7 +298,7 @@ def each_document(batches, span: int):
                 dead = np.ones(n, bool)
             elif first[i] < last[i]:
                 x = notes[first[i] : last[i]]
-                dead = gone(n, x["pos"], x["mask"], span)
+                dead = gone(n, *spread(x), span)
             else:
                 dead = None
             yield rows, i, raw[at[i] : at[i + 1]], dead

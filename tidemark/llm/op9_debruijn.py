@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import DOC, LAST, Cell, Cells, anchors, owner_hash, recurring, runs, shared_here
+from .anchors import DOC, LAST, Cell, Cells, anchors, gather, hot_batch, hot_notes, owner_hash, recurring, runs, shared_here
 from .common import Work, flat, tidy
 from .op7_suffix import NOTE, bits, spans_of
 from .words import mix, powers, word_hashes, word_spans
@@ -130,7 +130,7 @@ def verified(cells: Cells, marked: DataFrame, span: int, work: Work) -> list[Dat
             if late.any():
                 x = r[late]
                 note = np.zeros(len(x), NOTE)
-                note["uid"], note["pos"], note["mask"] = x["uid"], x["pos"], bits(x["lo"], x["hi"])
+                note["uid"], note["pos"], note["mask"], note["count"] = x["uid"], x["pos"], bits(x["lo"], x["hi"]), 1
                 yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([cell.q], pa.int32()), pa.array([note.tobytes()], pa.binary())], names=["kind", "q", "blob"])
             r = r[~late]
             part = (r["v"] >> np.uint64(48)).astype(np.int64) % parts
@@ -175,8 +175,7 @@ def verified(cells: Cells, marked: DataFrame, span: int, work: Work) -> list[Dat
     found = work.save(cells.dealt(mark_notes(marked.where("not inside"), BRANCH)).mapInArrow(collect, "kind int, q int, blob binary"), "windows")
 
     def index(batches):
-        def out(blobs):
-            r = np.frombuffer(b"".join(blobs), kind_of)
+        def out(r):
             mask = np.zeros(len(r), np.uint64)
             for o in range(w + 1):
                 use = np.flatnonzero((r["lo"] <= o) & (o <= r["hi"]))
@@ -191,7 +190,7 @@ def verified(cells: Cells, marked: DataFrame, span: int, work: Work) -> list[Dat
             hit = np.flatnonzero(mask)
             hit = hit[np.argsort(r["q"][hit], kind="stable")]
             note = np.zeros(len(hit), NOTE)
-            note["uid"], note["pos"], note["mask"] = r["uid"][hit], r["pos"][hit], mask[hit]
+            note["uid"], note["pos"], note["mask"], note["count"] = r["uid"][hit], r["pos"][hit], mask[hit], 1
             q, first = np.unique(r["q"][hit], return_index=True)
             ends = [*first[1:].tolist(), len(hit)]
             if len(q):
@@ -199,21 +198,16 @@ def verified(cells: Cells, marked: DataFrame, span: int, work: Work) -> list[Dat
                     [pa.array(q.astype(np.int32)), pa.array(np.full(len(q), 2, np.int32)), pa.array([note[a:b].tobytes() for a, b in zip(first.tolist(), ends)], pa.binary())], names=["q", "kind", "blob"]
                 )
 
-        last, blobs = None, []
-        for b in batches:
-            for part, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if part != last and blobs:
-                    yield from out(blobs)
-                    blobs = []
-                    tidy()
-                last = part
-                blobs.append(blob)
-        if blobs:
-            yield from out(blobs)
+        for hot, r in gather(batches, kind_of, "v"):
+            if hot:
+                yield hot_batch(r, r["win"], mix(r["win"] ^ mix(r["v"])[:, None]))
+            else:
+                yield from out(r)
 
     part = found.where("kind = 3").select("q", "blob").repartition("q").sortWithinPartitions("q")
     far = work.save(part.mapInArrow(index, "q int, kind int, blob binary"), "indexed")
-    return [found.where("kind = 2").select("q", "kind", "blob"), far]
+    notes = [found.where("kind = 2").select("q", "kind", "blob"), far.where("kind = 2")]
+    return notes if far.where("kind = 6").isEmpty() else [*notes, work.save(hot_notes(far, NOTE), "hot")]
 
 
 def mark_notes(marked: DataFrame, kind: int) -> DataFrame:
