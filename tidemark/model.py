@@ -10,7 +10,7 @@ VERSIONS = "table_id long, version_no int, effective_from long, effective_to lon
 KEY = ["table_id", "series_id", "field_id"]
 VALUE = ["kind", "u", "q", "f"]
 
-#: The reference limits on one request and on catalogue objects.
+#: Limits on one request and on catalogue objects.
 MAX_SLOTS = 1_048_576
 MAX_STREAMS = 262_144
 MAX_LIVE_UNITS = 8_192

@@ -14,8 +14,9 @@ from .visibility import visible
 def sample(facts: DataFrame, keys: DataFrame, start: int, end: int, step: int, n_keys: int, versions=None, retired_series=None, retired_fields=None, heads: DataFrame | None = None, ticks: int = 1, floor: int | None = None) -> DataFrame:
     """One row a requested key and slot start + i * step < end: state value, null or gap, the value, its time, ``carried``.
 
-    Facts before the range shrink to the newest of each stream in a partial
-    aggregation; then facts and slots of a stream meet in one window.
+    Only the newest fact before each slot can show there, so a partial
+    aggregation leaves at most one row a stream and slot (all within the slot
+    limit, however many facts a stream has); these and the slots meet in one window.
     """
     check_range(start, end, floor)
     check_step(step, "step")
@@ -24,10 +25,11 @@ def sample(facts: DataFrame, keys: DataFrame, start: int, end: int, step: int, n
     rows = facts.select(*KEY, "ts", *VALUE).join(F.broadcast(asked), KEY).where(F.col("ts") < end)
     if heads is not None:
         rows = rows.unionByName(heads.select(*KEY, "ts", *VALUE).join(F.broadcast(asked), KEY))
-    old = rows.where(F.col("ts") <= start).groupBy(*KEY).agg(*[F.max_by(v, "ts").alias(v) for v in VALUE], F.max("ts").alias("ts"))
-    rows = rows.where(F.col("ts") > start).unionByName(old)
-    fact = F.struct(F.col("ts").alias("at_ts"), *VALUE)
-    rows = rows.select(*KEY, "ts", F.lit(0).alias("grid"), fact.alias("fact"))
+    slot = F.greatest(F.lit(0).cast("long"), F.expr(f"(ts - {start}L + {step - 1}L) div {step}L"))  # the first slot at or after the fact
+    slot = F.when(F.col("ts") <= start, F.lit(0).cast("long")).otherwise(slot)
+    newest = rows.withColumn("slot", slot).groupBy(*KEY, "slot").agg(*[F.max_by(v, "ts").alias(v) for v in VALUE], F.max("ts").alias("at_ts"))
+    fact = F.struct("at_ts", *VALUE)
+    rows = newest.select(*KEY, (F.lit(start).cast("long") + F.col("slot") * step).alias("ts"), F.lit(0).alias("grid"), fact.alias("fact"))
     if start < end:
         grid = asked.withColumn("ts", F.explode(F.sequence(F.lit(start).cast("long"), F.lit(end - 1).cast("long"), F.lit(step).cast("long"))))
     else:
