@@ -149,6 +149,7 @@ def test_bulk_frame(spark, tmp_path):
         t = db.create_table([(1, 1), (2, 1)])
         rows = spark.range(1000).selectExpr(f"cast({t} as long) table_id", "id % 10 series_id", "1 field_id", "id ts", "cast(1 as tinyint) kind", "cast(id as decimal(20,0)) u", "cast(null as smallint) q", "cast(null as long) f")
         db.append_frame(rows)
+        assert db.verify() == 1
         assert db.snapshot().facts().count() == 1000 and db.snapshot().table_last_timestamp(t) == 999
         with pytest.raises(InvalidArgument):
             db.append_frame(rows)

@@ -27,6 +27,10 @@ def test_token_stream_vectors():
     assert h([0] * 31) == "9f" and h([0] * 32) == "a001" and h([None] * 15) == "cf" and h([None] * 16) == "d001"
 
 
+def test_fixed_vector():
+    assert codec.fixed_bytes([1, None, 0x0203]).hex() == "020201000302" and codec.fixed_bytes([7]).hex() == "0107"
+
+
 def test_token_sizes_match_bytes(spark):
     import random
 

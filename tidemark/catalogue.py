@@ -308,6 +308,18 @@ def fixed_width_size(spark, sf_dir):
     return codec.encoding_choice(f, ["series_id", "field_id"]).select("series_id", "field_id", "rows", "fixed_bytes")
 
 
+def presence_size(spark, sf_dir):
+    f = event_facts(spark, sf_dir).select("table_id", "series_id", "field_id", "ts")
+    return codec.presence_size(f, ["series_id", "field_id"], ["table_id"])
+
+
+def unit_checksums(spark, sf_dir):
+    """What a reader compares with a unit's catalogue row before it trusts the file: count, bytes and highest digest of the facts' text."""
+    f = _units(event_facts(spark, sf_dir))
+    line = F.concat_ws(":", "series_id", "field_id", "ts", F.coalesce(F.col("u").cast("string"), F.lit("null")))
+    return f.groupBy("unit_id").agg(F.count("*").alias("facts"), F.sum(F.length(F.sha2(line, 256)) + F.length(line)).cast("long").alias("bytes"), F.max(F.sha2(line, 256)).alias("digest"))
+
+
 def queries() -> dict:
     q = lambda f, *a, **k: lambda spark, sf_dir: f(spark, sf_dir, *a, **k)
     return {
@@ -325,6 +337,7 @@ def queries() -> dict:
         "compact_preserves_facts": compact_preserves_facts, "closed_window_selection": closed_window_selection, "export_chunk_budget": export_chunk_budget,
         "sq1_decode": sq1_decode, "f32_order_key": f32_order_key, "delta2_zigzag": delta2_zigzag, "delta2_round_trip": delta2_round_trip,
         "f32_xor_round_trip": f32_xor_round_trip, "nvr_run_lengths": nvr_run_lengths, "fixed_width_size": fixed_width_size,
+        "presence_size": presence_size, "unit_checksums": unit_checksums,
     }
 
 
@@ -377,8 +390,13 @@ def oracle_sql() -> dict[str, str]:
           SELECT series_id, CAST(field_id AS INTEGER) AS field_id, token, first_ts, length,
             CAST(CASE token WHEN 'lit' THEN {varint('v', 6)} WHEN 'zero' THEN {varint('length', 5)} ELSE {varint('length', 4)} END AS BIGINT) AS size FROM r""",
         "fixed_width_size": f"""WITH {_facts_sql()} SELECT series_id, CAST(field_id AS INTEGER) AS field_id, count(*) AS rows,
-            CAST(CASE WHEN coalesce(max(v), 0) < 256 THEN 1 WHEN max(v) < 65536 THEN 2 WHEN max(v) < 4294967296 THEN 4 ELSE 8 END * count(v)
+            CAST(1 + CASE WHEN coalesce(max(v), 0) < 256 THEN 1 WHEN max(v) < 65536 THEN 2 WHEN max(v) < 4294967296 THEN 4 ELSE 8 END * count(v)
             + CASE WHEN count(v) < count(*) THEN (count(*) + 7) // 8 ELSE 0 END AS BIGINT) AS fixed_bytes FROM f GROUP BY 1, 2""",
+        "presence_size": f"""WITH {_facts_sql()}, r AS (SELECT count(DISTINCT ts) AS rows FROM f)
+          SELECT table_id, series_id, CAST(field_id AS INTEGER) AS field_id, count(*) AS facts, any_value(rows) AS rows, CASE WHEN count(*) = any_value(rows) THEN 0 ELSE (any_value(rows) + 7) // 8 END AS presence_bytes
+          FROM f, r GROUP BY 1, 2, 3""",
+        "unit_checksums": f"""WITH {_facts_sql()}, l AS (SELECT CAST({unit} AS BIGINT) AS unit_id, concat(series_id, ':', field_id, ':', ts, ':', coalesce(CAST(v AS VARCHAR), 'null')) AS line FROM f)
+          SELECT unit_id, count(*) AS facts, CAST(sum(64 + length(line)) AS BIGINT) AS bytes, max(sha256(line)) AS digest FROM l GROUP BY 1""",
         "export_chunk_budget": f"""WITH {_facts_sql()}, a AS (SELECT event_id AS seq, 40 + length(coalesce(CAST(v AS VARCHAR), '')) AS bytes FROM f WHERE event_id > 99),
           b AS (SELECT seq, bytes, CAST(sum(bytes) OVER (ORDER BY seq) AS BIGINT) AS upto FROM a) SELECT * FROM b WHERE upto <= 65536""",
         "f32_order_key": f"WITH {_facts_sql(F32)} SELECT event_id, rank() OVER (PARTITION BY series_id, field_id ORDER BY v) AS place FROM f WHERE v IS NOT NULL",

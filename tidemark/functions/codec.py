@@ -72,12 +72,29 @@ def token_size(token: Column, length: Column, code: Column) -> Column:
 def encoding_choice(df: DataFrame, keys: list[str], value: str = "u") -> DataFrame:
     """(keys, rows, fixed_bytes, run_bytes, encoding): the run encoding only where it is strictly smaller."""
     fixed = df.groupBy(*keys).agg(
-        F.count("*").alias("rows"), (fixed_width(F.coalesce(F.max(value), F.lit(0))) * F.count(value) + F.when(F.count(value) < F.count("*"), F.ceil(F.count("*") / 8)).otherwise(0)).cast("long").alias("fixed_bytes")
+        F.count("*").alias("rows"), (1 + fixed_width(F.coalesce(F.max(value), F.lit(0))) * F.count(value) + F.when(F.count(value) < F.count("*"), F.ceil(F.count("*") / 8)).otherwise(0)).cast("long").alias("fixed_bytes")
     )
     run = run_tokens(delta2(df, keys, value), keys).groupBy(*keys).agg(F.sum("size").cast("long").alias("run_bytes"))
     return fixed.join(run, keys).withColumn("encoding", F.when(F.col("run_bytes") < F.col("fixed_bytes"), "runs").otherwise("fixed"))
 
 
+def presence_size(df: DataFrame, keys: list[str], section: list[str]) -> DataFrame:
+    """(keys, facts, rows, presence_bytes): a bit for each row (distinct ts) of the section unless the stream has a fact in all of them."""
+    rows = df.groupBy(*section).agg(F.countDistinct("ts").alias("rows"))
+    facts = df.groupBy(*section, *keys).agg(F.count("*").alias("facts"))
+    size = F.when(F.col("facts") == F.col("rows"), 0).otherwise(F.ceil(F.col("rows") / 8)).cast("long")
+    return facts.join(F.broadcast(rows), section).select(*section, *keys, "facts", "rows", size.alias("presence_bytes"))
+
+
+def fixed_bytes(values: list[int | None]) -> bytes:
+    """Unsigned integers at one width: the width, a bit for each null if there are any, then the values, little-endian."""
+    top = max((v for v in values if v is not None), default=0)
+    width = 1 if top < 256 else 2 if top < 65536 else 4 if top < 2**32 else 8
+    nulls = sum(1 << i for i, v in enumerate(values) if v is None)
+    bitmap = nulls.to_bytes(-(-len(values) // 8), "little") if nulls else b""
+    return bytes([width]) + bitmap + b"".join(v.to_bytes(width, "little") for v in values if v is not None)
+
+
 def nvr_bytes(symbols: list[int | None]) -> bytes:
     """The byte stream of one column, for golden vectors and small exports."""
     out = bytearray()
