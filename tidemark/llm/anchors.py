@@ -21,7 +21,7 @@ from .common import Work, flat, tidy
 from .words import mix
 
 #: Text bytes of a cell.
-CELL = 12 << 20
+CELL = 8 << 20
 DOC = 9
 LAST = (1 << 63) - 1
 ROW = "q int, kind int, id long, uid long, blob binary, text string"

@@ -96,6 +96,11 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
+    """Marks a table of a known number of rows for broadcast, unless there are too many."""
+    return F.broadcast(df) if rows <= most else df
+
+
 def semi_reduce(df: DataFrame, column: str, ids: DataFrame, bits: int = 1 << 22) -> DataFrame:
     """Rows of ``df`` whose ``column`` may occur in the one column of ``ids``.
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from .common import Work, list_column, slices
+from .common import Work, list_column, slices, small
 
 UNKNOWN = "und"
 LETTERS = 64
@@ -106,7 +106,7 @@ def train(labelled: DataFrame, work: Work, per_label: int = 400, landmarks_per_l
     if not counts:
         return None
     spark = labelled.sparkSession
-    rates = F.broadcast(spark.createDataFrame([(k, min(1.0, 4.0 * per_label / n)) for k, n in counts.items()], "lang string, rate double"))
+    rates = small(spark.createDataFrame([(k, min(1.0, 4.0 * per_label / n)) for k, n in counts.items()], "lang string, rate double"), len(counts))
     few = rows.join(rates, "lang").where(share < F.col("rate")).dropDuplicates(["lang", "h"])
     few = few.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("k") <= per_label)
     few = work.save(few.select("lang", "text", "k"), "train")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Work
+from .common import WORD, Work, small
 
 BLOCK = 20_000
 
@@ -155,7 +155,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2, w
     for s, (size, n) in counts.items():
         r = goal[s] / size if size else 0.0
         rows.append((s, size, goal[s], int(r + 1e-12), max(0.0, r - int(r + 1e-12)), max(1, -(-n // BLOCK))))
-    plan = F.broadcast(spark.createDataFrame(rows, "p_source string, source_size long, target double, base int, pi double, blocks int"))
+    plan = small(spark.createDataFrame(rows, "p_source string, source_size long, target double, base int, pi double, blocks int"), len(rows))
     state = sized.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
     schema = "doc_id long, source string, size long, h long, source_size long, target double, base int, pi double, block long, last boolean"
     done, n = [state.where("pi < 1e-9").drop("blocks")], 0

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UnionFind, Work, binary_column
+from .common import UnionFind, Work, binary_column, small
 from .components import components
 
 #: Rows of a bucket compared in one block; larger buckets become pairs of blocks.
@@ -145,8 +145,7 @@ def _links(points: DataFrame, dim: int, n: int, kind: str, threshold: float, rec
     rows = points.select(F.col("key").alias("rep"), "mult", "v").mapInArrow(spread, "bucket long, rep long, mult long, vec binary, code binary, factor double, keys binary")
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK)
     sizes = work.save(sizes.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).select("bucket", "blocks"), f"hot-{dim}")
-    if sizes.count() <= 100_000:
-        sizes = F.broadcast(sizes)
+    sizes = small(sizes, sizes.count())
     rows = rows.join(sizes, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "bucket", F.least("side", "other").cast("int").alias("i"), F.greatest("side", "other").cast("int").alias("j"), "side", "rep", "mult", "vec", "code", "factor", "keys"

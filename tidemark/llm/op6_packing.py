@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import Work, binary_column, slices
 from .words import word_hashes, word_spans
 
-CACHE = 1_200_000
+CACHE = 600_000
 #: Stands between texts; a text that holds it is not plain.
 GAP = "\x1e"
 _tokenizers: dict = {}

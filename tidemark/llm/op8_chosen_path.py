@@ -94,12 +94,16 @@ def row_key(id_col: str = "doc_id", text_col: str = "text"):
     return F.xxhash64(F.col(id_col).cast("long"), F.lit(9), F.col(text_col))
 
 
-def _blocks(rows: DataFrame, key: str, sizes: DataFrame, row_id: str) -> DataFrame:
-    """Deals each key's rows to pairs of blocks (i, j); ``sizes`` (key, blocks) names every key wanted."""
-    rows = rows.join(sizes, key).withColumn("side", F.pmod(F.xxhash64(row_id), F.col("blocks")).cast("int"))
+def _blocks(rows: DataFrame, key: str, sizes: DataFrame, payload: DataFrame) -> DataFrame:
+    """Deals each key's rows (rep) to pairs of blocks (i, j), then brings the payload (rep, ...) there.
+
+    ``sizes`` (key, blocks) names every key wanted.  Blocks are chosen on narrow rows, so the payload is
+    shuffled twice at most.
+    """
+    rows = rows.join(sizes, key).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("i", F.least("side", "other").cast("int")).withColumn("j", F.greatest("side", "other").cast("int"))
-    return rows.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+    rows = rows.withColumn("i", F.least("side", "other").cast("int")).withColumn("j", F.greatest("side", "other").cast("int")).drop("other", "blocks")
+    return rows.join(payload, "rep").repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
 def _forest_rows(batches, low: float):
@@ -156,8 +160,7 @@ def candidate_edges(sets: DataFrame, threshold: float, recall: float, work: Work
         last = level == DEPTH
         small = sizes if last else sizes.where(F.col("m") <= SMALL)
         small = small.select("path", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-        wanted = rows.join(small.select("path"), "path", "left_semi")
-        dealt = _blocks(wanted.join(sets.select("rep", "data"), "rep"), "path", small, "rep").select("path", "i", "j", "side", "rep", "data")
+        dealt = _blocks(rows, "path", small, sets.select("rep", "data")).select("path", "i", "j", "side", "rep", "data")
         found = work.save(dealt.mapInArrow(lambda it: _forest_rows(it, low), "src long, dst long").distinct(), f"edges-{level}")
         edges = found if edges is None else edges.unionByName(found)
         if last:
@@ -239,10 +242,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     group = work.save(components(edges, work, "candidates"), "groups").select(F.col("id").alias("rep"), F.col("component").alias("grp"))
     wanted = sets.select("rep", "low", "mult").join(group, "rep")
     some = semi_reduce(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", wanted.select("low"))
-    members = sets_of(some, "id", "text", width, False).withColumn("rep", F.xxhash64("d1", "d2", "n")).select("rep", "n", "data")
-    members = members.join(wanted.select("rep", "grp", "mult"), "rep").dropDuplicates(["rep"])
+    members = sets_of(some, "id", "text", width, False).select(F.xxhash64("d1", "d2", "n").alias("rep"), "n", "data").dropDuplicates(["rep"])
     sizes = group.groupBy("grp").agg(F.count("*").alias("m")).select("grp", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    dealt = _blocks(members, "grp", sizes, "rep").select("grp", "i", "j", "side", "rep", "mult", "n", "data")
+    dealt = _blocks(wanted.select("rep", "grp", "mult"), "grp", sizes, members).select("grp", "i", "j", "side", "rep", "mult", "n", "data")
     found = work.save(dealt.mapInArrow(lambda it: _exact(it, threshold), "src long, dst long, n long"), "found")
     label = components(found.where("dst is not null").select("src", "dst"), work, "classes").withColumnRenamed("id", "rep")
     counts = found.where("dst is null").groupBy(F.col("src").alias("rep")).agg(F.sum("n").alias("n_links"))
