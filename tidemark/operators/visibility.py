@@ -17,17 +17,17 @@ def visible(found: DataFrame, versions: DataFrame | None = None, retired_series:
     """
     cutoffs = []
     if retired_series is not None:
-        found = found.join(F.broadcast(retired_series.select("table_id", "series_id", F.col("cutoff").alias("_rs"))), ["table_id", "series_id"], "left")
+        found = found.join(retired_series.select("table_id", "series_id", F.col("cutoff").alias("_rs")), ["table_id", "series_id"], "left")
         cutoffs.append("_rs")
     if retired_fields is not None:
-        found = found.join(F.broadcast(retired_fields.select("table_id", "field_id", F.col("cutoff").alias("_rf"))), ["table_id", "field_id"], "left")
+        found = found.join(retired_fields.select("table_id", "field_id", F.col("cutoff").alias("_rf")), ["table_id", "field_id"], "left")
         cutoffs.append("_rf")
     live = F.col("at_ts").isNotNull() & (F.col("t") >= F.col("at_ts"))
     if cutoffs:
         cut = F.greatest(*cutoffs) if len(cutoffs) > 1 else F.col(cutoffs[0])
         live = live & ~F.coalesce((F.col("t") > cut) & (F.col("at_ts") <= cut), F.lit(False))
     if versions is not None:
-        v = F.broadcast(versions.select(F.col("table_id").alias("_vt"), "effective_from", "effective_to", "validity_s"))
+        v = versions.select(F.col("table_id").alias("_vt"), "effective_from", "effective_to", "validity_s")
         inside = (F.col("table_id") == F.col("_vt")) & (F.col("at_ts") >= F.col("effective_from")) & (F.col("effective_to").isNull() | (F.col("at_ts") < F.col("effective_to")))
         found = found.join(v, inside, "left")
         age = F.col("t").cast(WIDE) - F.col("at_ts").cast(WIDE)
