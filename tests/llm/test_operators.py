@@ -72,6 +72,21 @@ def test_language_held_out_accuracy_and_edges(spark, edge, empty):
     assert {r["lang_pred"] for r in op1_langid.predict(edge, None).collect()} == {"und"} and op1_langid.predict(empty, model).count() == 0
 
 
+def test_language_sample_counts_distinct_texts(spark):
+    rng = random.Random(3)
+    texts = {"aa": [prose(rng, 6) for _ in range(30)], "bb": [prose(rng, 6, "stuvw") for _ in range(60)], "cc": [prose(rng, 6, "klmno") for _ in range(3)]}
+    rows = [(k, t) for k, ts in texts.items() for t in ts] + [("aa", "copied line")] * 20_000
+    df, work = spark.createDataFrame(rows, "lang string, text string"), Work(spark, "t")
+    model = op1_langid.train(df, work, per_label=20)
+    assert model.labels == ["aa", "bb", "cc"]
+    hashed = df.distinct().select("lang", "text", F.xxhash64(F.lit(1), "text").alias("h")).collect()
+    want = {k: [r["text"] for r in sorted((r for r in hashed if r["lang"] == k), key=lambda r: r["h"])][:20] for k in texts}
+    got = {k: [] for k in texts}
+    for r in sorted(spark.read.parquet(f"{work.root}/train").collect(), key=lambda r: r["k"]):
+        got[r["lang"]].append(r["text"])
+    assert got == want
+
+
 # --- 2 ---
 
 

@@ -102,13 +102,25 @@ def train(labelled: DataFrame, work: Work, per_label: int = 400, landmarks_per_l
     """
     rows = labelled.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64(F.lit(1), "text").alias("h"))
     share = (F.col("h") / F.lit(2.0**64)) + 0.5
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    keys = work.save(rows.select("lang", "h").distinct(), "train-keys")
+    counts = {r["lang"]: r["n"] for r in keys.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     spark = labelled.sparkSession
-    rates = small(spark.createDataFrame([(k, min(1.0, 4.0 * per_label / n)) for k, n in counts.items()], "lang string, rate double"), len(counts))
-    few = rows.join(rates, "lang").where(share < F.col("rate")).dropDuplicates(["lang", "h"])
-    few = few.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("k") <= per_label)
+
+    def lowest(rate: dict[str, float], name: str) -> DataFrame:
+        """The lowest hashes (lang, h, k) among the given share of each language's."""
+        rates = small(spark.createDataFrame(sorted(rate.items()), "lang string, rate double"), len(rate))
+        ranked = keys.join(rates, "lang").where(share < F.col("rate")).withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h")))
+        return work.save(ranked.where(F.col("k") <= per_label).select("lang", "h", "k"), name)
+
+    chosen = lowest({k: min(1.0, 4.0 * per_label / n) for k, n in counts.items()}, "train-chosen")
+    have = {r["lang"]: r["n"] for r in chosen.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    short = [k for k, n in counts.items() if have.get(k, 0) < min(per_label, n)]
+    if short:  # hashes so uneven that the share held too few: rank all of them
+        again = lowest(dict.fromkeys(short, 2.0), "train-short")
+        chosen = chosen.where(~F.col("lang").isin(short)).unionByName(again)
+    few = rows.join(small(chosen, per_label * len(counts)), ["lang", "h"]).dropDuplicates(["lang", "h"])
     few = work.save(few.select("lang", "text", "k"), "train")
     found = [(r["lang"], np.array(r["grams"], np.int32)) for r in _grams_of(few.where(F.col("k") <= landmarks_per_label).select("lang", "text")).collect()]
     found = sorted(found, key=lambda x: (x[0], len(x[1]), x[1].tobytes()))
