@@ -1,5 +1,6 @@
 """Each stage against a brute-force version of its decisions, and registration of the queries."""
 
+import random
 from collections import Counter
 
 import numpy as np
@@ -10,7 +11,7 @@ import corpus_pipeline
 from tidemark.llm import op1_langid, op4_cube, queries
 from tidemark.llm.common import Work
 
-from .conftest import WORD, edge_rows
+from .conftest import WORD, edge_rows, prose
 from .test_operators import Sets, brute
 
 ROWS = edge_rows()
@@ -87,6 +88,27 @@ def test_mixing_stage_repeats_documents(stages):
     assert all(abs(got[r["source"]] - goal[r["source"]]) <= max(0.05 * goal[r["source"]], r["m"]) for r in big)
 
 
+def test_stages_keep_rows_with_null_ids(spark):
+    rng = random.Random(8)
+    rows = [(None if i % 2 else i, prose(rng, 40), "aa", "s1" if i % 3 else None, 1) for i in range(60)]
+    docs = spark.createDataFrame(rows + [rows[1], rows[3]], "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = op4_cube.mix(docs, work=Work(spark, "t")).collect()
+    want = Counter()
+    for r in mixed:
+        want[(r["doc_id"], r["source"])] += r["copies"]
+    got = Counter((r["doc_id"], r["source"]) for r in corpus_pipeline.mixing(spark, docs, "").collect())
+    assert got == +want and got[(None, "s1")] > 0 and got[(None, None)] > 0
+    work, before = Work(spark, "t"), {r[1] for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = work.save(stage(spark, docs, ""), name)
+        after = {r["text"] for r in docs.where("doc_id is null").collect()}
+        assert after and after <= before
+        if name in ("near_duplicates", "repeated_spans"):
+            assert docs.count() == 60 and docs.where("doc_id is null").count() == 30
+    nulls = docs.where("doc_id is null").count()
+    assert corpus_pipeline.packing(spark, docs, "").where("doc_id is null and start = 0").count() == nulls
+
+
 def test_packing_stage_holds_every_token(stages):
     from tokenizers import Tokenizer
 
