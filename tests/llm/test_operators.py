@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import anchors, op1_langid, op2_kdtree, op3_chain, op4_cube, op5_rabitq, op6_packing, op7_suffix, op8_chosen_path, op9_debruijn, op10_digest
+from tidemark.llm import anchors, op1_langid, op2_kdtree, op3_chain, op4_cube, op5_rabitq, op6_packing, op7_suffix, op8_chosen_path, op9_debruijn, op10_digest, queries
 from tidemark.llm.common import Work, semi_reduce
 from tidemark.llm.components import components
 from tidemark.llm.queries import tokenizer_path
@@ -459,3 +459,33 @@ def test_next_document_and_edit(spark):
         t, k = texts[r["doc_id"]], len(texts[r["doc_id"]]) // 4
         assert r["edited"] == t[: len(t) - k] + texts[after[r["doc_id"]]][:k]
     assert hashlib.sha256(b"").hexdigest() == op7_suffix.sha256(b"")
+
+
+def test_fingerprint_query_tells_rows_of_one_id_apart(spark, monkeypatch):
+    rows = [(1, "alpha beta gamma delta"), (1, "alpha beta gamma delta"), (1, "x" * 90), (2, "short one"), (2, "a far longer text of the second id"), (2, "short one"), (7, "ALPHA beta gamma delta"), (None, "x" * 90), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = {(r["doc_id"], r["t"]): r["k"] for r in docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).select("doc_id", "t", op10_digest.row_key("doc_id", "t").alias("k")).collect()}
+    first = {i: min((t for d, t in key if d == i), key=lambda t: key[(i, t)]) for i in (1, 2, 7)}
+    after = {1: 2, 2: 7, 7: 1}
+    canon = lambda t: " ".join((t or "").lower().split())
+    edit = lambda i, t: t[: len(t) - len(t) // 4] + first[after[i]][: len(t) // 4]
+    real = op10_digest.hashes
+    for hashes in (real, lambda text: [(F.length(text) % 2).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2")]):
+        monkeypatch.setattr(op10_digest, "hashes", hashes)
+        got = queries._op10(docs, Work(spark, "t")).collect()
+        shown = lambda i, t: (i, len(t), None if i is None else hashlib.sha256(edit(i, t).encode()).hexdigest())
+        assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == Counter(shown(i, t or "") for i, t in rows)
+        name = {}
+        for i, t in rows:
+            for r in got:
+                if (r["doc_id"], r["n_chars"], r["edited_sha256"]) == shown(i, t or ""):
+                    assert name.setdefault(canon(t), r["fingerprint"]) == r["fingerprint"]
+                    if i is None:
+                        assert r["edited_fingerprint"] is None and r["near_edited"] is None and r["near_next"] is None
+                    else:
+                        assert name.setdefault(canon(edit(i, t)), r["edited_fingerprint"]) == r["edited_fingerprint"]
+                        assert r["near_next"] == float(canon(t) == canon(first[after[i]]))
+        assert len(set(name.values())) == len(name)
+        pairs = op10_digest.fingerprints(docs, "doc_id", "text").collect()
+        assert Counter((r["doc_id"], r["fingerprint"]) for r in pairs) == Counter((i, name[canon(t)]) for i, t in rows) or hashes is not real
+        assert len(pairs) == len(rows) and len({r["fingerprint"] for r in pairs}) == len({canon(t) for _, t in rows})

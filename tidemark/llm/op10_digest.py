@@ -34,9 +34,20 @@ def hashes(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(0x9E3779B9), text, F.length(text)).alias("h2")]
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """Tells rows of one id apart; equal rows agree."""
+    return F.xxhash64(F.col(id_col), F.lit(10), F.col(text_col))
+
+
+def place(id_col: str = "doc_id", key: str = "row_key") -> Column:
+    """The id, or the row's key where it is null: with the key it names a row, can be joined and puts null ids in no one task."""
+    return F.coalesce(F.col(id_col), F.col(key))
+
+
 def resolve(digests: DataFrame, keys: list[str], reread: Callable[[DataFrame], DataFrame], work: Work) -> DataFrame:
     """``digests`` (keys, h1, h2) with a column ``fingerprint``.
 
+    The keys name a row (equal rows may share them) and are not null.
     ``reread(rows)`` returns (keys, canon) for the given key rows.  Rows that
     share a wide hash with another row have their canonical bytes grouped, after
     map-side aggregation, by (h1, h2, canon): a bucket with one text keeps the
@@ -45,7 +56,7 @@ def resolve(digests: DataFrame, keys: list[str], reread: Callable[[DataFrame], D
     """
     shared = digests.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     members = work.save(digests.join(shared, ["h1", "h2"]).select(*keys, "h1", "h2").distinct(), "members")
-    own = reread(members.select(*keys)).select(*keys, "canon", *hashes(F.col("canon")))  # an id may have several texts
+    own = reread(members.select(*keys)).select(*keys, "canon", *hashes(F.col("canon")))
     texts = own.join(members, [*keys, "h1", "h2"]).distinct()
     kinds = texts.groupBy("h1", "h2", "canon").agg(F.count("*").alias("n"))
     clash = kinds.groupBy("h1", "h2").agg(F.count("*").alias("kinds")).where("kinds > 1")
@@ -57,8 +68,7 @@ def resolve(digests: DataFrame, keys: list[str], reread: Callable[[DataFrame], D
     order = W.partitionBy("h1", "h2").orderBy("canon")
     ranked = kinds.join(clash, ["h1", "h2"]).withColumn("k", F.row_number().over(order))
     which = texts.join(ranked.select("h1", "h2", "canon", "k"), ["h1", "h2", "canon"]).select(*keys, "h1", "h2", "canon", "k")
-    # in a colliding bucket hashes do not tell an id's texts apart: its lowest number counts for all of them
-    which = which.groupBy(*keys, "h1", "h2").agg(F.min("k").alias("k"))
+    which = which.groupBy(*keys, "h1", "h2").agg(F.min("k").alias("k"))  # a row for each key
     return out.join(which, [*keys, "h1", "h2"], "left").withColumn(
         "fingerprint", F.when(F.col("k") > 1, F.concat("fingerprint", F.lit("-"), F.col("k").cast("string"))).otherwise(F.col("fingerprint"))
     ).drop("k")
@@ -71,13 +81,15 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, work: Work | None =
     repeat; a null id keeps its row.  Other columns are ignored.
     """
     work = work or Work(df.sparkSession, "digest")
-    rows = df.select(F.col(id_col).alias("id"), canonical(F.col(text_col)).alias("canon"))
-    digests = work.save(rows.select("id", *hashes(F.col("canon"))), "digests")
+    keyed = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    keyed = keyed.withColumn("row_key", row_key("id")).withColumn("place", F.coalesce(F.col("id").cast("string"), F.col("row_key").cast("string")))
+    rows = keyed.select("id", "place", "row_key", canonical(F.col("text")).alias("canon"))
+    digests = work.save(rows.select("id", "place", "row_key", *hashes(F.col("canon"))), "digests")
 
     def reread(keep: DataFrame) -> DataFrame:
-        return semi_reduce(rows, "id", keep).join(keep.distinct(), "id", "left_semi")
+        return semi_reduce(rows.drop("id"), "place", keep.select("place")).join(keep.distinct(), ["place", "row_key"], "left_semi")
 
-    return resolve(digests, ["id"], reread, work).select(F.col("id").alias(id_col), "fingerprint")
+    return resolve(digests, ["place", "row_key"], reread, work).select(F.col("id").alias(id_col), "fingerprint")
 
 
 def next_ids(ids: DataFrame, work: Work) -> DataFrame:
@@ -103,13 +115,19 @@ def next_ids(ids: DataFrame, work: Work) -> DataFrame:
 
 
 def edited(docs: DataFrame, links: DataFrame) -> DataFrame:
-    """(doc_id, text, edited): the last quarter of the code points replaced by the first as many of the next document.
+    """(doc_id, text, edited) of the rows whose id has a link: the last quarter of the code points replaced by the first as many of the next document.
 
-    ``docs`` must hold both ends of the ``links`` (doc_id, next_id).  Only the
-    quarter that is needed of the next text travels.
+    ``docs`` must hold all rows of both ends of the ``links`` (doc_id, next_id).
+    Of several rows of the next id, the one with the lowest ``row_key`` is the
+    next document.  Only the quarter that is needed of its text travels, to the
+    id, once, so rows of one id are never multiplied.
     """
-    size = docs.select("doc_id", F.floor(F.length("text") / 4).cast("int").alias("k"))
-    need = links.join(size, "doc_id").select(F.col("doc_id").alias("into"), F.col("next_id").alias("doc_id"), "k")
-    tail = docs.join(need, "doc_id").select(F.col("into").alias("doc_id"), F.expr("substring(text, 1, k)").alias("tail"))
+    docs = docs.select("doc_id", "text")  # the same columns in both joins, so they share a shuffle
+    ids = docs.groupBy("doc_id").agg(F.min(row_key()).alias("lowest"), F.max(F.floor(F.length("text") / 4)).cast("int").alias("k"))
+    need = links.join(ids.select("doc_id", "k"), "doc_id").select(F.col("doc_id").alias("into"), F.col("next_id").alias("doc_id"), "k")
+    need = need.join(ids.select("doc_id", "lowest"), "doc_id")
+    tail = docs.join(need, "doc_id").where(row_key() <= F.col("lowest")).select(F.col("into").alias("doc_id"), F.expr("substring(text, 1, k)").alias("tail"))
+    tail = tail.groupBy("doc_id").agg(F.max("tail").alias("tail"))  # equal rows
     cut = F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))")
-    return docs.join(tail, "doc_id").select("doc_id", "text", F.concat(cut, F.col("tail")).alias("edited"))
+    end = F.expr("substring(tail, 1, cast(floor(length(text) / 4) as int))")
+    return docs.join(tail, "doc_id").select("doc_id", "text", F.concat(cut, end).alias("edited"))

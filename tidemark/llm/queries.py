@@ -72,12 +72,19 @@ def op6_packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    work = Work(spark, "op10")
-    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """One row a document, repeated rows repeat; a null id has no next document, so what depends on one is null."""
+    return _op10(documents(spark, sf_dir), Work(spark, "op10"))
+
+
+def _op10(docs: DataFrame, work: Work) -> DataFrame:
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    keyed = lambda df: df.withColumn("row_key", op10_digest.row_key()).withColumn("place", op10_digest.place())
     links = op10_digest.next_ids(docs, work)
-    both = op10_digest.edited(docs, links)
-    canon = both.select(
+    both = op10_digest.edited(docs, links).unionByName(docs.where("doc_id is null").withColumn("edited", F.lit(None).cast("string")))
+    canon = keyed(both).select(
         "doc_id",
+        "place",
+        "row_key",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         op10_digest.canonical(F.col("text")).alias("c"),
@@ -85,27 +92,28 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     h1, h2 = op10_digest.hashes(F.col("c"))
     e1, e2 = op10_digest.hashes(F.col("e"))
-    rows = work.save(canon.select("doc_id", "n_chars", "edited_sha256", h1, h2, e1.alias("e1"), e2.alias("e2")), "rows")
-    digests = rows.select("doc_id", F.lit(0).alias("kind"), "h1", "h2").unionByName(
-        rows.select("doc_id", F.lit(1).alias("kind"), F.col("e1").alias("h1"), F.col("e2").alias("h2"))
+    rows = work.save(canon.select("doc_id", "place", "row_key", "n_chars", "edited_sha256", h1, h2, e1.alias("e1"), e2.alias("e2")), "rows")
+    digests = rows.select("place", "row_key", F.lit(0).alias("kind"), "h1", "h2").unionByName(
+        rows.where("doc_id is not null").select("place", "row_key", F.lit(1).alias("kind"), F.col("e1").alias("h1"), F.col("e2").alias("h2"))
     )
 
     def reread(keep: DataFrame) -> DataFrame:
-        changed = links.join(keep.where("kind = 1").select("doc_id"), "doc_id", "left_semi")
-        need = keep.select("doc_id").union(changed.select("next_id"))
-        some = semi_reduce(docs, "doc_id", need)
-        again = op10_digest.edited(some, changed).select("doc_id", F.lit(1).alias("kind"), op10_digest.canonical(F.col("edited")).alias("canon"))
-        return again.unionByName(some.select("doc_id", F.lit(0).alias("kind"), op10_digest.canonical(F.col("text")).alias("canon")))
+        changed = links.join(keep.where("kind = 1").select(F.col("place").alias("doc_id")), "doc_id", "left_semi")
+        need = keep.select("place").union(changed.select("next_id"))
+        some = semi_reduce(keyed(docs), "place", need)
+        again = keyed(op10_digest.edited(some, changed)).select("place", "row_key", F.lit(1).alias("kind"), op10_digest.canonical(F.col("edited")).alias("canon"))
+        return again.unionByName(some.select("place", "row_key", F.lit(0).alias("kind"), op10_digest.canonical(F.col("text")).alias("canon")))
 
-    found = work.save(op10_digest.resolve(digests, ["doc_id", "kind"], reread, work).groupBy("doc_id").agg(
+    found = work.save(op10_digest.resolve(digests, ["place", "row_key", "kind"], reread, work).groupBy("place", "row_key").agg(
         F.max(F.when(F.col("kind") == 0, F.col("fingerprint"))).alias("fingerprint"),
         F.max(F.when(F.col("kind") == 1, F.col("fingerprint"))).alias("edited_fingerprint"),
     ), "found")
-    after = links.join(found.select(F.col("doc_id").alias("next_id"), F.col("fingerprint").alias("next_fingerprint")), "next_id").drop("next_id")
+    first = found.where("edited_fingerprint is not null").groupBy(F.col("place").alias("next_id")).agg(F.min_by("fingerprint", "row_key").alias("next_fingerprint"))
+    after = links.join(first, "next_id").select(F.col("doc_id").alias("place"), "next_fingerprint")
     alike = lambda a, b: (F.col(a) == F.col(b)).cast("double")  # noqa: E731  an exact digest is alike or not
-    return rows.select("doc_id", "n_chars", "edited_sha256").join(found, "doc_id").join(after, "doc_id").select(
+    return rows.select("doc_id", "place", "row_key", "n_chars", "edited_sha256").join(found, ["place", "row_key"]).join(after, "place", "left").select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        alike("fingerprint", "edited_fingerprint").alias("near_edited"), alike("fingerprint", "next_fingerprint").alias("near_next"),
+        alike("fingerprint", "edited_fingerprint").alias("near_edited"), F.when(F.col("doc_id").isNotNull(), alike("fingerprint", "next_fingerprint")).alias("near_next"),
     )
 
 
