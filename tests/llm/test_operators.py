@@ -420,6 +420,19 @@ def test_min_hashes_estimate_similarity():
     assert abs((s[0] == s[1]).mean() - 900 / 1100) < 0.2
 
 
+def test_recall_holds_where_buckets_stay_large(spark):
+    rng, n = np.random.default_rng(17), 8000
+    one = rng.integers(0, 4, (n, op8_chosen_path.SLOTS)).astype(np.uint32)  # few tokens: buckets of all levels exceed SMALL
+    other = np.where(rng.random(one.shape) < (0.8 - 0.25) / 0.75, one, rng.integers(0, 4, one.shape)).astype(np.uint32)  # 0.8 of the slots agree
+    rows = [(2 * i + k, x[i].tobytes()) for i in range(n) for k, x in enumerate((one, other))]
+    for level_size in (2 * n / 4, 2 * n / 16):
+        assert level_size > op8_chosen_path.SMALL
+    sets = spark.createDataFrame(rows, "rep long, data binary").repartition(8)
+    edges = op8_chosen_path.candidate_edges(sets, 0.8, 0.999, Work(spark, "t"))
+    found = sum(r["src"] // 2 == r["dst"] // 2 for r in edges.collect())
+    assert found >= n * 0.998  # a perfect 0.999 leaves 8 of them
+
+
 # --- 10 ---
 
 

@@ -30,14 +30,48 @@ SMALL = 64
 DEPTH = 3
 #: Sets of a block in a brute-force comparison.
 BLOCK = 1024
-#: Candidates may lie so many standard deviations of the estimate below the threshold.
-SIGMAS = 4.0
+#: Part of the pairs that may be lost whose sketches may look too different.
+LOST_BY_SKETCH = 0.1
 
 
-def runs_needed(recall: float) -> int:
-    """A pair at the threshold keeps a common bucket two levels down with probability 1 - exp(-(1 - 1/e)) in one run."""
-    once = 1 - math.exp(-(1 - math.exp(-1)))
-    return math.ceil(math.log(1 - recall) / math.log(1 - once))
+def agreeing(threshold: float) -> list[float]:
+    """Probability that the sketches of a pair at the threshold agree in 0, 1 .. SLOTS slots."""
+    return [math.comb(SLOTS, m) * threshold**m * (1 - threshold) ** (SLOTS - m) for m in range(SLOTS + 1)]
+
+
+def least_slots(recall: float, threshold: float) -> int:
+    """Equal slots from which sketches look similar; fewer cost a tenth of the pairs that may be lost."""
+    m, lost = 0, 0.0
+    for chance in agreeing(threshold):
+        lost += chance
+        if lost > LOST_BY_SKETCH * (1 - recall):
+            break
+        m += 1
+    return m
+
+
+def missed(runs: int, recall: float, threshold: float) -> float:
+    """Share of the pairs at the threshold that are not found in ``runs`` runs.
+
+    Buckets may be too large to compare at every level but the last, so a pair must
+    keep one DEPTH levels down; from a bucket it goes on by each slot in which its
+    sketches agree with probability 1 / (threshold * SLOTS).
+    """
+    step, least, out = 1 / (threshold * SLOTS), least_slots(recall, threshold), 0.0
+    for m, chance in enumerate(agreeing(threshold)):
+        once = 1.0
+        for _ in range(DEPTH):
+            once = 1 - (1 - step * once) ** m
+        out += chance * ((1 - once) ** runs if m >= least else 1.0)
+    return out
+
+
+def runs_needed(recall: float, threshold: float) -> int:
+    """Runs after which a pair at the threshold is found with probability ``recall``, however large the buckets."""
+    runs = 1
+    while missed(runs, recall, threshold) > 1 - recall:
+        runs += 1
+    return runs
 
 
 def sketch(docs: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -133,8 +167,8 @@ def _forest_rows(batches, low: float):
 
 def candidate_edges(sets: DataFrame, threshold: float, recall: float, work: Work) -> DataFrame:
     """(src, dst) edges between sets (rep, data) that met in a bucket and look similar."""
-    low = threshold - SIGMAS * math.sqrt(threshold * (1 - threshold) / SLOTS)
-    runs = runs_needed(recall)
+    low = least_slots(recall, threshold) / SLOTS
+    runs = runs_needed(recall, threshold)
 
     def start(batches):
         for b in batches:
