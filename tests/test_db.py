@@ -1,8 +1,10 @@
+from decimal import Decimal
+
 import pytest
 
 from tidemark import cli
 from tidemark.db import Db
-from tidemark.errors import InvalidArgument, ResourceExhausted
+from tidemark.errors import Corruption, InvalidArgument, ResourceExhausted
 from tidemark.model import CompactionPolicy, Observation, OpenOptions, SealPolicy, SyncPolicy, Value
 
 U, NULL = Value.uint, Value.null()
@@ -157,6 +159,24 @@ def test_bulk_frame(spark, tmp_path):
             db.append_frame(rows.withColumn("ts", rows.ts + 1000).withColumn("field_id", rows.field_id + 5))
 
 
+def test_verify_finds_one_changed_value(spark, tmp_path):
+    with Db(spark, f"file://{tmp_path}/db") as db:
+        t = db.create_table([(1, 1)])
+        rows = spark.range(200).selectExpr(f"cast({t} as long) table_id", "id % 10 series_id", "1 field_id", "id ts", "cast(1 as tinyint) kind", "cast(id as decimal(20,0)) u", "cast(null as smallint) q", "cast(null as long) f")
+        db.append_frame(rows)
+        path = db.state["units"][0]["path"]
+        good = spark.read.parquet(f"file://{tmp_path}/db/{path}").collect()
+        schema = spark.read.parquet(f"file://{tmp_path}/db/{path}").schema
+        for change in ({"u": Decimal(7)}, {"series_id": 3}, {"version_no": 9}, {"u": None, "f": 50}):
+            bad = [r.asDict() | change if r["ts"] == 50 else r.asDict() for r in good]
+            spark.createDataFrame(bad, schema).write.mode("overwrite").parquet(f"file://{tmp_path}/db/{path}")
+            for use in (db.verify, lambda: db._compact(db.state["units"], 0), lambda: db.retain(1000)):
+                with pytest.raises(Corruption):
+                    use()
+        spark.createDataFrame(good, schema).write.mode("overwrite").parquet(f"file://{tmp_path}/db/{path}")
+        assert db.verify() == 1 and db._compact(db.state["units"], 0).input_units == 1 and db.verify() == 1
+
+
 def test_stream(spark, tmp_path):
     from tidemark.streaming.ingest import stream_into
 

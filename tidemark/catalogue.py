@@ -314,7 +314,7 @@ def presence_size(spark, sf_dir):
 
 
 def unit_checksums(spark, sf_dir):
-    """What a reader compares with a unit's catalogue row before it trusts the file: count, bytes and highest digest of the facts' text."""
+    """Count, bytes and highest digest of the text of each unit's facts; a summary only, ``Db.verify`` compares a digest of all facts."""
     f = _units(event_facts(spark, sf_dir))
     line = F.concat_ws(":", "series_id", "field_id", "ts", F.coalesce(F.col("u").cast("string"), F.lit("null")))
     return f.groupBy("unit_id").agg(F.count("*").alias("facts"), F.sum(F.length(F.sha2(line, 256)) + F.length(line)).cast("long").alias("bytes"), F.max(F.sha2(line, 256)).alias("digest"))
