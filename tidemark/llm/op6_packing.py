@@ -1,17 +1,20 @@
 """Packing token sequences by minimum bin slack.
 
-Documents are cut into full windows and one remainder.  How remainders share
-windows is planned on the histogram of their lengths alone (at most ``window``
-rows, whatever the corpus): a bitset subset-sum over the remaining multiset of
-lengths finds the combination that fills a window closest to capacity, counts
-are backtracked from the stored bitsets, and the combination is repeated as
-often as the counts allow.  Lengths for which no exact fill is left run on as one stream
-cut at window ends; its last, incomplete window is cut into powers of two.
+Documents are cut into full windows and one remainder.  Each task packs what it
+reads, some millions of tokens at a time: a bitset subset-sum over the multiset
+of remaining lengths finds the combination that fills a window closest to
+capacity, counts are backtracked from the stored bitsets, and the combination is
+repeated as often as the counts allow.  Slack that no combination fills is
+filled by cutting a longer remainder, whose rest is a length like any other.
+What does not fill a window waits for the task's next documents; its last,
+incomplete window is cut into powers of two.  Nothing is shuffled, and nothing
+is known globally: a sequence is named by its task and a number.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections import defaultdict
 
@@ -21,10 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Work, binary_column, slices
+from .common import Work, binary_column, slices, tidy
 from .words import word_hashes, word_spans
 
 CACHE = 600_000
+#: Tokens that a task packs together.
+CHUNK = 4 << 20
 #: Stands between texts; a text that holds it is not plain.
 GAP = "\x1e"
 _tokenizers: dict = {}
@@ -46,6 +51,7 @@ class Encoder:
         self.t = Tokenizer.from_file(path)
         bare = json.loads(self.t.to_str()) | {"normalizer": None, "added_tokens": []}
         self.merges = Tokenizer.from_str(json.dumps(bare | {"pre_tokenizer": {"type": "WhitespaceSplit"}}))
+        self.bare = Tokenizer.from_str(json.dumps(bare))  # for what is in lower case already
         vocab = self.t.get_vocab()
         self.end = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
@@ -56,6 +62,8 @@ class Encoder:
         self.shown = np.array([i if i in shown else 256 + low.index(i) for i in range(256)], dtype="<u4")
         self.shown[32] = 32
         category = [unicodedata.category(chr(i))[0] for i in range(0x3000)]
+        unknown = [i for i in range(0x3000) if unicodedata.category(chr(i)) == "Cn"]
+        self.unknown = re.compile("[" + "".join(map(chr, unknown)) + "]")  # another version of Unicode may have them
         self.kind = np.array([0 if chr(i).isspace() else 1 if c == "L" else 2 if c == "N" else 3 for i, c in enumerate(category)], np.uint8)
         self._clear()
 
@@ -65,8 +73,8 @@ class Encoder:
         self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, "<u4")
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+    def _plain(self, texts: list[str], model=None) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in (model or self.t).encode_batch_fast(texts, add_special_tokens=False)]
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         if not len(self.known):
@@ -87,7 +95,9 @@ class Encoder:
         shown = self.shown[np.frombuffer(u.tobytes().decode("utf-32-le").encode(), np.uint8)]
         ids = np.array(self.merges.encode_batch_fast([shown.tobytes().decode("utf-32-le")], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = np.concatenate([[0], np.flatnonzero(self.end[ids]) + 1])
-        assert len(ends) == parts.sum() + 1
+        if len(ends) != parts.sum() + 1:  # a vocabulary that marks word ends otherwise
+            each = self._plain(line.split(" ")[:-1], self.bare)
+            return np.frombuffer(b"".join(each), "<u4"), np.cumsum([len(x) // 4 for x in each])
         return ids, ends[np.cumsum(parts)]
 
     def _index(self, h: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -103,7 +113,7 @@ class Encoder:
             new = np.concatenate([new[~quoted], new[quoted]])
             plain, rest = new[: len(new) - quoted.sum()], new[len(new) - quoted.sum() :]
             ids, stop = self._merge(_line(raw, start[plain], end[plain])) if len(plain) else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
-            more = self._plain(_line(raw, start[rest], end[rest]).split(" ")[:-1]) if len(rest) else []
+            more = self._plain(_line(raw, start[rest], end[rest]).split(" ")[:-1], self.bare) if len(rest) else []
             stop = np.concatenate([stop, len(ids) + np.cumsum([len(x) // 4 for x in more], dtype=np.int64)])
             ids = np.concatenate([ids, np.frombuffer(b"".join(more), "<u4")])
             begin = np.concatenate([[0], stop[:-1]])
@@ -117,7 +127,7 @@ class Encoder:
         return at
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        odd = [i for i, t in enumerate(texts) if not t.isascii() and ("Σ" in t or "İ" in t or not unicodedata.is_normalized("NFC", t)) or "<|" in t or GAP in t]
+        odd = [i for i, t in enumerate(texts) if not t.isascii() and ("Σ" in t or "İ" in t or self.unknown.search(t) or not unicodedata.is_normalized("NFC", t)) or "<|" in t or GAP in t]
         plain = list(texts)
         for i in odd:
             plain[i] = ""
@@ -187,139 +197,118 @@ def fill(counts: dict[int, int], window: int) -> dict[int, int]:
     return dict(out)
 
 
-def plan(histogram: dict[int, int], window: int) -> dict:
-    """Where the r-th remainder of each length goes.
-
-    Patterns (exact fills) take consecutive ranks of each of their lengths; the
-    ranks after those run on in the residual stream.
-    """
-    left = {n: c for n, c in histogram.items() if 0 < n < window and c > 0}
-    used, places, sequences = defaultdict(int), defaultdict(list), 0
-    while left:
-        pattern = fill(left, window)
-        if sum(n * c for n, c in pattern.items()) != window:
-            break
-        times = min(left[n] // c for n, c in pattern.items())
-        offset = 0
-        for n in sorted(pattern, reverse=True):
-            places[n].append((used[n], pattern[n], offset, sequences))
-            used[n] += times * pattern[n]
-            offset += n * pattern[n]
-            left[n] -= times * pattern[n]
-            if not left[n]:
-                del left[n]
-        sequences += times
-    stream, at = {}, 0
-    for n in sorted(left, reverse=True):
-        stream[n] = (used[n], at)
-        at += n * left[n]
-    full, tail = divmod(at, window)
-    sizes = [1 << b for b in reversed(range(tail.bit_length())) if tail >> b & 1]
-    return {
-        "window": window,
-        "places": {n: np.array(p, dtype=np.int64) for n, p in places.items()},
-        "stream": stream,
-        "first": sequences,
-        "full": full,
-        "tail": np.cumsum([0, *sizes]),
-        "sequences": sequences + full + len(sizes),
-    }
-
-
-def place(p: dict, length: int, rank: int) -> list[tuple[int, int, int, int]]:
-    """Pieces (start within the remainder, length, sequence, offset) of the remainder of this length and rank."""
-    window = p["window"]
-    if length not in p["stream"] or rank < p["stream"][length][0]:
-        rows = p["places"][length]
-        start, c, offset, first = rows[np.searchsorted(rows[:, 0], rank, side="right") - 1].tolist()
-        turn, copy = divmod(rank - start, c)
-        return [(0, length, first + turn, offset + copy * length)]
-    begin, base = p["stream"][length]
-    at, end, out, done = base + (rank - begin) * length, 0, [], 0
-    end = at + length
-    while at < end:
-        if at < p["full"] * window:
-            i, low = divmod(at, window)
-            seq, high = p["first"] + i, (i + 1) * window
-        else:
-            inner = at - p["full"] * window
-            i = int(np.searchsorted(p["tail"], inner, side="right")) - 1
-            low, seq, high = inner - int(p["tail"][i]), p["first"] + p["full"] + i, p["full"] * window + int(p["tail"][i + 1])
-        n = min(end, high) - at
-        out.append((done, n, seq, low))
-        at, done = at + n, done + n
-    return out
-
-
-def tokenize(docs: DataFrame, tokenizer_path: str, window: int, end_id: int) -> DataFrame:
-    """(doc_id, ids, n, part, rank, full_before): ids as little-endian 32-bit; ranks count within the task's part."""
-
-    def run(batches):
-        encode, part = encoder(tokenizer_path), TaskContext.get().partitionId()
-        seen, full, end = defaultdict(int), 0, np.array([end_id], dtype="<u4").tobytes()
-        for batch in slices(batches, 1, 4 << 20):
-            ids = [x + end for x in encode(batch.column(1).to_pylist())]
-            sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-            rank, before = [], []
-            for n in sizes.tolist():
-                rank.append(seen[n % window])
-                seen[n % window] += 1
-                before.append(full)
-                full += n // window
-            offsets = np.concatenate([[0], np.cumsum(sizes * 4)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), binary_column(b"".join(ids), offsets), pa.array(sizes), pa.array([part] * len(ids), pa.int32()), pa.array(rank, pa.int64()), pa.array(before, pa.int64())],
-                names=["doc_id", "ids", "n", "part", "rank", "full_before"],
-            )
-
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, ids binary, n long, part int, rank long, full_before long")
+class Packer:
+    """Packs one task's documents into sequences named from ``first`` on."""
+
+    def __init__(self, window: int, first: int = 0):
+        self.window, self.next, self.tokens = window, first, 0
+        self.docs: list[tuple] = []  # (id, ids)
+        self.rest: dict[int, list[tuple[int, int]]] = defaultdict(list)  # length -> (place in docs, start) of remainders
+        self.rows: list[tuple] = []  # (place in docs, start, length, sequence, offset)
+
+    def take(self, doc, ids: bytes) -> None:
+        k, n = len(self.docs), len(ids) // 4
+        self.docs.append((doc, ids))
+        self.tokens += n
+        whole, rest = divmod(n, self.window)
+        for i in range(whole):
+            self._place([(k, i * self.window, self.window)])
+        if rest:
+            self.rest[rest].append((k, whole * self.window))
+
+    def _place(self, pieces: list[tuple[int, int, int]]) -> None:
+        at = 0
+        for k, start, n in pieces:
+            self.rows.append((k, start, n, self.next, at))
+            at += n
+        self.next += 1
+
+    def fill(self, last: bool) -> None:
+        """Fills windows while the remainders have the tokens; with ``last`` nothing is left."""
+        held, window = {n: x for n, x in self.rest.items() if x}, self.window
+        total = sum(n * len(x) for n, x in held.items())
+        while total >= window:
+            pattern = fill({n: len(x) for n, x in held.items()}, window)
+            slack = window - sum(n * c for n, c in pattern.items())
+            times = min(len(held[n]) // c for n, c in pattern.items())
+            if slack:  # what is left over is longer than the slack, or the pattern would hold it
+                cut = min(n for n, x in held.items() if len(x) > pattern.get(n, 0))
+                times = min(times, len(held[cut]) // (pattern.get(cut, 0) + 1))
+            for _ in range(times):
+                pieces = [(*held[n].pop(), n) for n, c in pattern.items() for _ in range(c)]
+                if slack:
+                    k, start = held[cut].pop()
+                    pieces.append((k, start, slack))
+                    held.setdefault(cut - slack, []).append((k, start + slack))
+                self._place(pieces)
+            total -= times * window
+            held = {n: x for n, x in held.items() if x}
+        self.rest = defaultdict(list, held)
+        if last and total:
+            items = [(k, start, n) for n in sorted(held, reverse=True) for k, start in held[n]]
+            for size in (1 << b for b in reversed(range(total.bit_length())) if total >> b & 1):
+                pieces, room = [], size
+                while room:
+                    k, start, n = items.pop(0)
+                    pieces.append((k, start, min(n, room)))
+                    if n > room:
+                        items.insert(0, (k, start + room, n - room))
+                    room -= min(n, room)
+                self._place(pieces)
+            self.rest.clear()
+
+    def pieces(self, last: bool):
+        """Record batches of what is placed; documents of which something waits are kept."""
+        self.fill(last)
+        out, size, blob = [[] for _ in range(6)], [0], []
+
+        def batch():
+            a = [pa.array(c, pa.int64()) for c in out]
+            return pa.RecordBatch.from_arrays([a[0], a[1], a[2], binary_column(b"".join(blob), np.cumsum(size)), a[3], a[4], a[5]], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+
+        held = 0
+        for k, start, n, sequence, offset in self.rows:
+            doc, ids = self.docs[k]
+            for column, v in zip(out, (doc, start, n, len(ids) // 4, sequence, offset)):
+                column.append(v)
+            blob.append(ids[start * 4 : (start + n) * 4])
+            size.append(n * 4)
+            held += n * 4
+            if held > 4 << 20:
+                yield batch()
+                out, size, blob, held = [[] for _ in range(6)], [0], [], 0
+        if blob:
+            yield batch()
+        places = sorted({k for x in self.rest.values() for k, _ in x})
+        new = {k: i for i, k in enumerate(places)}
+        self.docs = [self.docs[k] for k in places]
+        self.rest = defaultdict(list, {n: [(new[k], start) for k, start in x] for n, x in self.rest.items()})
+        self.rows, self.tokens = [], 0
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, work: Work | None = None) -> DataFrame:
     """Pieces (doc_id, start, length, ids, doc_tokens, sequence_id, offset) of whole documents in windows without padding.
 
-    Null and empty texts are the end id alone; repeated rows are packed as often
-    as they come; other columns are ignored; an empty table gives no pieces.
-    Sequences 0.. hold packed remainders, then come the full windows of long documents.
+    Null and empty texts are the end id alone; null ids stay null; repeated rows
+    are packed as often as they come; other columns, whatever their names, are
+    ignored; an empty table gives no pieces.  Every sequence is full but a
+    task's last few, whose lengths are powers of two.  Sequences are numbered by
+    task (from the 33rd bit on) and in order there, so the numbers have gaps.
     """
-    spark = docs.sparkSession
-    work = work or Work(spark, "packing")
-    tokens = work.save(tokenize(docs, tokenizer_path, window, end_id), "tokens")
-    cells = work.save(
-        tokens.groupBy("part", (F.col("n") % window).alias("rest")).agg(F.count("*").alias("c"), F.sum(F.expr(f"n div {window}")).alias("full")), "cells"
-    )
-    histogram = {r["rest"]: r["c"] for r in cells.groupBy("rest").agg(F.sum("c").alias("c")).collect()}  # window rows at most
-    made = plan(histogram, window)
-    shared = spark.sparkContext.broadcast(made)  # some entries for each length
-    from pyspark.sql import Window as W
-
-    base = cells.withColumn("base", F.sum("c").over(W.partitionBy("rest").orderBy("part")) - F.col("c"))
-    # cumulative counts of full windows over parts: one row a task, in 64 runs of parts
-    fulls = cells.groupBy("part").agg(F.sum("full").alias("f")).withColumn("run", F.expr("part div 256"))
-    runs = fulls.groupBy("run").agg(F.sum("f").alias("rf")).withColumn("run_base", F.sum("rf").over(W.orderBy("run")) - F.col("rf")).drop("rf")
-    fulls = fulls.withColumn("in_run", F.sum("f").over(W.partitionBy("run").orderBy("part")) - F.col("f")).join(runs, "run").select("part", (F.col("run_base") + F.col("in_run")).alias("full_base"))
-    base = base.join(fulls, "part").select("part", "rest", "base", "full_base")
-    rows = tokens.withColumn("rest", F.col("n") % window).join(base, ["part", "rest"]).select(
-        "doc_id", "ids", "n", (F.col("rank") + F.col("base")).alias("rank"), (F.col("full_before") + F.col("full_base")).alias("full")
-    )
+    work or Work(docs.sparkSession, "packing")  # ships the package, bounds batches
 
     def run(batches):
-        p = shared.value
-        for batch in slices(batches, 1):
-            doc, blobs, n, rank, full = (batch.column(i).to_pylist() for i in range(5))
-            out = [[] for _ in range(6)]
-            size, blob = [0], []
-            for d, x, m, r, f in zip(doc, blobs, n, rank, full):
-                whole, rest = divmod(m, window)
-                pieces = [(i * window, window, p["sequences"] + f + i, 0) for i in range(whole)]
-                if rest:
-                    pieces += [(whole * window + s, k, q, o) for s, k, q, o in place(p, rest, r)]
-                for s, k, q, o in pieces:
-                    for column, v in zip(out, (d, s, k, m, q, o)):
-                        column.append(v)
-                    blob.append(x[s * 4 : (s + k) * 4])
-                    size.append(k * 4)
-            a = [pa.array(c, pa.int64()) for c in out]
-            yield pa.RecordBatch.from_arrays([a[0], a[1], a[2], binary_column(b"".join(blob), np.cumsum(size)), a[3], a[4], a[5]], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-
-    return rows.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+        encode = encoder(tokenizer_path)
+        packer, end = Packer(window, TaskContext.get().partitionId() << 33), np.array([end_id], dtype="<u4").tobytes()
+        for batch in slices(batches, 1, 4 << 20):
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
+                packer.take(doc, ids + end)
+            if packer.tokens >= CHUNK:
+                yield from packer.pieces(False)
+                tidy()
+        yield from packer.pieces(True)
+        tidy()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
+        run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+    )
