@@ -10,11 +10,13 @@ or collecting points; only one row a node reaches the driver.
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Work
+from .common import Work, small
 
 BINS = 4096
 #: Bits of the tie-breaking coordinate that orders points with equal values.
@@ -25,15 +27,17 @@ HEAVY = 0.02
 
 
 def points(docs: DataFrame) -> DataFrame:
-    """One row a document: id, wide hash of its text, size (UTF-8 bytes + 1), crc32 and the coordinates.
+    """One row a document: id, a number of its own, wide hash of its text, size (UTF-8 bytes + 1), crc32 and the coordinates.
 
-    Null text counts as a group of its own with size 1; null metadata is 0.
+    Null text counts as a group of its own with size 1; null metadata is 0.  The
+    numbers are fixed only once the rows are written.
     """
     text = F.col("text")
     whole = F.coalesce(text, F.lit(""))
     code = lambda c: F.coalesce((F.xxhash64(c) % 65536 + 65536) % 65536, F.lit(0))
     return docs.select(
         F.col("doc_id"),
+        F.monotonically_increasing_id().alias("row"),
         F.xxhash64(F.lit(1), text.isNull(), whole).alias("h1"),
         F.xxhash64(F.lit(2), whole, F.length(whole)).alias("h2"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
@@ -50,7 +54,7 @@ def _medians(state: DataFrame, cuts: list[dict]) -> list[dict]:
     spark = state.sparkSession
     while any(c["hi"] > c["lo"] for c in cuts):
         rows = [(c["node"], c["dim"], c["lo"], c["hi"], (c["hi"] - c["lo"]) // BINS + 1, c["goal"] - c["below"], c["value"]) for c in cuts]
-        open_ = F.broadcast(spark.createDataFrame(rows, "node int, dim int, lo long, hi long, step long, goal double, value long"))
+        open_ = small(spark.createDataFrame(rows, "node int, dim int, lo long, hi long, step long, goal double, value long"), len(rows))
         joined = state.join(open_, "node").withColumn("x", _pick("dim", "value")).where("x between lo and hi")
         bins = joined.groupBy("node", F.expr("(x - lo) div step").alias("bin")).agg(F.sum("w").alias("w"), F.first("goal").alias("goal"))
         run = bins.withColumn("upto", F.sum("w").over(W.partitionBy("node").orderBy("bin")))
@@ -108,7 +112,7 @@ def kd_leaves(groups: DataFrame, shares: list[float], work: Work) -> DataFrame:
         for c in cuts:
             nearer = abs(c["below"] + c["at"] - c["goal"]) <= abs(c["below"] - c["goal"])
             rows.append((c["node"], c["dim"], c["value"], c["lo"] if nearer else c["lo"] - 1))
-        table = F.broadcast(spark.createDataFrame(rows, "node int, dim int, value long, cut long"))
+        table = small(spark.createDataFrame(rows, "node int, dim int, value long, cut long"), len(rows))
         own = F.element_at(F.array(*DIMS), F.col("dim") + 1)
         left = (own < F.col("value")) | ((own == F.col("value")) & (F.col("tie") <= F.col("cut")))
         state = state.join(table, "node", "left").withColumn(
@@ -122,17 +126,19 @@ def kd_leaves(groups: DataFrame, shares: list[float], work: Work) -> DataFrame:
         for node, (a, b) in spans.items():
             halves |= {2 * node: (a, (a + b) // 2), 2 * node + 1: ((a + b) // 2, b)} if b - a > 1 else {2 * node: (a, b)}
         spans = halves
-    leaf = F.broadcast(spark.createDataFrame([(n, a) for n, (a, _) in spans.items()], "node int, leaf int"))
+    leaf = small(spark.createDataFrame([(n, a) for n, (a, _) in spans.items()], "node int, leaf int"), len(spans))
     return state.join(leaf, "node").drop("node", "tie")
 
 
 def shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None, work: Work | None = None) -> DataFrame:
-    """Documents (doc_id, text, lang, source) as (doc_id, size, text_crc32, shard), shards of near equal bytes.
+    """Documents (doc_id, text, lang, source) as (doc_id, row, size, text_crc32, shard), shards of near equal bytes.
 
     Give the number of shards, or the bytes a shard should have.  Equal texts
     share a shard unless their group alone exceeds half a shard, whose rows are
-    then dealt one by one.  Null or empty texts have size 1; null metadata counts as 0;
-    repeated rows are rows of their own; an empty table has no rows.
+    then dealt one by one, by a number of their own, so repeated and null ids do
+    not matter.  Null or empty texts have size 1; null metadata counts as 0;
+    repeated rows are rows of their own; points with equal coordinates (ties) are
+    ordered by their hash; other columns are ignored; an empty table has no rows.
     """
     work = work or Work(docs.sparkSession, "kdtree")
     rows = work.save(points(docs), "points")
@@ -144,31 +150,39 @@ def shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int | Non
         F.sum("size").alias("w"), F.min(F.struct("d3", "d0", "d1", "d2")).alias("d")
     ).select("h1", "h2", "w", "d.*")
     sums = work.save(sums, "groups")
-    # groups over half a shard are few (2 * n_shards at most); their rows become points of their own
-    big = F.broadcast(sums.where(F.col("w") > target / 2).select("h1", "h2", F.lit(True).alias("loose")))
-    rows = rows.join(big, ["h1", "h2"], "left").withColumn("g1", F.when(F.col("loose"), F.xxhash64("h1", "d3")).otherwise(F.col("h1"))).withColumn(
-        "g2", F.when(F.col("loose"), F.xxhash64("h2", "d3")).otherwise(F.col("h2"))
-    )
+    # groups over half a shard are at most 2 * n_shards; their rows become points of their own
+    big = small(sums.where(F.col("w") > target / 2).select("h1", "h2", F.lit(True).alias("loose")), 2 * n_shards)
+    own = lambda h: F.when(F.col("loose"), F.xxhash64(h, "row")).otherwise(F.col(h))
+    rows = work.save(rows.join(big, ["h1", "h2"], "left").withColumn("g1", own("h1")).withColumn("g2", own("h2")), "keyed")
     one = sums.join(big, ["h1", "h2"], "left_anti").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "w", *DIMS)
-    each = rows.where("loose").groupBy("g1", "g2").agg(F.sum("size").alias("w"), *[F.min(d).alias(d) for d in DIMS])
+    each = rows.where("loose").select("g1", "g2", F.col("size").alias("w"), *DIMS)
     groups = work.save(one.unionByName(each), "units")
     heavy = sorted(groups.where(F.col("w") > HEAVY * target).select("g1", "g2", "w").collect(), key=lambda r: (-r["w"], r["g1"], r["g2"])) if total else []
-    room, placed = [target] * n_shards, []
+    room, placed = [(-target, i) for i in range(n_shards)], []
     for r in heavy:  # n_shards / HEAVY rows at most
-        leaf = max(range(n_shards), key=lambda i: room[i])
-        room[leaf] -= r["w"]
+        free, leaf = heapq.heappop(room)
+        heapq.heappush(room, (free + r["w"], leaf))
         placed.append((r["g1"], r["g2"], leaf))
-    first = F.broadcast(docs.sparkSession.createDataFrame(placed, "g1 long, g2 long, leaf int"))
-    light = kd_leaves(groups.join(first, ["g1", "g2"], "left_anti"), [max(0.0, x) for x in room], work)
-    leaves = light.select("g1", "g2", "leaf").unionByName(first)
-    return rows.join(leaves, ["g1", "g2"]).select("doc_id", "size", "text_crc32", F.col("leaf").alias("shard"))
-
-
-def slots(assigned: DataFrame, work: Work, cells: int = 4096) -> DataFrame:
-    """``slot``: gapless from 0 in each shard, by (hash cell, doc_id); offsets of at most shards * cells rows."""
-    cell = F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(cells)).cast("int")
-    rows = work.save(assigned.withColumn("cell", cell), "assigned")
-    counts = rows.groupBy("shard", "cell").agg(F.count("*").alias("n"))
-    base = counts.withColumn("base", F.sum("n").over(W.partitionBy("shard").orderBy("cell")) - F.col("n")).drop("n")
-    rank = F.row_number().over(W.partitionBy("shard", "cell").orderBy("doc_id")) - 1
-    return rows.withColumn("rank", rank).join(F.broadcast(base), ["shard", "cell"]).withColumn("slot", (F.col("base") + F.col("rank")).cast("long")).drop("cell", "rank", "base")
+    first = small(docs.sparkSession.createDataFrame(placed, "g1 long, g2 long, leaf int"), len(placed))
+    left = [-free for free, _ in sorted(room, key=lambda x: x[1])]
+    light = kd_leaves(groups.join(first, ["g1", "g2"], "left_anti"), [max(0.0, x) for x in left], work)
+    # rows of heavy groups find their leaf without a shuffle; the others are at most HEAVY of a shard each
+    known = rows.join(first, ["g1", "g2"], "left").select("doc_id", "row", "size", "text_crc32", "g1", "g2", "leaf")
+    found = known.where("leaf is null").drop("leaf").join(light.select("g1", "g2", "leaf"), ["g1", "g2"])
+    return known.where("leaf is not null").unionByName(found).select("doc_id", "row", "size", "text_crc32", F.col("leaf").alias("shard"))
+
+
+def slots(assigned: DataFrame, work: Work, rows_a_cell: int = 20_000) -> DataFrame:
+    """``slot``: gapless from 0 in each shard.
+
+    Rows are numbered in cells of about ``rows_a_cell``, dealt by the rows' own
+    numbers so that repeated ids share no cell, and cells start where the one before ends.
+    """
+    assigned = work.save(assigned, "assigned-rows")
+    counts = {r["shard"]: r["n"] for r in assigned.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # one row a shard
+    n_cells = max(1, -(-max(counts.values(), default=0) // rows_a_cell))
+    rows = assigned.withColumn("cell", F.pmod(F.xxhash64("row"), F.lit(n_cells)).cast("int"))
+    base = rows.groupBy("shard", "cell").agg(F.count("*").alias("n"))
+    base = base.withColumn("base", F.sum("n").over(W.partitionBy("shard").orderBy("cell")) - F.col("n")).drop("n")
+    rank = F.row_number().over(W.partitionBy("shard", "cell").orderBy("doc_id", "row")) - 1
+    return rows.withColumn("rank", rank).join(small(base, n_cells * len(counts)), ["shard", "cell"]).withColumn("slot", (F.col("base") + F.col("rank")).cast("long")).drop("cell", "rank", "base", "row")
