@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Work, semi_reduce
+from .common import Work, parts, semi_reduce, small
 
 SPACE = r"[\s\p{Z}\x{0085}]+"
 
@@ -95,22 +95,18 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, work: Work | None =
 def next_ids(ids: DataFrame, work: Work) -> DataFrame:
     """(doc_id, next_id): the following id in ascending order; after the last comes the first.
 
-    A running lead without a single-task window: ids are cut into 4096 equal
-    cells of their range, each cell is ordered on its own, and a cell's last id
-    takes the first id of the next cell that has any (4096 rows at most).
+    Distinct ids are dealt to ranges of near equal numbers of ids, however far
+    apart they lie, each range is ordered on its own, and a range's last id takes
+    the first id of the next range (one row a range).  Null ids have no next.
     """
     ids = ids.select("doc_id").where("doc_id is not null").distinct()
-    low, high = ids.agg(F.min("doc_id"), F.max("doc_id")).first()
-    if low is None:
-        return ids.withColumn("next_id", F.col("doc_id"))
-    width = (high - low) // 4096 + 1
-    cell = F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)).cast("int")
-    ids = ids.withColumn("cell", cell)
+    ids = work.save(ids.repartitionByRange(parts(work.spark), "doc_id").withColumn("cell", F.spark_partition_id()), "ranges")
     first = ids.groupBy("cell").agg(F.min("doc_id").alias("first_id"))
-    over = first.select("cell", F.coalesce(F.lead("first_id").over(W.orderBy("cell")), F.lit(low)).alias("first_next"))
+    low = F.lit(first.agg(F.min("first_id")).first()[0]).cast("long")
+    over = first.select("cell", F.coalesce(F.lead("first_id").over(W.orderBy("cell")), low).alias("first_next"))
     own = F.lead("doc_id").over(W.partitionBy("cell").orderBy("doc_id"))
     return work.save(
-        ids.withColumn("own", own).join(F.broadcast(over), "cell").select("doc_id", F.coalesce("own", "first_next").alias("next_id")), "next"
+        ids.withColumn("own", own).join(small(over, parts(work.spark)), "cell").select("doc_id", F.coalesce("own", "first_next").alias("next_id")), "next"
     )
 
 
