@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Work, binary_column, slices
+from .common import binary_column, slices, small
 from .op1_langid import char_classes
 from .words import mix, word_hashes
 
@@ -124,8 +124,11 @@ class Chain:
 def train(docs: DataFrame, labels: DataFrame, columns: list[str], target: str, per_class: int = 4000) -> Chain | None:
     """Fits on at most ``per_class`` labelled documents with and without ``target``, those with the lowest id hash.
 
-    Rows with a null id or a null label are left out; of repeated ids the highest
-    labels count.  None if no labelled document is left.
+    Rows with a null id or a null label are left out; of repeated label rows the
+    highest labels count, and every document row of a labelled id is a row to learn
+    from.  Folds go by text, so copies of a text are never on both sides of one.
+    Texts are read whole, however long; other columns are ignored.  None if no
+    labelled document is left.
     """
     good = labels.select("doc_id", *[F.col(c).cast("int") for c in columns]).where(" and ".join(f"{c} is not null" for c in ["doc_id", *columns]))
     good = good.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in columns]).withColumn("h", F.xxhash64("doc_id"))
@@ -136,24 +139,24 @@ def train(docs: DataFrame, labels: DataFrame, columns: list[str], target: str, p
     for k in sorted(counts):
         part = good.where(F.col(target) == k).orderBy("h").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked.drop("h")), "doc_id").where("text is not null")  # 2 * per_class rows at most
+    rows = docs.select("doc_id", "text").join(small(picked.drop("h"), 2 * per_class), "doc_id").where("text is not null")
 
     def run(batches):
         for b in slices(batches, 1):
             d, f = features(b.column(1).to_pylist())
             n = np.bincount(d, minlength=b.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), binary_column(f.astype("<i4").tobytes(), np.concatenate([[0], np.cumsum(4 * n)])), *[b.column(2 + i) for i in range(len(columns))]], names=["doc_id", "f", *columns]
+                [b.column(0), binary_column(f.astype("<i4").tobytes(), np.concatenate([[0], np.cumsum(4 * n)])), b.column(2), *[b.column(3 + i) for i in range(len(columns))]], names=["doc_id", "f", "copy", *columns]
             )
 
-    found = rows.select("doc_id", "text", *columns).mapInArrow(run, "doc_id long, f binary, " + ", ".join(f"{c} int" for c in columns)).collect()
+    found = rows.select("doc_id", "text", F.xxhash64("text").alias("copy"), *columns).mapInArrow(run, "doc_id long, f binary, copy long, " + ", ".join(f"{c} int" for c in columns)).collect()
     if not found:
         return None
     found = sorted(found, key=lambda r: (r["doc_id"], r["f"]))
     n = len(found)
     doc = np.repeat(np.arange(n), [len(r["f"]) // 4 for r in found])
     feature = np.frombuffer(b"".join(bytes(r["f"]) for r in found), "<i4").astype(np.int64)
-    fold = mix(np.array([r["doc_id"] for r in found], np.int64).view(np.uint64)) % np.uint64(FOLDS)
+    fold = mix(np.array([r["copy"] for r in found], np.int64).view(np.uint64)) % np.uint64(FOLDS)
     weight = np.array([max(1.0, counts[r[target]] / per_class) for r in found])
     earlier, models, cuts = np.zeros((n, 0)), [], []
     for c in columns:
@@ -181,8 +184,10 @@ def best_cut(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
 def score(docs: DataFrame, chain: Chain | None, target: str) -> DataFrame:
     """(doc_id, p_<label>..., <target> boolean) of every whole text.
 
-    Null and empty texts are never ``target``; without a chain all
-    probabilities are null and nothing is ``target``.
+    Null and empty texts are never ``target``; a probability that ties with the
+    cut is.  Repeated rows repeat, null ids stay null, other columns are ignored,
+    and an empty table gives no rows; without a chain all probabilities are null
+    and nothing is ``target``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # SPACE weights a label
     columns = chain.labels if chain else [target]
