@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, Work, small
 
-BLOCK = 20_000
+#: Documents of a source that one task balances at once.
+BLOCK = 2_500
 
 
 def targets(sizes: dict[str | None, int], weights=(5, 2, 1), share: float = 1.5, most: int = 2) -> dict[str | None, float]:
