@@ -110,6 +110,21 @@ def test_sharding_law_groups_and_slots(spark, hot):
     assert all(len(s) == 1 for t, s in where.items() if t != "copy " * 9) and (len(where.get("copy " * 9, "x")) == 1 or hot == 400)
 
 
+@pytest.mark.parametrize("copy", [(7, "copied line"), (None, "copied line"), (None, None)])
+def test_sharding_rows_of_one_id(spark, copy):
+    rng = random.Random(5)
+    rows = [copy] * 3000 + [(100 + i, prose(rng, rng.randrange(1, 4))) for i in range(100)]
+    work = Work(spark, "t")
+    docs = spark.createDataFrame([(*r, "a", "s") for r in rows], "doc_id long, text string, lang string, source string")
+    out = op2_kdtree.slots(op2_kdtree.shards(docs, 8, work=work), work).collect()
+    size, slots = Counter(), defaultdict(list)
+    for r in out:
+        size[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert len(out) == 3100 and len(size) == 8 and max(size.values()) - min(size.values()) <= 0.02 * sum(size.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_sharding_edges(spark, edge, empty):
     work = Work(spark, "t")
     assert op2_kdtree.slots(op2_kdtree.shards(edge, 8, work=work), work).count() == len(ROWS)
@@ -254,19 +269,39 @@ def test_fill_and_plan_use_every_length():
         for n, c in counts.items():
             sums = {s + n * k for s in sums for k in range(c + 1) if s + n * k <= 64}
         assert sum(n * c for n, c in got.items()) == max(sums) and all(c <= counts[n] for n, c in got.items())
-        p = op6_packing.plan(counts, 64)
-        used = defaultdict(list)
-        for n, c in counts.items():
-            for r in range(c):
-                pieces = op6_packing.place(p, n, r)
-                assert [s for s, *_ in pieces] == list(np.cumsum([0, *[k for _, k, *_ in pieces]])[:-1]) and sum(k for _, k, *_ in pieces) == n
-                for _, k, q, o in pieces:
-                    used[q].append((o, k))
-        assert sorted(used) == list(range(p["sequences"]))
+        p = op6_packing.Packer(64, 5)
+        texts = [bytes(4 * n) for n, c in counts.items() for _ in range(c)] + [bytes(4 * rng.randrange(1, 200)) for _ in range(3)]
+        rows = []
+        for i, x in enumerate(texts):
+            p.take(i, x)
+            if i % 4 == 3:  # chunks
+                rows += [r for b in p.pieces(False) for r in b.to_pylist()]
+                assert sum(n * len(x) for n, x in p.rest.items()) < 64
+        rows += [r for b in p.pieces(True) for r in b.to_pylist()]
+        parts, used = defaultdict(list), defaultdict(list)
+        for r in rows:
+            assert r["doc_tokens"] == len(texts[r["doc_id"]]) // 4 and len(r["ids"]) == 4 * r["length"]
+            parts[r["doc_id"]].append((r["start"], r["length"]))
+            used[r["sequence_id"]].append((r["offset"], r["length"]))
+        assert sorted(used) == list(range(5, 5 + len(used)))
+        for i, x in enumerate(texts):
+            spans = sorted(parts[i])
+            assert [s for s, _ in spans] == np.cumsum([0, *[n for _, n in spans]])[:-1].tolist() and sum(n for _, n in spans) == len(x) // 4
         for spans in used.values():
             spans.sort()
-            total = sum(k for _, k in spans)
-            assert all(o == sum(k for _, k in spans[:i]) for i, (o, _) in enumerate(spans)) and (total == 64 or total & (total - 1) == 0)
+            total = sum(n for _, n in spans)
+            assert [s for s, _ in spans] == np.cumsum([0, *[n for _, n in spans]])[:-1].tolist() and (total == 64 or total < 64 and total & (total - 1) == 0)
+
+
+def test_ids_are_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    t, e, rng = Tokenizer.from_file(tokenizer_path()), op6_packing.Encoder(tokenizer_path()), random.Random(12)
+    letters = "abtsrelvm'’ \t\n\x0b.,;12 AΉ\u0345ΣσςİıßéE\u0301ﬁ日本\u1c89\x1e\x85\xa0\u2028<|>" + "don't we're I'LL "
+    texts = ["Ή\u0345'", "\u0345'Ή", "don't'S", "<|endoftext|>'"] + ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 12))) for _ in range(30_000)]
+    for i in range(0, len(texts), 500):
+        some = texts[i : i + 500]
+        assert [np.frombuffer(x, "<u4").tolist() for x in e(some)] == [x.ids for x in t.encode_batch(some, add_special_tokens=False)]
 
 
 def test_packing_round_trip(spark, edge, empty):
@@ -284,7 +319,6 @@ def test_packing_round_trip(spark, edge, empty):
         xs.sort()
         total = sum(n for _, n in xs)
         assert all(o == sum(n for _, n in xs[:i]) for i, (o, _) in enumerate(xs)) and (total == 256 or total & (total - 1) == 0)
-    assert sorted(fill) == list(range(len(fill)))
     assert sum(len(x) for xs in by.values() for _, x in xs) == sum(len(k) - 1 for k, c in want.items() for _ in range(c))
     single = {k for k, c in Counter((r[0]) for r in ROWS).items() if c == 1}
     for (doc, n), xs in by.items():
@@ -461,12 +495,13 @@ def test_colliding_hashes_are_told_apart(spark, monkeypatch):
 
 
 def test_next_document_and_edit(spark):
-    ids = [5, -3, 900_000, 17, 18]
+    ids = [5, -3, 900_000, 17, 18, 2**62 + 5, -(2**62) - 9, 2**63 - 1]
     texts = {i: f"text number {i} " * (k + 1) for k, i in enumerate(ids)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     links = op10_digest.next_ids(docs, Work(spark, "t"))
     order = sorted(ids)
     after = dict(zip(order, order[1:] + order[:1]))
+    assert op10_digest.next_ids(docs.where("false"), Work(spark, "t")).count() == 0
     assert {r["doc_id"]: r["next_id"] for r in links.collect()} == after
     for r in op10_digest.edited(docs, links).collect():
         t, k = texts[r["doc_id"]], len(texts[r["doc_id"]]) // 4
