@@ -246,15 +246,18 @@ def test_large_buckets_go_in_blocks(spark, monkeypatch):
 
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(4)
-    x = rng.standard_normal((400, 64))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    turn = op5_rabitq.rotations(64, 2)
-    _, code, factor = op5_rabitq.encode(x, turn, 4, 4)
-    c = (np.unpackbits(code, axis=1)[:, :64] * 2.0 - 1) / 8
-    error = (c @ (x @ turn[:, :64]).T) / factor[:, None] - x @ x.T
-    np.fill_diagonal(error, 0)
-    bound = op5_rabitq.SIGMAS * np.sqrt(1 - factor**2) / factor / np.sqrt(63)
-    assert abs(error.mean()) < 2e-3 and (np.abs(error) <= bound[:, None]).mean() > 0.9999
+    for dim in (64, 33):
+        x = rng.standard_normal((400, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        turn = op5_rabitq.rotations(dim, 2)
+        _, code, factor, step, level = op5_rabitq.encode(x, turn, 4, 4)
+        assert code.nbytes + level.nbytes <= 400 * (dim + 9) * 5 / 8
+        c, q = op5_rabitq.decode(code, step, level, dim)
+        assert (np.abs(q - x @ turn[:, :dim]) <= step[:, None] * 1.001).all()
+        error = (c @ q.T) / factor[:, None] - x @ x.T
+        np.fill_diagonal(error, 0)
+        own, other = op5_rabitq.bounds(factor, step, dim)
+        assert abs(error.mean()) < 4e-3 and (np.abs(error) <= own[:, None] + other[None, :] / factor[:, None]).mean() > 0.9999
 
 
 # --- 6 ---

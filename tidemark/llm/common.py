@@ -101,6 +101,21 @@ def small(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def hot_join(rows: DataFrame, table: DataFrame, on: list[str], count: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has one row a key and in ``count`` how many of ``rows`` have it.
+
+    Keys of more than a small part of all rows are broadcast, the others are
+    shuffled, so no key fills a task.  At most 4 rows a partition are broadcast,
+    whatever the input.  Both sides are read twice; give written tables.  ``how`` is inner or left.
+    """
+    n = parts(rows.sparkSession)
+    limit = max(1, (table.agg(F.sum(count)).first()[0] or 0) // (4 * n))
+    hot = F.broadcast(table.where(F.col(count) > limit).drop(count))
+    cold = table.where(F.col(count) <= limit).drop(count)
+    near = rows.join(hot, on)
+    return near.unionByName(rows.join(F.broadcast(table.where(F.col(count) > limit).select(*on)), on, "left_anti").join(cold, on, how))
+
+
 def semi_reduce(df: DataFrame, column: str, ids: DataFrame, bits: int = 1 << 22) -> DataFrame:
     """Rows of ``df`` whose ``column`` may occur in the one column of ``ids``.
 
