@@ -362,7 +362,6 @@ def brute(rows, cut, span):
 def test_suffix_dedup_matches_brute_force(spark, edge, empty, monkeypatch, size, hot):
     monkeypatch.setattr("tidemark.llm.anchors.CELL", size)
     monkeypatch.setattr(op7_suffix, "gather", partial(gathered, hot))
-    monkeypatch.setattr(op9_debruijn, "gather", partial(gathered, hot))
     rows = [(r[0], r[1]) for r in ROWS]
     want = Counter((i, n, bytes(kept), spans) for i, n, kept, spans in brute(rows, lambda t: (t or "").encode(), 50))
     got = op7_suffix.repeats(edge).collect()
@@ -372,18 +371,32 @@ def test_suffix_dedup_matches_brute_force(spark, edge, empty, monkeypatch, size,
     assert op7_suffix.repeats(empty).count() == 0
 
 
-@pytest.mark.parametrize("size,hot", [(12 << 20, 1 << 20), (2000, 1 << 20), (2000, 1)])
-def test_substring_dedup_matches_brute_force(spark, edge, empty, monkeypatch, size, hot):
-    monkeypatch.setattr("tidemark.llm.anchors.CELL", size)
-    monkeypatch.setattr(op7_suffix, "gather", partial(gathered, hot))
-    monkeypatch.setattr(op9_debruijn, "gather", partial(gathered, hot))
+@pytest.mark.parametrize("bits", [64, 6])
+def test_substring_dedup_matches_brute_force(spark, edge, empty, monkeypatch, bits):
+    monkeypatch.setattr(op9_debruijn, "BUCKET", 1 << 14)
     rows = [(r[0], r[1]) for r in ROWS]
     want = Counter((i, n, " ".join(kept), spans) for i, n, kept, spans in brute(rows, lambda t: WORD.findall(t or ""), 50))
-    got = op9_debruijn.repeats(edge).collect()
+    got = op9_debruijn.repeats(edge, bits=bits).collect()
     assert Counter((r["doc_id"], r["n_words"], r["kept"], len(r["spans"])) for r in got) == want
     assert op9_debruijn.repeats(empty).count() == 0
 
 
+def test_paths_are_whole_and_have_one_source(spark):
+    rng = random.Random(4)
+    shared, other = prose(rng, 200), prose(rng, 90)
+    rows = [(10, shared), (11, prose(rng, 30) + " " + shared), (12, shared + " " + other), (13, prose(rng, 9) + " " + other), (14, " ".join(shared.split()[20:120]))]
+    g = op9_debruijn.Graph(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 50, 64, Work(spark, "t"))
+    got = defaultdict(set)
+    for r in g.paths().collect():
+        got[r["path"]].add((r["id"], r["n"], r["source"]))
+    long = sorted({(n, s) for x in got.values() for _, n, s in x if n > 1})
+    assert long == [(19, 10), (39, 12), (49, 10), (79, 10)]  # 151 windows, cut at 20 and 70; ends are paths of one edge
+    assert all(len({(n, s) for _, n, s in x}) == 1 for x in got.values())
+    assert sorted(i for i, n, _ in set().union(*got.values()) if n == 49) == [10, 11, 12, 14]
+    plan = g.with_notes(g.copies.repartition(g.n, "uid"), "left_anti")._jdf.queryExecution().toString()
+    assert "Bucketed: true" in plan
+
+
 def test_null_ids_come_last(spark):
     rng = random.Random(1)
     t = prose(rng, 90)

@@ -69,23 +69,36 @@ class Work:
         ship_package(spark)
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)  # workers hold a few batches
         self.root = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex[:12]}"
+        self.tables: list[str] = []
         atexit.register(self._clear)
 
     def _clear(self) -> None:
         try:
+            for table in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
             _remove(self.spark, self.root)
         except Exception:  # the session may be gone at exit
             pass
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
+        self._write(lambda: df.write.option("compression", "zstd").parquet(path))
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def bucketed(self, df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+        """``df`` written in n buckets of ``key``: what is dealt by ``key`` to n partitions joins it without moving it."""
+        table = f"tidemark_{uuid.uuid4().hex}"
+        self.tables.append(table)
+        self._write(lambda: df.repartition(n, key).write.option("compression", "zstd").option("path", f"{self.root}/{name}").bucketBy(n, key).saveAsTable(table))
+        return self.spark.table(table)
+
+    def _write(self, run) -> None:
         conf, old = self.spark.conf, self.spark.conf.get(FILE_CLEANUP)
         conf.set(FILE_CLEANUP, "true")
         try:
-            df.write.option("compression", "zstd").parquet(path)
+            run()
         finally:
             conf.set(FILE_CLEANUP, old)
-        return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         for name in names:
