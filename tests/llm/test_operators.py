@@ -478,7 +478,7 @@ def test_recall_holds_where_buckets_stay_large(spark):
     for level_size in (2 * n / 4, 2 * n / 16):
         assert level_size > op8_chosen_path.SMALL
     sets = spark.createDataFrame(rows, "rep long, data binary").repartition(8)
-    edges = op8_chosen_path.candidate_edges(sets, 0.8, 0.999, Work(spark, "t"))
+    edges, _ = op8_chosen_path.candidate_edges(sets, 0.8, 0.999, Work(spark, "t"))
     found = sum(r["src"] // 2 == r["dst"] // 2 for r in edges.collect())
     assert found >= n * 0.998  # a perfect 0.999 leaves 8 of them
 

@@ -2,11 +2,18 @@
 
 A document is the set of its five-word shingles, embedded as ``SLOTS`` min-hash
 tokens.  In each run a set goes down the buckets named by tokens that a random
-function of the path so far chooses (on average 1 / threshold of a set's
-tokens), so similar sets meet; buckets are split again until they are small,
-then compared by brute force on their tokens.  Runs repeat until the recall
-asked for.  Sets whose tokens look similar form candidate groups, in which the
-Jaccard similarity of every pair is computed exactly from the whole sets.
+function of the path so far chooses, so similar sets meet.  Buckets are split
+again until they are small, and small ones are compared by brute force on their
+tokens.  In a larger bucket, sets that are alike to much of it would go on
+together for ever: they are compared with the whole bucket and leave it, the
+others are split.  So there is no deepest level.  A set chooses ``FAN`` tokens of those it
+shares with a set at the threshold, on average; with more than one, a pair's chance to stay together
+does not run out with the depth, and runs repeat until the recall asked for.
+
+Sets that met and look similar form candidate groups, in which Jaccard
+similarity is computed exactly from the whole sets, in blocks.  In a group of
+several blocks a set goes only to those blocks where it met a set that looks
+similar, so groups that hang together by chains cost what their pairs cost.
 """
 
 from __future__ import annotations
@@ -18,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UnionFind, Work, binary_column, flat, semi_reduce, slices
+from .common import UnionFind, Work, binary_column, flat, hot_join, semi_reduce, slices
 from .components import components
 from .op5_rabitq import grouped
 from .words import mix, shingles
@@ -26,8 +33,10 @@ from .words import mix, shingles
 SLOTS = 64
 #: A bucket of at most so many sets is compared by brute force at once.
 SMALL = 64
-#: Deepest path; buckets still larger there hold sets that agree too much to be split.
-DEPTH = 3
+#: Tokens of those shared with a set at the threshold that a set goes on by, on average.
+FAN = 1.8
+#: A set that agrees with a bucket in this part of its slots on average is compared with all of it; the buckets of others halve.
+DENSE = 0.5
 #: Sets of a block in a brute-force comparison.
 BLOCK = 1024
 #: Part of the pairs that may be lost whose sketches may look too different.
@@ -42,27 +51,31 @@ def agreeing(threshold: float) -> list[float]:
 def least_slots(recall: float, threshold: float) -> int:
     """Equal slots from which sketches look similar; fewer cost a tenth of the pairs that may be lost."""
     m, lost = 0, 0.0
-    for chance in agreeing(threshold):
-        lost += chance
+    for share in agreeing(threshold):
+        lost += share
         if lost > LOST_BY_SKETCH * (1 - recall):
             break
         m += 1
     return m
 
 
+def chance(threshold: float) -> float:
+    """The probability with which a set goes on by a slot."""
+    return min(1.0, FAN / (threshold * SLOTS))
+
+
 def missed(runs: int, recall: float, threshold: float) -> float:
     """Share of the pairs at the threshold that are not found in ``runs`` runs.
 
-    Buckets may be too large to compare at every level but the last, so a pair must
-    keep one DEPTH levels down; from a bucket it goes on by each slot in which its
-    sketches agree with probability 1 / (threshold * SLOTS).
+    However deep the buckets must be split, a pair goes on together by each slot in
+    which its sketches agree; ``once`` is the limit for infinite depth.
     """
-    step, least, out = 1 / (threshold * SLOTS), least_slots(recall, threshold), 0.0
-    for m, chance in enumerate(agreeing(threshold)):
+    step, least, out = chance(threshold), least_slots(recall, threshold), 0.0
+    for m, share in enumerate(agreeing(threshold)):
         once = 1.0
-        for _ in range(DEPTH):
+        for _ in range(1000):
             once = 1 - (1 - step * once) ** m
-        out += chance * ((1 - once) ** runs if m >= least else 1.0)
+        out += share * ((1 - once) ** runs if m >= least else 1.0)
     return out
 
 
@@ -90,7 +103,7 @@ def choose(tokens: np.ndarray, path: np.ndarray, threshold: float) -> tuple[np.n
     """(row, longer path) for every chosen token of every row."""
     slot = np.arange(SLOTS, dtype=np.uint64) << np.uint64(32)
     h = mix(mix(path.astype(np.uint64))[:, None] + (tokens.astype(np.uint64) | slot))
-    row, col = np.nonzero(mix(h + np.uint64(1)) < np.uint64(int(2.0**64 / (threshold * SLOTS))))
+    row, col = np.nonzero(mix(h + np.uint64(1)) <= np.uint64(min((1 << 64) - 1, int(2.0**64 * chance(threshold)))))
     return row, h[row, col].view(np.int64)
 
 
@@ -131,77 +144,142 @@ def row_key(id_col: str = "doc_id", text_col: str = "text"):
 def _blocks(rows: DataFrame, key: str, sizes: DataFrame, payload: DataFrame) -> DataFrame:
     """Deals each key's rows (rep) to pairs of blocks (i, j), then brings the payload (rep, ...) there.
 
-    ``sizes`` (key, blocks) names every key wanted.  Blocks are chosen on narrow rows, so the payload is
-    shuffled twice at most.
+    ``sizes`` (key, blocks, m) names every key wanted, with its number of rows.  Blocks are chosen on
+    narrow rows, so the payload is shuffled twice at most.
     """
-    rows = rows.join(sizes, key).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = hot_join(rows, sizes, [key], "m").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("i", F.least("side", "other").cast("int")).withColumn("j", F.greatest("side", "other").cast("int")).drop("other", "blocks")
     return rows.join(payload, "rep").repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
+def _sketches(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, SLOTS)
+
+
+def _alike(g, low: float):
+    """(p, rows alike to p in at least ``low`` of the slots) of a block pair (path, i, j, side, dense, rep, data).
+
+    One of two rows is dense, and they lie on both sides.
+    """
+    i, j, side, dense = g.column(1)[0].as_py(), g.column(2)[0].as_py(), g.column(3).to_numpy(), g.column(4).to_numpy(zero_copy_only=False)
+    tokens = _sketches(g.column(6))
+    for p in np.flatnonzero(side == i).tolist():
+        rest = np.arange(p + 1, g.num_rows) if i == j else np.flatnonzero(side == j)
+        if not dense[p]:
+            rest = rest[dense[rest]]
+        if len(rest):
+            yield p, rest, lambda some, p=p: some[(tokens[some] == tokens[p]).mean(1) >= low]
+
+
 def _forest_rows(batches, low: float):
-    """A spanning forest of the sets in each bucket whose tokens agree in at least ``low`` of the slots."""
+    """A spanning forest of the sets of each block pair that look similar."""
     for g in grouped(batches, 3):
         m = g.num_rows
         if m < 2:
             continue
-        tokens = np.frombuffer(b"".join(g.column(5).to_pylist()), np.uint32).reshape(m, SLOTS)
-        ids, forest, src, dst = g.column(4).to_numpy(), UnionFind(m), [], []
+        ids, forest, src, dst = g.column(5).to_numpy(), UnionFind(m), [], []
         group = np.arange(m)  # lowest row of each row's group
-        for p in range(m - 1):
-            rest = p + 1 + np.flatnonzero(group[p + 1 :] != group[p])
-            if not len(rest):
-                continue
-            near = rest[(tokens[rest] == tokens[p]).mean(1) >= low]
+        for p, rest, alike in _alike(g, low):
+            near = alike(rest[group[rest] != group[p]])
             for q in near.tolist():
                 if forest.union(p, q):
                     src.append(p)
                     dst.append(q)
             if len(near):
-                joined = np.unique(group[near])
-                group[np.isin(group, joined)] = group[p]
+                group[np.isin(group, np.unique(group[near]))] = group[p]
         if src:
             yield pa.RecordBatch.from_arrays([pa.array(ids[src]), pa.array(ids[dst])], names=["src", "dst"])
 
 
-def candidate_edges(sets: DataFrame, threshold: float, recall: float, work: Work) -> DataFrame:
-    """(src, dst) edges between sets (rep, data) that met in a bucket and look similar."""
+def _met_rows(batches, low: float):
+    """(rep, other): the blocks of a set's group (grp, home) in which it met a set that looks similar."""
+    for g in grouped(batches, 3):
+        if g.num_rows < 2:
+            continue
+        ids, grp, home, found = g.column(5).to_numpy(), g.column(7).to_numpy(), g.column(8).to_numpy(), set()
+        for p, rest, alike in _alike(g, low):
+            near = alike(rest[grp[rest] == grp[p]])
+            found.update((int(ids[p]), int(x)) for x in np.unique(home[near]))
+            found.update((int(x), int(home[p])) for x in ids[near])
+        if found:
+            rep, other = np.array(sorted(found), np.int64).T
+            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(other.astype(np.int32))], names=["rep", "other"])
+
+
+def _split_rows(batches, threshold: float):
+    """Of each block (path, side, rep, data) of a large bucket: (rep, path, dense, null), and (rep, path, false, longer path) for sets that go on."""
+    for g in grouped(batches, 2):
+        tokens, m = _sketches(g.column(3)), g.num_rows
+        agree = np.zeros(m)
+        for c in range(SLOTS):  # blocks are dealt by hash, so a block shows what the bucket is like
+            _, which, count = np.unique(tokens[:, c], return_inverse=True, return_counts=True)
+            agree += count[which]
+        dense = agree / (SLOTS * m) >= DENSE
+        path, rep = g.column(0).to_numpy(), g.column(2).to_numpy()
+        row, child = choose(tokens[~dense], path[~dense], threshold)
+        row = np.flatnonzero(~dense)[row]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([rep, rep[row]])), pa.array(np.concatenate([path, path[row]])), pa.array(np.concatenate([dense, np.zeros(len(row), bool)])),
+             pa.array(np.concatenate([np.zeros(m, np.int64), child]), mask=np.arange(m + len(row)) < m)], names=["rep", "path", "dense", "child"],
+        )
+
+
+def candidate_edges(sets: DataFrame, threshold: float, recall: float, work: Work) -> tuple[DataFrame, list]:
+    """(src, dst) edges between sets (rep, data) that met and look similar, and the buckets (rows, sizes) in which sets were compared."""
     low = least_slots(recall, threshold) / SLOTS
     runs = runs_needed(recall, threshold)
 
     def start(batches):
         for b in batches:
             if b.num_rows:
-                ids = b.column(0).to_numpy()
-                tokens = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, SLOTS)
+                ids, tokens = b.column(0).to_numpy(), _sketches(b.column(1))
                 for r in range(runs):
                     row, path = choose(tokens, np.full(len(ids), r + 1), threshold)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(path)], names=["rep", "path"])
 
-    def deeper(batches):
-        for b in batches:
-            if b.num_rows:
-                ids = b.column(0).to_numpy()
-                tokens = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(-1, SLOTS)
-                row, path = choose(tokens, b.column(1).to_numpy(), threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(path)], names=["rep", "path"])
-
-    edges = None
-    rows = work.save(sets.select("rep", "data").mapInArrow(start, "rep long, path long"), "paths-1")
-    for level in range(1, DEPTH + 1):
-        sizes = work.save(rows.groupBy("path").agg(F.count("*").alias("m")).where("m > 1"), f"sizes-{level}")
-        last = level == DEPTH
-        small = sizes if last else sizes.where(F.col("m") <= SMALL)
-        small = small.select("path", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-        dealt = _blocks(rows, "path", small, sets.select("rep", "data")).select("path", "i", "j", "side", "rep", "data")
-        found = work.save(dealt.mapInArrow(lambda it: _forest_rows(it, low), "src long, dst long").distinct(), f"edges-{level}")
-        edges = found if edges is None else edges.unionByName(found)
-        if last:
-            break
-        big = rows.join(sizes.where(F.col("m") > SMALL).select("path"), "path").join(sets.select("rep", "data"), "rep").select("rep", "path", "data")
-        rows = work.save(big.mapInArrow(deeper, "rep long, path long"), f"paths-{level + 1}")
-    return edges.distinct()
+    sketches, edges, compared, level = sets.select("rep", "data"), None, [], 0
+    rows = work.save(sketches.mapInArrow(start, "rep long, path long"), "paths-0")
+    while True:
+        sizes = work.save(rows.groupBy("path").agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")), f"sizes-{level}")
+        compared.append((rows.withColumn("dense", F.lit(True)), sizes.where(F.col("m") <= SMALL).withColumn("blocks", F.lit(1))))
+        large = sizes.where(F.col("m") > SMALL)
+        more = not large.isEmpty()
+        if more:
+            dealt = hot_join(rows, large, ["path"], "m").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).select("path", "side", "rep")
+            dealt = dealt.join(sketches, "rep").select("path", "side", "rep", "data").repartition("path", "side").sortWithinPartitions("path", "side")
+            split = work.save(dealt.mapInArrow(lambda it: _split_rows(it, threshold), "rep long, path long, dense boolean, child long"), f"split-{level}")
+            dense = split.where("dense").select("path").distinct()
+            compared.append((split.where("child is null").select("rep", "path", "dense"), work.save(large.join(dense, "path"), f"dense-{level}")))
+        for rows_, sizes_ in compared[-2:] if more else compared[-1:]:
+            dealt = _blocks(rows_, "path", sizes_, sketches).select("path", "i", "j", "side", "dense", "rep", "data")
+            found = work.save(dealt.mapInArrow(lambda it: _forest_rows(it, low), "src long, dst long").distinct(), f"edges-{level}-{len(compared)}-{sizes_ is compared[-1][1]}")
+            edges = found if edges is None else edges.unionByName(found)
+        if not more:
+            return edges.distinct(), compared
+        rows, level = split.where("child is not null").select("rep", F.col("child").alias("path")), level + 1
+
+
+def group_blocks(group: DataFrame, sets: DataFrame, compared: list, threshold: float, recall: float, work: Work) -> DataFrame:
+    """(rep, grp, side, i, j): the block pairs in which a group's sets are compared exactly."""
+    low = least_slots(recall, threshold) / SLOTS
+    sizes = group.groupBy("grp").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    sizes = work.save(sizes, "group-sizes")
+    placed = hot_join(group, sizes, ["grp"], "m").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    placed = work.save(placed.select("rep", "grp", "side", (F.col("blocks") > 1).alias("wide")), "placed")
+    zero = F.lit(0)
+    out = placed.where("not wide").select("rep", "grp", "side", zero.alias("i"), zero.alias("j"))
+    wide = placed.where("wide").select("rep", "grp", F.col("side").alias("home"))
+    if wide.isEmpty():
+        return out
+    met = None
+    payload = sets.select("rep", "data").join(wide, "rep")
+    for k, (rows, sizes_) in enumerate(compared):
+        dealt = _blocks(rows.join(wide.select("rep"), "rep", "left_semi"), "path", sizes_, payload).select("path", "i", "j", "side", "dense", "rep", "data", "grp", "home")
+        found = work.save(dealt.mapInArrow(lambda it: _met_rows(it, low), "rep long, other int").distinct(), f"met-{k}")
+        met = found if met is None else met.unionByName(found)
+    far = met.distinct().join(wide, "rep").select("rep", "grp", F.col("home").alias("side"), F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"))
+    return out.unionByName(far.distinct())
 
 
 def _exact(batches, threshold: float):
@@ -255,7 +333,7 @@ def _exact(batches, threshold: float):
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.999, work: Work | None = None) -> DataFrame:
-    """(id, class_id, n_links, kept, class_key, row_key): one row a document.
+    """(id, class_id, n_links, class_key, row_key, kept): one row a document.
 
     Linked documents have Jaccard similarity >= ``threshold`` of their sets of
     ``width``-word shingles; class_id is the smallest id reachable by links.  A
@@ -272,21 +350,24 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     full = rows.where("n > 0 and id is not null")
     sets = full.groupBy("d1", "d2", "n").agg(F.min("id").alias("low"), F.count("*").alias("mult"), F.min("data").alias("data"))
     sets = work.save(sets.withColumn("rep", F.xxhash64("d1", "d2", "n")), "sets")
-    edges = candidate_edges(sets, threshold, recall, work)
+    edges, compared = candidate_edges(sets, threshold, recall, work)
     group = work.save(components(edges, work, "candidates"), "groups").select(F.col("id").alias("rep"), F.col("component").alias("grp"))
-    wanted = sets.select("rep", "low", "mult").join(group, "rep")
+    blocks = work.save(group_blocks(group, sets, compared, threshold, recall, work), "blocks")
+    wanted = sets.select("rep", "low", "mult").join(group.select("rep"), "rep")
     some = semi_reduce(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", wanted.select("low"))
     members = sets_of(some, "id", "text", width, False).select(F.xxhash64("d1", "d2", "n").alias("rep"), "n", "data").dropDuplicates(["rep"])
-    sizes = group.groupBy("grp").agg(F.count("*").alias("m")).select("grp", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    dealt = _blocks(wanted.select("rep", "grp", "mult"), "grp", sizes, members).select("grp", "i", "j", "side", "rep", "mult", "n", "data")
+    dealt = blocks.join(members.join(wanted.select("rep", "mult"), "rep"), "rep").select("grp", "i", "j", "side", "rep", "mult", "n", "data")
+    dealt = dealt.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
     found = work.save(dealt.mapInArrow(lambda it: _exact(it, threshold), "src long, dst long, n long"), "found")
-    label = components(found.where("dst is not null").select("src", "dst"), work, "classes").withColumnRenamed("id", "rep")
+    label = work.save(components(found.where("dst is not null").select("src", "dst"), work, "classes").withColumnRenamed("id", "rep"), "labels")
     counts = found.where("dst is null").groupBy(F.col("src").alias("rep")).agg(F.sum("n").alias("n_links"))
     per = sets.select("d1", "d2", "n", "rep", "low", "mult").join(counts, "rep", "left").join(label, "rep", "left").withColumn("class_key", F.coalesce("component", "rep"))
-    lowest = per.where("component is not null").groupBy("class_key").agg(F.min("low").alias("class_low"))
-    per = per.join(lowest, "class_key", "left").select(
-        "d1", "d2", "n", "class_key", F.lit(False).alias("alone"), (F.coalesce("n_links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("class_low", "low").alias("class_id")
-    )
-    out = rows.withColumn("alone", (F.col("n") == 0) | F.col("id").isNull()).join(per, ["d1", "d2", "n", "alone"], "left")
-    out = out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "class_key", "row_key")
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("class_id"), F.lit(True)))
+    per = work.save(per, "per")
+    lowest = work.save(per.groupBy("class_key").agg(F.min("low").alias("class_low"), F.count("*").alias("c")), "lowest")
+    per = hot_join(per, lowest, ["class_key"], "c").select("d1", "d2", "n", "class_key", "mult", (F.coalesce("n_links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.col("class_low").alias("class_id"))
+    per = work.save(per, "classes-of-sets")
+    alone = (F.col("n") == 0) | F.col("id").isNull()
+    rows = rows.drop("data")
+    out = hot_join(rows.where(~alone), per, ["d1", "d2", "n"], "mult").select("id", "class_id", "n_links", "class_key", "row_key")
+    lone = rows.where(alone).select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("class_key"), "row_key")
+    return out.unionByName(lone).withColumnRenamed("id", id_col).withColumn("kept", F.coalesce(F.col(id_col) == F.col("class_id"), F.lit(True)))
