@@ -154,13 +154,15 @@ def train(docs: DataFrame, labels: DataFrame, columns: list[str], target: str, p
         return None
     found = sorted(found, key=lambda r: (r["doc_id"], r["f"]))
     n = len(found)
-    doc = np.repeat(np.arange(n), [len(r["f"]) // 4 for r in found])
-    feature = np.frombuffer(b"".join(bytes(r["f"]) for r in found), "<i4").astype(np.int64)
+    doc = np.repeat(np.arange(n, dtype=np.int32), [len(r["f"]) // 4 for r in found])
+    feature = np.frombuffer(b"".join(r["f"] for r in found), "<i4")
     fold = mix(np.array([r["copy"] for r in found], np.int64).view(np.uint64)) % np.uint64(FOLDS)
     weight = np.array([max(1.0, counts[r[target]] / per_class) for r in found])
+    known = {c: np.array([r[c] for r in found], float) for c in columns}
+    del found
     earlier, models, cuts = np.zeros((n, 0)), [], []
     for c in columns:
-        y = np.array([r[c] for r in found], float)
+        y = known[c]
         out = np.zeros(n)
         for k in range(FOLDS):
             test = fold == k
