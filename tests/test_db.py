@@ -133,7 +133,7 @@ def test_reopen_replays_and_clock(spark, tmp_path):
 
 
 def test_maintain_levels(spark, tmp_path):
-    options = OpenOptions(SyncPolicy(0), SealPolicy(0, 0), CompactionPolicy(100, 200))
+    options = OpenOptions(SyncPolicy(1e-9), SealPolicy(1, 1e-9), CompactionPolicy(100, 200))
     with Db(spark, f"file://{tmp_path}/db", options) as db:
         t = db.create_table([(1, 1)])
         for ts in (10, 20, 110, 120, 210):
@@ -159,34 +159,173 @@ def test_bulk_frame(spark, tmp_path):
             db.append_frame(rows.withColumn("ts", rows.ts + 1000).withColumn("field_id", rows.field_id + 5))
 
 
+FRAME = "cast(1 as long) table_id", "id % {n} series_id", "1 field_id", "id ts", "cast(1 as tinyint) kind", "cast(id as decimal(20,0)) u", "cast(null as smallint) q", "cast(null as long) f"
+
+
+def frame(spark, low, high, n=10):
+    return spark.range(low, high).selectExpr(*[x.format(n=n) for x in FRAME])
+
+
 def test_verify_finds_one_changed_value(spark, tmp_path):
     with Db(spark, f"file://{tmp_path}/db") as db:
-        t = db.create_table([(1, 1)])
-        rows = spark.range(200).selectExpr(f"cast({t} as long) table_id", "id % 10 series_id", "1 field_id", "id ts", "cast(1 as tinyint) kind", "cast(id as decimal(20,0)) u", "cast(null as smallint) q", "cast(null as long) f")
-        db.append_frame(rows)
-        path = db.state["units"][0]["path"]
-        good = spark.read.parquet(f"file://{tmp_path}/db/{path}").collect()
-        schema = spark.read.parquet(f"file://{tmp_path}/db/{path}").schema
-        for change in ({"u": Decimal(7)}, {"series_id": 3}, {"version_no": 9}, {"u": None, "f": 50}):
-            bad = [r.asDict() | change if r["ts"] == 50 else r.asDict() for r in good]
-            spark.createDataFrame(bad, schema).write.mode("overwrite").parquet(f"file://{tmp_path}/db/{path}")
-            for use in (db.verify, lambda: db._compact(db.state["units"], 0), lambda: db.retain(1000)):
-                with pytest.raises(Corruption):
-                    use()
-        spark.createDataFrame(good, schema).write.mode("overwrite").parquet(f"file://{tmp_path}/db/{path}")
+        db.create_table([(1, 1)])
+        db.append_frame(frame(spark, 0, 200))
+        for name in ("facts", "last"):
+            path = f"file://{tmp_path}/db/{db.state['units'][0]['path']}/{name}"
+            good, schema = spark.read.parquet(path).collect(), spark.read.parquet(path).schema
+            at = good[0]["ts"]
+            for change in ({"val": 7_000}, {"series_id": 33}, {"kind": 3}, {"val": None, "big": Decimal(50)}):
+                bad = [r.asDict() | change if r["ts"] == at else r.asDict() for r in good]
+                spark.createDataFrame(bad, schema).write.mode("overwrite").parquet(path)
+                for use in (db.verify, lambda: db._compact(db.state["units"], 0), lambda: db.retain(1000)):
+                    with pytest.raises(Corruption):
+                        use()
+            spark.createDataFrame(good, schema).write.mode("overwrite").parquet(path)
         assert db.verify() == 1 and db._compact(db.state["units"], 0).input_units == 1 and db.verify() == 1
 
 
-def test_stream(spark, tmp_path):
+def test_integers_beyond_a_long_and_all_kinds_survive(spark, tmp_path):
+    with Db(spark, f"file://{tmp_path}/db") as db:
+        t = db.create_table([(1, 1), (2, 2), (3, 3)])
+        for ts, u in enumerate((0, 2**63 - 1, 2**63, 2**64 - 1)):
+            put(db, t, ts, (2**64 - 1, 1, U(u)), (2**64 - 1, 2, Value.sq1(254)), (2**64 - 1, 3, Value.f32_bits(0xFFFFFFFF)))
+        put(db, t, 9, (2**64 - 1, 1, NULL), (2**64 - 1, 2, NULL), (2**64 - 1, 3, NULL))
+        before = sorted(map(tuple, db.snapshot().facts().collect()))
+        db.seal()
+        assert sorted(map(tuple, db.snapshot().facts().collect())) == before and len(before) == 15
+
+
+def test_lookups_read_last_facts_of_ended_units(spark, tmp_path):
+    with Db(spark, f"file://{tmp_path}/db") as db:
+        db.create_table([(1, 1)])
+        db.create_table([(1, 1)])
+        for low in (0, 100, 200):
+            db.append_frame(frame(spark, low, low + 100))
+        s, keys = db.snapshot(), [(1, i, 1) for i in range(12)]
+        used = lambda df: sorted({"/".join(f.split("/")[-3:-1]) for f in df.inputFiles()})
+        name = lambda k, part: f"{db.state['units'][k]['path'].split('/')[1]}/{part}"
+        assert used(s.facts_upto(250, None, {1})) == [name(0, "last"), name(1, "last"), name(2, "facts")]
+        assert used(s.facts_upto(None, None, {1})) == [name(k, "last") for k in range(3)] and used(s.facts(None, None, {2})) == []
+        want = [("value", 240 + i, 240 + i) if i <= 9 else ("missing", None, None) for i in range(12)]
+        assert looked(s.value_at(keys, 249)) == want
+        assert looked(s.latest(keys))[:10] == [("value", 290 + i, 290 + i) for i in range(10)]
+        assert slots(s.sample([(1, 3, 1)], 95, 130, 10)) == [(95, "value", 93, True), (105, "value", 103, True), (115, "value", 113, True), (125, "value", 123, True)]
+
+
+def test_broken_order_and_versions_are_corruption(spark, tmp_path):
+    with Db(spark, f"file://{tmp_path}/db") as db:
+        t = db.create_table([(1, 1)], 5)
+        db.append_frame(frame(spark, 0, 10))
+        put(db, t, 10, (1, 1, U(1)))
+        state = db.state["units"][0]["tables"]["1"]
+        state[1], db._cached = 10, None
+        with pytest.raises(Corruption):
+            db.snapshot()
+        state[1], db._cached = 9, None
+        db.state["tables"]["1"]["versions"][0]["effective_from"] = 5
+        with pytest.raises(Exception, match="no version is active"):
+            db.snapshot().value_at([(1, 4, 1)], 4).collect()
+
+
+def test_limits_and_options(spark, tmp_path, monkeypatch):
+    bad = [OpenOptions(SyncPolicy(0)), OpenOptions(SyncPolicy(1, 0)), OpenOptions(seal=SealPolicy(0)), OpenOptions(seal=SealPolicy(1, 1, 1 << 40)), OpenOptions(compaction=CompactionPolicy(0, 5)), OpenOptions(compaction=CompactionPolicy(9, 5)), OpenOptions(compaction=CompactionPolicy(1.5, 5)), OpenOptions(ticks_per_second=0)]
+    for o in bad:
+        with pytest.raises(InvalidArgument):
+            o.validate()
+    with pytest.raises(ResourceExhausted):
+        OpenOptions(directory_cache_bytes=1 << 30).validate()
+    OpenOptions(SyncPolicy(0, 0, True)).validate()
+    monkeypatch.setattr("tidemark.db.TAIL_LIMIT", 160)
+    with Db(spark, f"file://{tmp_path}/db", OpenOptions(seal=SealPolicy(10))) as db:
+        t = db.create_table([(1, 1)])
+        assert db.tail_limit_bytes() == 160 and db.estimated_append_growth(Observation(1, ((1, 1, U(1)),))) == 40
+        for ts in range(4):
+            put(db, t, ts, (1, 1, U(1)))
+        seq = db.visible_seq
+        for use in (lambda: put(db, t, 4, (1, 1, U(1))), lambda: db.try_append_batch(t, [Observation(5, ((1, 1, U(1)),))])):
+            with pytest.raises(ResourceExhausted):
+                use()
+        assert db.visible_seq == seq
+        db.seal()
+        put(db, t, 4, (1, 1, U(1)))
+        status = db.maintenance_status()
+        assert status.wal_bytes == 0 and status.unsynced_bytes > 0 and status.tail_bytes == 40 and status.seal_due
+        db.sync()
+        assert db.maintenance_status().wal_bytes > 0 and db.metrics["append"][0] == 6 and db.metrics["seal"][0] == 1
+
+
+def test_one_of_two_writers_publishes(spark, tmp_path):
+    from tidemark.sources import manifest
+
+    with Db(spark, f"file://{tmp_path}/db") as db:
+        db.create_table([(1, 1)])
+        other = Db(spark, f"file://{tmp_path}/db", OpenOptions(takeover=True))
+        assert other.state["writer_epoch"] == db.state["writer_epoch"] + 1
+        other.create_table([(1, 1)])
+        other.seal()
+        with pytest.raises(InvalidArgument):
+            db.seal()
+        with pytest.raises(Exception, match="open the database again"):
+            db.seal()
+        db._poisoned, db._unsynced = False, []
+        db.files.create(manifest.claim(other.state["generation"] + 1), b"dead")
+        other.close()
+        with Db(spark, f"file://{tmp_path}/db", OpenOptions(takeover=True)) as again:
+            again.create_table([(1, 1)])
+            assert again.seal().checkpointed_records == 1
+
+
+def test_published_files_are_never_missing(spark, tmp_path, monkeypatch):
+    from tidemark.sources.fs import Files
+
+    f = Files(spark, f"file://{tmp_path}/x")
+    f.mkdirs()
+    f.publish("a", b"old")
+    monkeypatch.setattr(Files, "rename", lambda *a, **k: (_ for _ in ()).throw(OSError("crash")))
+    with pytest.raises(OSError):
+        f.publish("a", b"new")
+    assert f.read("a") == b"old"
+    monkeypatch.undo()
+    f.publish("a", b"new")
+    assert f.read("a") == b"new"
+
+
+def test_stream_takes_each_batch_once(spark, tmp_path):
+    import os
+
     from tidemark.streaming.ingest import stream_into
 
-    rows = spark.range(100).selectExpr("cast(1 as long) table_id", "id % 3 series_id", "1 field_id", "id ts", "cast(1 as tinyint) kind", "cast(id as decimal(20,0)) u", "cast(null as smallint) q", "cast(null as long) f")
-    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    frame(spark, 0, 100, 3).coalesce(1).write.parquet(f"{tmp_path}/in")
+    start = lambda db, **k: stream_into(spark.readStream.schema(frame(spark, 0, 1).schema).parquet(f"{tmp_path}/in"), db, f"{tmp_path}/cp", **k).awaitTermination(60)
     with Db(spark, f"file://{tmp_path}/db") as db:
         db.create_table([(1, 1)])
-        q = stream_into(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), db, f"{tmp_path}/cp")
-        q.awaitTermination(60)
+        start(db)
+        assert db.snapshot().facts().count() == 100
+        for name in os.listdir(f"{tmp_path}/cp/commits"):  # the stream failed after the database had the batch
+            os.remove(f"{tmp_path}/cp/commits/{name}")
+        start(db)
         assert db.snapshot().facts().count() == 100
+        frame(spark, 90, 120, 3).unionByName(frame(spark, 110, 120, 3)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        start(db, late="drop")
+        assert db.snapshot().facts().count() == 120 and db.state["sources"] == {f"{tmp_path}/cp": 1}
+        frame(spark, 130, 131).unionByName(frame(spark, 130, 131).selectExpr("table_id", "series_id", "field_id", "ts", "kind", "cast(7 as decimal(20,0)) u", "q", "f")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        with pytest.raises(Exception, match="occurs twice"):
+            start(db)
+    with Db(spark, f"file://{tmp_path}/db") as db:
+        assert db.state["sources"] == {f"{tmp_path}/cp": 1}
+
+
+def test_windowed_stream(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidemark.streaming.ingest import windowed
+
+    frame(spark, 0, 600, 2).withColumn("at", F.timestamp_seconds("ts")).coalesce(1).write.parquet(f"{tmp_path}/in")
+    rows = spark.readStream.schema("table_id long, series_id long, field_id int, ts long, kind tinyint, u decimal(20,0), q smallint, f long, at timestamp").parquet(f"{tmp_path}/in")
+    q = windowed(rows, "1 minute", "10 seconds").writeStream.format("memory").queryName("windowed").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    got = spark.table("windowed").collect()
+    assert len(got) == 20 and {r["sample_count"] for r in got} == {30} and sum(int(r["sum"]) for r in got) == sum(range(600))
 
 
 def test_cli(spark, tmp_path):

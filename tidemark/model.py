@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-FACTS = "table_id long, series_id long, field_id int, ts long, version_no int, kind tinyint, u decimal(20,0), q smallint, f long, seq long"
+from .errors import InvalidArgument, ResourceExhausted
+
+FACTS = "table_id long, series_id long, field_id int, ts long, kind tinyint, u decimal(20,0), q smallint, f long"
+#: Facts as units store them: one number a fact, and integers from 2^63 on apart.
+STORED = "table_id long, series_id long, field_id int, ts long, kind tinyint, val long, big decimal(20,0)"
 KEYS = "ord int, table_id long, series_id long, field_id int"
 VERSIONS = "table_id long, version_no int, effective_from long, effective_to long, validity_s long"
 KEY = ["table_id", "series_id", "field_id"]
@@ -12,9 +16,10 @@ VALUE = ["kind", "u", "q", "f"]
 
 #: Limits on one request and on catalogue objects.
 MAX_SLOTS = 1_048_576
-MAX_STREAMS = 262_144
 MAX_LIVE_UNITS = 8_192
 SECTION_ROWS = 65_536
+TAIL_LIMIT = 64 << 20
+MAX_SEAL_MEMORY, MAX_DIRECTORY_CACHE = 256 << 20, 16 << 20
 
 
 @dataclass(frozen=True)
@@ -90,18 +95,32 @@ class MaintenanceReport:
 
 @dataclass
 class OpenReport:
+    """Log files are published whole, so there are never torn tails to repair, and opening seals nothing."""
+
     elapsed: float
     replayed_records: int
     removed_orphans: int
+    wal_bytes: int = 0
+    wal_storage_bytes: int = 0
+    tail_repairs: int = 0
+    repaired_bytes: int = 0
+    recovery_checkpointed_records: int = 0
+    recovery_unit_id: int | None = None
 
 
 @dataclass
 class MaintenanceStatus:
     sync_due: bool
     seal_due: bool
+    sync_due_in: float | None
+    seal_due_in: float | None
     unsynced_records: int
+    unsynced_bytes: int
     pending_records: int
     tail_bytes: int
+    wal_bytes: int
+    wal_storage_bytes: int
+    directory_cache_bytes: int
     visible_seq: int
     durable_seq: int
     level_units: list[int] = field(default_factory=lambda: [0, 0, 0])
@@ -114,16 +133,33 @@ class DurablePosition:
     generation: int
 
 
+@dataclass(frozen=True)
+class SharedStatus:
+    """Of a namespace's log: bytes kept and buffered, numbers of the last durable and visible record, writes and syncs done."""
+
+    storage_bytes: int
+    buffered_bytes: int
+    durable_lsn: int
+    visible_lsn: int
+    write_calls: int
+    sync_calls: int
+    members: int
+
+
 @dataclass
 class SyncPolicy:
+    """``manual``: only explicit syncs."""
+
     every_s: float = 1.0
-    records: int = 4096
+    bytes: int = 262_144
+    manual: bool = False
 
 
 @dataclass
 class SealPolicy:
     tail_bytes: int = 2_621_440
     every_s: float = 300.0
+    memory_bytes: int = 32 << 20
 
 
 @dataclass
@@ -137,5 +173,19 @@ class OpenOptions:
     sync: SyncPolicy = field(default_factory=SyncPolicy)
     seal: SealPolicy = field(default_factory=SealPolicy)
     compaction: CompactionPolicy = field(default_factory=CompactionPolicy)
+    directory_cache_bytes: int = 1 << 20
     ticks_per_second: int = 1
     takeover: bool = False
+
+    def validate(self) -> None:
+        if self.directory_cache_bytes > MAX_DIRECTORY_CACHE:
+            raise ResourceExhausted("directory cache bytes", self.directory_cache_bytes, MAX_DIRECTORY_CACHE)
+        if not self.sync.manual and (self.sync.every_s <= 0 or self.sync.bytes <= 0):
+            raise InvalidArgument("sync policy", "interval and bytes must be positive")
+        if self.seal.tail_bytes <= 0 or self.seal.every_s <= 0 or not 0 < self.seal.memory_bytes <= MAX_SEAL_MEMORY:
+            raise InvalidArgument("seal policy", "bytes, interval or memory out of range")
+        one, two = self.compaction.l1_window, self.compaction.l2_window
+        if any(not isinstance(w, int) or w >= 2**63 for w in (one, two)) or not 1 <= one <= two:
+            raise InvalidArgument("compaction policy", "windows are whole seconds, 1 <= l1 <= l2")
+        if self.ticks_per_second < 1:
+            raise InvalidArgument("ticks_per_second", "must be positive")

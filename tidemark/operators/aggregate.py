@@ -23,7 +23,7 @@ def aggregate(facts: DataFrame, keys: DataFrame, tables: DataFrame, start: int,
     check_step(width, "width")
     asked = keys.select(*KEY).distinct()
     bucket = F.expr(f"(ts - {start}L) div {width}L")
-    rows = facts.where((F.col("ts") >= start) & (F.col("ts") < end)).select(*KEY, bucket.alias("bucket"), "kind", "u", "q", "f").join(F.broadcast(asked), KEY)
+    rows = facts.where((F.col("ts") >= start) & (F.col("ts") < end)).select(*KEY, bucket.alias("bucket"), "kind", "u", "q", "f").join(asked, KEY)
     rows = rows.withColumn("_o", order_key(F.col("kind"))).withColumn(
         "_n", F.when(F.col("kind") == UINT, F.col("u").cast("decimal(38,0)")).when(F.col("kind") == SQ1, sq1_fp4(F.col("q")).cast("decimal(38,0)"))
     )
@@ -33,10 +33,10 @@ def aggregate(facts: DataFrame, keys: DataFrame, tables: DataFrame, start: int,
         F.count("*").alias("sample_count"), F.count_if(~live).alias("null_count"), *ends(F.min_by, "min"), *ends(F.max_by, "max"),
         F.sum("_n").alias("_sum"), F.max("kind").alias("kind"),
     )
-    out = out.join(F.broadcast(tables.select("table_id", "last_ts")), "table_id", "left")
+    out = out.join(tables.select("table_id", "last_ts"), "table_id", "left")
     kind = F.col("kind")
     if fields is not None:
-        out = out.join(F.broadcast(fields.select("table_id", "field_id", "value_type")), ["table_id", "field_id"], "left")
+        out = out.join(fields.select("table_id", "field_id", "value_type"), ["table_id", "field_id"], "left")
         kind = F.coalesce(F.col("value_type"), kind)
     natural = F.lit(start).cast("long") + (F.col("bucket") + 1) * width
     out = out.withColumn("start_ts", F.lit(start).cast("long") + F.col("bucket") * width).withColumn("end_ts", F.least(natural, F.lit(end).cast("long")))

@@ -12,10 +12,10 @@ from .visibility import visible
 def nearest(facts: DataFrame, asked: DataFrame) -> DataFrame:
     """``asked`` (distinct keys and t) with the newest fact of the key at or before t.
 
-    One partial aggregation before the only shuffle; the request is small by the
-    slot limit, so it is broadcast and the facts stay where they are.
+    One partial aggregation before the only shuffle.  Spark sees the request's size
+    and broadcasts it while it is small, so the facts stay where they are.
     """
-    hit = facts.select(*KEY, "ts", *VALUE).join(F.broadcast(asked), KEY).where("ts <= t")
+    hit = facts.select(*KEY, "ts", *VALUE).join(asked, KEY).where("ts <= t")
     best = hit.groupBy(*KEY, "t").agg(*[F.max_by(v, "ts").alias(v) for v in VALUE], F.max("ts").alias("at_ts"))
     return asked.join(best, [*KEY, "t"], "left")
 
@@ -28,7 +28,7 @@ def value_at(facts: DataFrame, keys: DataFrame, t: int, versions=None, retired_s
 def latest(facts: DataFrame, keys: DataFrame, tables: DataFrame, versions=None, retired_series=None, retired_fields=None, heads: DataFrame | None = None, ticks: int = 1) -> DataFrame:
     """``value_at`` at each table's last timestamp; tables without rows have nothing."""
     clock = tables.select("table_id", F.col("last_ts").alias("t"))
-    return _lookup(facts, keys.join(F.broadcast(clock), "table_id", "left"), versions, retired_series, retired_fields, heads, ticks)
+    return _lookup(facts, keys.join(clock, "table_id", "left"), versions, retired_series, retired_fields, heads, ticks)
 
 
 def _lookup(facts, keys, versions, retired_series, retired_fields, heads, ticks):

@@ -22,9 +22,9 @@ def sample(facts: DataFrame, keys: DataFrame, start: int, end: int, step: int, n
     check_step(step, "step")
     slots(start, end, step, n_keys)
     asked = keys.select(*KEY).distinct()
-    rows = facts.select(*KEY, "ts", *VALUE).join(F.broadcast(asked), KEY).where(F.col("ts") < end)
+    rows = facts.select(*KEY, "ts", *VALUE).join(asked, KEY).where(F.col("ts") < end)
     if heads is not None:
-        rows = rows.unionByName(heads.select(*KEY, "ts", *VALUE).join(F.broadcast(asked), KEY))
+        rows = rows.unionByName(heads.select(*KEY, "ts", *VALUE).join(asked, KEY))
     slot = F.greatest(F.lit(0).cast("long"), F.expr(f"(ts - {start}L + {step - 1}L) div {step}L"))  # the first slot at or after the fact
     slot = F.when(F.col("ts") <= start, F.lit(0).cast("long")).otherwise(slot)
     newest = rows.withColumn("slot", slot).groupBy(*KEY, "slot").agg(*[F.max_by(v, "ts").alias(v) for v in VALUE], F.max("ts").alias("at_ts"))

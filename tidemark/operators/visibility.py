@@ -12,8 +12,9 @@ def visible(found: DataFrame, versions: DataFrame | None = None, retired_series:
     """``found`` (table_id, series_id, field_id, t, at_ts, ...) with ``live``.
 
     Not live: nothing found; retired at or after the fact and before t; as old as the
-    validity of the version active at the fact.  The catalogue tables hold one row
-    a version, series or field.
+    validity of the version active at the fact.  A fact before every version of
+    its table is corruption, an error when the rows are read.  The catalogue tables
+    hold one row a version, series or field.
     """
     cutoffs = []
     if retired_series is not None:
@@ -31,6 +32,8 @@ def visible(found: DataFrame, versions: DataFrame | None = None, retired_series:
         inside = (F.col("table_id") == F.col("_vt")) & (F.col("at_ts") >= F.col("effective_from")) & (F.col("effective_to").isNull() | (F.col("at_ts") < F.col("effective_to")))
         found = found.join(v, inside, "left")
         age = F.col("t").cast(WIDE) - F.col("at_ts").cast(WIDE)
+        lost = F.col("at_ts").isNotNull() & F.col("_vt").isNull()
+        found = found.withColumn("at_ts", F.when(lost, F.raise_error(F.concat(F.lit("corruption: no version is active at "), F.col("at_ts").cast("string"))).cast("long")).otherwise(F.col("at_ts")))
         live = live & (F.col("validity_s").isNull() | (age < F.col("validity_s").cast(WIDE) * ticks))
         cutoffs += ["_vt", "effective_from", "effective_to", "validity_s"]
     return found.withColumn("live", F.coalesce(live, F.lit(False))).drop(*cutoffs)

@@ -30,7 +30,11 @@ def slots(start: int, end: int, step: int, n_keys: int) -> int:
     return n
 
 
-def prune(units: list[dict], low: int | None, high: int | None) -> list[dict]:
-    """Units whose [min_ts, max_ts] meets [low, high), oldest first."""
-    out = [u for u in units if (high is None or u["min_ts"] < high) and (low is None or u["max_ts"] >= low)]
-    return sorted(out, key=lambda u: u["min_ts"])
+def prune(units: list[dict], low: int | None, high: int | None, tables: set[int] | None = None) -> list[dict]:
+    """Units in which one of ``tables`` (None: any) has facts that may lie in [low, high), oldest first."""
+
+    def meets(a: int, b: int) -> bool:
+        return (high is None or a < high) and (low is None or b >= low)
+
+    spans = lambda u: [(u["min_ts"], u["max_ts"])] if tables is None else [u["tables"][str(t)] for t in tables if str(t) in u["tables"]]
+    return sorted((u for u in units if any(meets(*s) for s in spans(u))), key=lambda u: u["min_ts"])

@@ -1,57 +1,21 @@
-"""Lifecycle plans as DataFrame queries: ingest checks, zone maps, retention, compaction, export chunks."""
+"""Lifecycle plans as DataFrame queries: ingest checks and retention."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import KEY, VALUE
 from ..operators.visibility import visible
 
 
-def clock_violations(rows: DataFrame, order: str, cells: int = 1024) -> DataFrame:
-    """Rows (table_id, order, ts) that are not after all earlier rows of their table, with ``last_ts``.
-
-    A running maximum in two steps, so that no task holds a table: inside cells
-    of equal ranges of the order, and over the cells' maxima (at most ``cells``).
-    """
-    low, high = rows.agg(F.min(order), F.max(order)).first()
-    if low is None:
-        return rows.withColumn("last_ts", F.col("ts"))
-    width = (high - low) // cells + 1
-    rows = rows.withColumn("_cell", F.expr(f"({order} - {low}L) div {width}L"))
-    tops = rows.groupBy("table_id", "_cell").agg(F.max("ts").alias("_top"))
-    before = W.partitionBy("table_id").orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
-    tops = tops.select("table_id", "_cell", F.max("_top").over(before).alias("_before"))
-    inside = W.partitionBy("table_id", "_cell").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("_in", F.max("ts").over(inside)).join(F.broadcast(tops), ["table_id", "_cell"])
-    return rows.withColumn("last_ts", F.greatest("_in", "_before")).where("ts <= last_ts").drop("_cell", "_in", "_before")
-
-
 def schema_violations(facts: DataFrame, fields: DataFrame) -> DataFrame:
     """Facts whose field is unknown, or whose value is not of the field's type; explicit nulls fit every type."""
-    known = F.broadcast(fields.select("table_id", "field_id", "value_type"))
+    known = fields.select("table_id", "field_id", "value_type")  # a local table, so its size is known
     reason = F.when(F.col("value_type").isNull(), "unknown field").when((F.col("kind") != 0) & (F.col("kind") != F.col("value_type")), "type mismatch")
     return facts.join(known, ["table_id", "field_id"], "left").withColumn("reason", reason).where("reason is not null").drop("value_type")
 
 
-def zone_map(parts: DataFrame) -> DataFrame:
-    """(unit_id, min_ts, max_ts, facts) of every unit."""
-    return parts.groupBy("unit_id").agg(F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"), F.count("*").alias("facts"))
-
-
-def expired_units(units: DataFrame, cutoff: int) -> DataFrame:
-    """The prefix of whole units that end before the cutoff; one row a unit, so one window is small."""
-    first_kept = units.where(F.col("max_ts") >= cutoff).agg(F.min("min_ts").alias("_kept"))
-    return units.join(F.broadcast(first_kept)).where(F.col("_kept").isNull() | (F.col("min_ts") < F.col("_kept"))).drop("_kept")
-
-
-def retention_floor(units: DataFrame, cutoff: int) -> int | None:
-    top = expired_units(units, cutoff).agg(F.max("max_ts")).first()[0]
-    return None if top is None else top + 1
-
-
 def retention_heads(expired: DataFrame, floor: int | None, versions=None, retired_series=None, retired_fields=None, prior: DataFrame | None = None, ticks: int = 1) -> DataFrame:
     """The last fact of each stream among ``expired`` facts and ``prior`` heads, if it is visible at the floor."""
     rows = expired.select(*KEY, "ts", *VALUE)
@@ -60,36 +24,3 @@ def retention_heads(expired: DataFrame, floor: int | None, versions=None, retire
     best = rows.groupBy(*KEY).agg(*[F.max_by(v, "ts").alias(v) for v in VALUE], F.max("ts").alias("at_ts"))
     best = visible(best.withColumn("t", F.lit(floor).cast("long")), versions, retired_series, retired_fields, ticks)
     return best.where("live").select(*KEY, F.col("at_ts").alias("ts"), *VALUE)
-
-
-def compacted(parts: DataFrame, width: int) -> DataFrame:
-    """Facts in the order of a compacted unit: dealt by table and window, sorted by stream and time."""
-    window = F.col("ts") - F.pmod("ts", F.lit(width))
-    return parts.repartition("table_id", window).sortWithinPartitions(*KEY, "ts")
-
-
-def closed_windows(units: DataFrame, width: int) -> DataFrame:
-    """Units that lie in one aligned window which the newest timestamp has passed."""
-    start = lambda c: F.col(c) - F.pmod(c, F.lit(width))
-    high = units.agg(F.max("max_ts").alias("_high"))
-    return units.join(F.broadcast(high)).withColumn("window_start", start("min_ts")).where(
-        (F.col("window_start") == start("max_ts")) & (F.col("_high") >= F.col("window_start") + width)
-    ).drop("_high")
-
-
-def export_chunk(records: DataFrame, after: int, budget: int, cells: int = 4096) -> DataFrame:
-    """Records (seq, bytes) after a cursor, in order, as long as their running sum ``upto`` stays within ``budget``; always the first.
-
-    The running sum is made inside cells of the sequence and over the cells'
-    sums (``cells`` rows at most), so no task holds the log.
-    """
-    records = records.where(F.col("seq") > after)
-    low, high = records.agg(F.min("seq"), F.max("seq")).first()
-    if low is None:
-        return records.withColumn("upto", F.col("bytes"))
-    width = (high - low) // cells + 1
-    records = records.withColumn("_cell", F.expr(f"(seq - {low}L) div {width}L"))
-    sums = records.groupBy("_cell").agg(F.sum("bytes").alias("_b")).withColumn("_base", F.sum("_b").over(W.orderBy("_cell")) - F.col("_b")).drop("_b")
-    first = records.join(F.broadcast(sums.where(F.col("_base") <= budget)), "_cell")
-    upto = F.sum("bytes").over(W.partitionBy("_cell").orderBy("seq")) + F.col("_base")
-    return first.withColumn("upto", upto.cast("long")).where((F.col("upto") <= budget) | (F.col("seq") == low)).drop("_cell", "_base")

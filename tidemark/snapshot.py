@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import InvalidArgument
+from .errors import Corruption, InvalidArgument
 from .model import FACTS, KEY, KEYS, VALUE, VERSIONS, Field, TableVersion
 from .operators import aggregate, lookup, sample, scan
 from .plans.guards import check_floor, check_range, check_step, prune, slots
+from .sources import units as unit_files
 
 Key = tuple[int, int, int]
 
@@ -22,23 +23,45 @@ class Snapshot:
     def __init__(self, spark: SparkSession, root: str, state: dict, tail: list[tuple], ticks: int):
         self.spark, self.root, self.state, self.tail, self.ticks = spark, root, state, list(tail), ticks
         self.unit_paths = {u["path"] for u in state["units"]} | ({state["heads"]} if state["heads"] else set())
+        self._check_order()
+
+    def _check_order(self) -> None:
+        """Units and tail of a table follow each other in time; one row a unit and table."""
+        spans = [(table, low, high, u["path"]) for u in self.state["units"] for table, (low, high) in u["tables"].items()]
+        first: dict[str, int] = {}
+        for row in self.tail:
+            first[str(row[0])] = min(row[3], first.get(str(row[0]), row[3]))
+        spans += [(table, low, low, "the tail") for table, low in first.items()]
+        spans.sort(key=lambda x: (x[0], x[1]))
+        for a, b in zip(spans, spans[1:]):
+            if a[0] == b[0] and b[1] <= a[2]:
+                raise Corruption(b[3], f"table {a[0]} has facts there and in {a[3]} at {b[1]}")
 
     # --- frames ---
 
-    def facts(self, low: int | None = None, high: int | None = None) -> DataFrame:
-        """Sealed and pending facts of live tables; units outside [low, high) are not opened."""
-        units = prune(self.state["units"], low, high)
+    def facts(self, low: int | None = None, high: int | None = None, tables: set[int] | None = None) -> DataFrame:
+        """Sealed and pending facts of live tables; units outside [low, high), or without one of ``tables``, are not opened."""
+        return self._union(prune(self.state["units"], low, high, tables), [])
+
+    def facts_upto(self, t: int | None, high: int | None = None, tables: set[int] | None = None) -> DataFrame:
+        """What lookups at t or later need: of units that end at t or before only each stream's last fact, the rest up to ``high`` whole."""
+        some = prune(self.state["units"], None, high if high is not None else (None if t is None else t + 1), tables)
+        ended = [u for u in some if t is None or u["max_ts"] <= t]
+        return self._union([u for u in some if u not in ended], ended)
+
+    def _union(self, whole: list[dict], ended: list[dict]) -> DataFrame:
         live = [int(t) for t in self.state["tables"]]
-        pending = self.spark.createDataFrame(self.tail, FACTS)
-        if units:
-            sealed = self.spark.read.schema(FACTS).parquet(*[f"{self.root}/{u['path']}" for u in units])
-            pending = sealed.unionByName(pending) if self.tail else sealed
-        return pending.where(F.col("table_id").isin(live))
+        paths = [f"{self.root}/{u['path']}/facts" for u in whole] + [f"{self.root}/{u['path']}/last" for u in ended]
+        rows = unit_files.read(self.spark, paths)
+        if self.tail:
+            pending = self.spark.createDataFrame(self.tail, FACTS)
+            rows = rows.unionByName(pending) if paths else pending
+        return rows.where(F.col("table_id").isin(live))
 
     def heads(self) -> DataFrame | None:
         if not self.state["heads"]:
             return None
-        return self.spark.read.schema(FACTS).parquet(f"{self.root}/{self.state['heads']}").where(F.col("table_id").isin([int(t) for t in self.state["tables"]]))
+        return unit_files.read(self.spark, [f"{self.root}/{self.state['heads']}/facts"]).where(F.col("table_id").isin([int(t) for t in self.state["tables"]]))
 
     def versions_frame(self) -> DataFrame:
         rows = []
@@ -80,22 +103,22 @@ class Snapshot:
     def scan(self, key: Key, start: int, end: int) -> DataFrame:
         self._keys([key])
         check_range(start, end, self.state["floor"])
-        return scan.scan(self.facts(start, end), key[0], signed(key[1]), key[2], start, end).select("ts", *VALUE)
+        return scan.scan(self.facts(start, end, {key[0]}), key[0], signed(key[1]), key[2], start, end).select("ts", *VALUE)
 
     def value_at(self, keys: list[Key], t: int) -> DataFrame:
         check_floor(t, self.state["floor"])
         series, fields = self._retired()
-        return lookup.value_at(self.facts(None, t + 1), self._keys(keys), t, self.versions_frame(), series, fields, self.heads(), self.ticks).orderBy("ord")
+        return lookup.value_at(self.facts_upto(t, None, {k[0] for k in keys}), self._keys(keys), t, self.versions_frame(), series, fields, self.heads(), self.ticks).orderBy("ord")
 
     def latest(self, keys: list[Key]) -> DataFrame:
         series, fields = self._retired()
-        return lookup.latest(self.facts(), self._keys(keys), self.tables_frame(), self.versions_frame(), series, fields, self.heads(), self.ticks).orderBy("ord")
+        return lookup.latest(self.facts_upto(None, None, {k[0] for k in keys}), self._keys(keys), self.tables_frame(), self.versions_frame(), series, fields, self.heads(), self.ticks).orderBy("ord")
 
     def aggregate(self, keys: list[Key], start: int, end: int, width: int) -> DataFrame:
         check_range(start, end, self.state["floor"])
         check_step(width, "width")
         slots(start, end, width, len(keys))
-        out = aggregate.aggregate(self.facts(start, end), self._keys(keys), self.tables_frame(), start, end, width, fields=self.fields_frame())
+        out = aggregate.aggregate(self.facts(start, end, {k[0] for k in keys}), self._keys(keys), self.tables_frame(), start, end, width, fields=self.fields_frame())
         return out.orderBy("ord", "start_ts")
 
     def sample(self, keys: list[Key], start: int, end: int, step: int) -> DataFrame:
@@ -103,7 +126,7 @@ class Snapshot:
         check_step(step, "step")
         slots(start, end, step, len(keys))
         series, fields = self._retired()
-        out = sample.sample(self.facts(None, end), self._keys(keys), start, end, step, len(keys), self.versions_frame(), series, fields, self.heads(), self.ticks)
+        out = sample.sample(self.facts_upto(start, end, {k[0] for k in keys}), self._keys(keys), start, end, step, len(keys), self.versions_frame(), series, fields, self.heads(), self.ticks)
         return out.orderBy("ord", "slot_ts")
 
     def table_last_timestamp(self, table: int) -> int | None:

@@ -13,6 +13,8 @@ class Files:
         self.conf = spark.sparkContext._jsc.hadoopConfiguration()
         self.root = root.rstrip("/")
         self.fs = self.path("").getFileSystem(self.conf)
+        self.gateway = spark.sparkContext._gateway
+        self.context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.makeQualified(self.path("")).toUri(), self.conf)
 
     def path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
@@ -58,17 +60,21 @@ class Files:
         return True
 
     def publish(self, name: str, data: bytes) -> None:
-        """Writes beside and renames: readers see no file, the old one or the new one, never a part."""
+        """Writes beside and renames over: readers and crashes see the old file or the new one, never none and never a part."""
         aside = f"{name}.new"
         self.delete(aside)
         self.create(aside, data)
-        if self.exists(name):
-            self.delete(name)
-        self.rename(aside, name)
+        self.rename(aside, name, True)
 
-    def rename(self, source: str, target: str) -> None:
-        if not self.fs.rename(self.path(source), self.path(target)):
-            raise Io(f"cannot rename {source} to {target}")
+    def rename(self, source: str, target: str, over: bool = False) -> None:
+        """Renames; what exists under the target's name is replaced with ``over``, and an error without."""
+        rename = self.jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE if over else rename.NONE
+        try:
+            self.context.rename(self.path(source), self.path(target), how)
+        except Exception as e:
+            raise Io(f"cannot rename {source} to {target}: {e}") from e
 
     def delete(self, name: str) -> None:
         self.fs.delete(self.path(name), True)

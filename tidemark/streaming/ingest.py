@@ -9,24 +9,28 @@ from ..db import Db
 from ..model import KEY
 
 
-def stream_into(facts: DataFrame, db: Db, checkpoint: str, late: str = "reject", **trigger):
-    """Starts a query that appends a stream of facts.
-
-    A batch that was committed before a restart is recognised by its times and
-    skipped.  ``late`` rows (not after the table's clock) stop the query, or with
-    "drop" are left out, as a watermark would.
+def stream_into(facts: DataFrame, db: Db, checkpoint: str, late: str = "reject", name: str | None = None, **trigger):
+    """Starts a query that appends a stream of facts, each batch once.
+
+    The database keeps the number of the last batch of ``name`` (the checkpoint's
+    path unless given) with the batch's facts, in one commit, so a batch that is sent
+    again after a failure is not taken again.  Rows that are equal in all
+    columns count once; two different facts of a stream at one time stop the
+    query.  ``late`` rows (not after the table's clock) stop it too, or with "drop"
+    are left out, as a watermark would.
     """
+    source = name or checkpoint
 
-    def batch(rows: DataFrame, _: int) -> None:
-        rows = rows.select(*KEY, "ts", "kind", "u", "q", "f").dropDuplicates([*KEY, "ts"]).persist()
-        try:
+    def batch(rows: DataFrame, number: int) -> None:
+        if db.state["sources"].get(source, -1) >= number:
+            return
+        rows = rows.select(*KEY, "ts", "kind", "u", "q", "f").distinct()
+        if late == "drop":
             clock = db.snapshot().tables_frame()
-            if late == "drop":
-                rows_ = rows.join(F.broadcast(clock), "table_id").where("last_ts is null or ts > last_ts").drop("last_ts")
-            else:
-                rows_ = rows
-            if not rows_.isEmpty():
-                db.append_frame(rows_)
+            rows = rows.join(clock, "table_id").where("last_ts is null or ts > last_ts").drop("last_ts")
+        rows = rows.persist()
+        try:
+            db.append_frame(rows, (source, number))
         finally:
             rows.unpersist()
 
