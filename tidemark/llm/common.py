@@ -80,8 +80,10 @@ class Work:
         except Exception:  # the session may be gone at exit
             pass
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
+        """Writes ``df`` and reads it again; ``tasks`` is for tables known to be small, which would be written in many tiny files."""
         path = f"{self.root}/{name}"
+        df = df if tasks is None else df.coalesce(tasks)
         self._write(lambda: df.write.option("compression", "zstd").parquet(path))
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -109,6 +111,11 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tasks(rows: int, each: int = 20_000) -> int:
+    """Tasks for a table of a known number of rows: more with more rows, without bound."""
+    return max(8, rows // each)
+
+
 def small(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
     """Marks a table of a known number of rows for broadcast, unless there are too many."""
     return F.broadcast(df) if rows <= most else df
@@ -118,15 +125,17 @@ def hot_join(rows: DataFrame, table: DataFrame, on: list[str], count: str, how:
     """``rows`` joined with ``table``, which has one row a key and in ``count`` how many of ``rows`` have it.
 
     Keys of more than a small part of all rows are broadcast, the others are
-    shuffled, so no key fills a task.  At most 4 rows a partition are broadcast,
-    whatever the input.  Both sides are read twice; give written tables.  ``how`` is inner or left.
+    shuffled, so no key fills a task.  At most 2 rows a partition are broadcast,
+    whatever the input.  Both sides may be read twice; give written tables.  ``how`` is inner or left.
     """
-    n = parts(rows.sparkSession)
-    limit = max(1, (table.agg(F.sum(count)).first()[0] or 0) // (4 * n))
+    total, most = table.agg(F.sum(count), F.max(count)).first()
+    limit = max(64, (total or 0) // (2 * parts(rows.sparkSession)))
+    if (most or 0) <= limit:
+        return rows.join(table.drop(count), on, how)
     hot = F.broadcast(table.where(F.col(count) > limit).drop(count))
     cold = table.where(F.col(count) <= limit).drop(count)
     near = rows.join(hot, on)
-    return near.unionByName(rows.join(F.broadcast(table.where(F.col(count) > limit).select(*on)), on, "left_anti").join(cold, on, how))
+    return near.unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold, on, how))
 
 
 def semi_reduce(df: DataFrame, column: str, ids: DataFrame, bits: int = 1 << 22) -> DataFrame:

@@ -24,7 +24,7 @@ from .common import UnionFind, Work, binary_column, hot_join, small
 from .components import components
 
 #: Rows of a bucket compared in one block; larger buckets become pairs of blocks.
-BLOCK = 1024
+BLOCK = 512
 #: Width of the confidence bounds in standard deviations.
 SIGMAS = 4.5
 #: Four bits a component: steps from the middle to the largest component.

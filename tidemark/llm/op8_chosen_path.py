@@ -2,8 +2,8 @@
 
 A document is the set of its five-word shingles, embedded as ``SLOTS`` min-hash
 tokens.  In each run a set goes down the buckets named by tokens that a random
-function of the path so far chooses, so similar sets meet.  Buckets are split
-again until they are small, and small ones are compared by brute force on their
+function of the path so far chooses, never the same slot twice, so similar sets
+meet.  Buckets are split again until they are small, and small ones are compared by brute force on their
 tokens.  In a larger bucket, sets that are alike to much of it would go on
 together for ever: they are compared with the whole bucket and leave it, the
 others are split.  So there is no deepest level.  A set chooses ``FAN`` tokens of those it
@@ -18,6 +18,7 @@ similar, so groups that hang together by chains cost what their pairs cost.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -25,20 +26,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UnionFind, Work, binary_column, flat, hot_join, semi_reduce, slices
+from .common import UnionFind, Work, binary_column, flat, hot_join, semi_reduce, slices, tasks
 from .components import components
 from .op5_rabitq import grouped
 from .words import mix, shingles
 
 SLOTS = 64
 #: A bucket of at most so many sets is compared by brute force at once.
-SMALL = 64
+SMALL = 256
 #: Tokens of those shared with a set at the threshold that a set goes on by, on average.
 FAN = 1.8
-#: A set that agrees with a bucket in this part of its slots on average is compared with all of it; the buckets of others halve.
-DENSE = 0.5
+#: Levels for which the recall is computed; by then buckets of 10^10 sets are small, each less than DENSE of the one before.
+LEVELS = 20
+#: A set that agrees with a bucket in this part of its slots on average is compared with all of it; the buckets of others shrink to less than that.
+DENSE = 0.35
 #: Sets of a block in a brute-force comparison.
 BLOCK = 1024
+#: Sets of a large bucket among which one is judged dense or not.
+LOOK = 256
 #: Part of the pairs that may be lost whose sketches may look too different.
 LOST_BY_SKETCH = 0.1
 
@@ -67,14 +72,14 @@ def chance(threshold: float) -> float:
 def missed(runs: int, recall: float, threshold: float) -> float:
     """Share of the pairs at the threshold that are not found in ``runs`` runs.
 
-    However deep the buckets must be split, a pair goes on together by each slot in
-    which its sketches agree; ``once`` is the limit for infinite depth.
+    A pair goes on together by each slot in which its sketches agree and which its
+    path has not used; buckets may be too large to compare at all ``LEVELS``.
     """
     step, least, out = chance(threshold), least_slots(recall, threshold), 0.0
     for m, share in enumerate(agreeing(threshold)):
         once = 1.0
-        for _ in range(1000):
-            once = 1 - (1 - step * once) ** m
+        for level in reversed(range(LEVELS)):
+            once = 1 - (1 - step * once) ** max(0, m - level)
         out += share * ((1 - once) ** runs if m >= least else 1.0)
     return out
 
@@ -99,12 +104,14 @@ def sketch(docs: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def choose(tokens: np.ndarray, path: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, longer path) for every chosen token of every row."""
-    slot = np.arange(SLOTS, dtype=np.uint64) << np.uint64(32)
-    h = mix(mix(path.astype(np.uint64))[:, None] + (tokens.astype(np.uint64) | slot))
-    row, col = np.nonzero(mix(h + np.uint64(1)) <= np.uint64(min((1 << 64) - 1, int(2.0**64 * chance(threshold)))))
-    return row, h[row, col].view(np.int64)
+def choose(tokens: np.ndarray, path: np.ndarray, used: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, longer path, slots used by it) for every chosen token of every row."""
+    slot = np.arange(SLOTS, dtype=np.uint64)
+    h = mix(mix(path.astype(np.uint64))[:, None] + (tokens.astype(np.uint64) | slot << np.uint64(32)))
+    bit = np.uint64(1) << slot
+    fresh = (used.view(np.uint64)[:, None] & bit) == 0
+    row, col = np.nonzero(fresh & (mix(h + np.uint64(1)) <= np.uint64(min((1 << 64) - 1, int(2.0**64 * chance(threshold))))))
+    return row, h[row, col].view(np.int64), (used.view(np.uint64)[row] | bit[col]).view(np.int64)
 
 
 def sets_of(docs: DataFrame, id_col: str, text_col: str, width: int, with_sketch: bool) -> DataFrame:
@@ -141,16 +148,15 @@ def row_key(id_col: str = "doc_id", text_col: str = "text"):
     return F.xxhash64(F.col(id_col).cast("long"), F.lit(9), F.col(text_col))
 
 
-def _blocks(rows: DataFrame, key: str, sizes: DataFrame, payload: DataFrame) -> DataFrame:
-    """Deals each key's rows (rep) to pairs of blocks (i, j), then brings the payload (rep, ...) there.
+def _blocks(rows: DataFrame, payload: DataFrame) -> DataFrame:
+    """Deals the rows (rep, path, dense, m) of buckets of m sets to pairs of blocks (i, j), then brings the payload (rep, ...) there.
 
-    ``sizes`` (key, blocks, m) names every key wanted, with its number of rows.  Blocks are chosen on
-    narrow rows, so the payload is shuffled twice at most.
+    Blocks are chosen on narrow rows, so the payload is shuffled twice at most.
     """
-    rows = hot_join(rows, sizes, [key], "m").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("i", F.least("side", "other").cast("int")).withColumn("j", F.greatest("side", "other").cast("int")).drop("other", "blocks")
-    return rows.join(payload, "rep").repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+    rows = rows.select("path", F.least("side", "other").cast("int").alias("i"), F.greatest("side", "other").cast("int").alias("j"), "side", "dense", "rep")
+    return rows.join(payload, "rep").select("path", "i", "j", "side", "dense", "rep", *[c for c in payload.columns if c != "rep"]).repartition("path", "i", "j").sortWithinPartitions("path", "i", "j")
 
 
 def _sketches(column) -> np.ndarray:
@@ -208,25 +214,26 @@ def _met_rows(batches, low: float):
 
 
 def _split_rows(batches, threshold: float):
-    """Of each block (path, side, rep, data) of a large bucket: (rep, path, dense, null), and (rep, path, false, longer path) for sets that go on."""
+    """Of each block (path, side, rep, data, m, used) of a large bucket: (rep, path, dense, null, m, 0), and (rep, path, false, longer path, m, used) for sets that go on."""
     for g in grouped(batches, 2):
-        tokens, m = _sketches(g.column(3)), g.num_rows
+        tokens, m, whole = _sketches(g.column(3)), g.num_rows, g.column(4)[0].as_py()
         agree = np.zeros(m)
         for c in range(SLOTS):  # blocks are dealt by hash, so a block shows what the bucket is like
             _, which, count = np.unique(tokens[:, c], return_inverse=True, return_counts=True)
             agree += count[which]
         dense = agree / (SLOTS * m) >= DENSE
         path, rep = g.column(0).to_numpy(), g.column(2).to_numpy()
-        row, child = choose(tokens[~dense], path[~dense], threshold)
+        row, child, used = choose(tokens[~dense], path[~dense], g.column(5).to_numpy()[~dense], threshold)
         row = np.flatnonzero(~dense)[row]
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate([rep, rep[row]])), pa.array(np.concatenate([path, path[row]])), pa.array(np.concatenate([dense, np.zeros(len(row), bool)])),
-             pa.array(np.concatenate([np.zeros(m, np.int64), child]), mask=np.arange(m + len(row)) < m)], names=["rep", "path", "dense", "child"],
+             pa.array(np.concatenate([np.zeros(m, np.int64), child]), mask=np.arange(m + len(row)) < m), pa.array(np.full(m + len(row), whole)), pa.array(np.concatenate([np.zeros(m, np.int64), used]))],
+            names=["rep", "path", "dense", "child", "m", "used"],
         )
 
 
-def candidate_edges(sets: DataFrame, threshold: float, recall: float, work: Work) -> tuple[DataFrame, list]:
-    """(src, dst) edges between sets (rep, data) that met and look similar, and the buckets (rows, sizes) in which sets were compared."""
+def candidate_edges(sets: DataFrame, threshold: float, recall: float, work: Work) -> tuple[DataFrame, DataFrame]:
+    """(src, dst) edges between sets (rep, data) that met and look similar, and the rows (rep, path, dense, m) of the buckets where sets were compared."""
     low = least_slots(recall, threshold) / SLOTS
     runs = runs_needed(recall, threshold)
 
@@ -235,50 +242,47 @@ def candidate_edges(sets: DataFrame, threshold: float, recall: float, work: Work
             if b.num_rows:
                 ids, tokens = b.column(0).to_numpy(), _sketches(b.column(1))
                 for r in range(runs):
-                    row, path = choose(tokens, np.full(len(ids), r + 1), threshold)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(path)], names=["rep", "path"])
+                    row, path, used = choose(tokens, np.full(len(ids), r + 1), np.zeros(len(ids), np.int64), threshold)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(path), pa.array(used)], names=["rep", "path", "used"])
 
-    sketches, edges, compared, level = sets.select("rep", "data"), None, [], 0
-    rows = work.save(sketches.mapInArrow(start, "rep long, path long"), "paths-0")
+    sketches, edges, compared, level = sets.select("rep", "data"), [], [], 0
+    rows = sketches.mapInArrow(start, "rep long, path long, used long")
     while True:
-        sizes = work.save(rows.groupBy("path").agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")), f"sizes-{level}")
-        compared.append((rows.withColumn("dense", F.lit(True)), sizes.where(F.col("m") <= SMALL).withColumn("blocks", F.lit(1))))
-        large = sizes.where(F.col("m") > SMALL)
-        more = not large.isEmpty()
+        rows = work.save(rows, f"paths-{level}")
+        sizes = work.save(rows.groupBy("path").agg(F.count("*").alias("m")).where("m > 1").withColumn("n", F.col("m")), f"sizes-{level}")
+        largest, total = sizes.agg(F.max("m"), F.sum("m")).first()
+        more, total = (largest or 0) > SMALL, total or 0
+        placed = work.save(hot_join(rows, sizes, ["path"], "n"), f"placed-{level}", tasks(total))
+        few = placed.where(F.col("m") <= SMALL).select("rep", "path", F.lit(True).alias("dense"), "m")
         if more:
-            dealt = hot_join(rows, large, ["path"], "m").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).select("path", "side", "rep")
-            dealt = dealt.join(sketches, "rep").select("path", "side", "rep", "data").repartition("path", "side").sortWithinPartitions("path", "side")
-            split = work.save(dealt.mapInArrow(lambda it: _split_rows(it, threshold), "rep long, path long, dense boolean, child long"), f"split-{level}")
-            dense = split.where("dense").select("path").distinct()
-            compared.append((split.where("child is null").select("rep", "path", "dense"), work.save(large.join(dense, "path"), f"dense-{level}")))
-        for rows_, sizes_ in compared[-2:] if more else compared[-1:]:
-            dealt = _blocks(rows_, "path", sizes_, sketches).select("path", "i", "j", "side", "dense", "rep", "data")
-            found = work.save(dealt.mapInArrow(lambda it: _forest_rows(it, low), "src long, dst long").distinct(), f"edges-{level}-{len(compared)}-{sizes_ is compared[-1][1]}")
-            edges = found if edges is None else edges.unionByName(found)
+            many = placed.where(F.col("m") > SMALL).withColumn("side", F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / LOOK)).cast("int"))
+            many = many.join(sketches, "rep").select("path", "side", "rep", "data", "m", "used").repartition("path", "side").sortWithinPartitions("path", "side")
+            split = work.save(many.mapInArrow(lambda it: _split_rows(it, threshold), "rep long, path long, dense boolean, child long, m long, used long"), f"split-{level}", tasks(total, 1000))
+            own = split.where("child is null").select("rep", "path", "dense", "m")
+            few = few.unionByName(own.join(split.where("dense").select("path").distinct(), "path", "left_semi"))
+        compared.append(few)
+        edges.append(work.save(_blocks(few, sketches).mapInArrow(lambda it: _forest_rows(it, low), "src long, dst long"), f"edges-{level}", tasks(total, 1000)))
         if not more:
-            return edges.distinct(), compared
-        rows, level = split.where("child is not null").select("rep", F.col("child").alias("path")), level + 1
+            return functools.reduce(DataFrame.unionByName, edges), functools.reduce(DataFrame.unionByName, compared)
+        rows = split.where("child is not null").select("rep", F.col("child").alias("path"), "used")
+        sketches = work.save(sketches.join(rows.select("rep").distinct(), "rep", "left_semi"), f"alive-{level}", tasks(total))
+        level += 1
 
 
-def group_blocks(group: DataFrame, sets: DataFrame, compared: list, threshold: float, recall: float, work: Work) -> DataFrame:
+def group_blocks(group: DataFrame, sets: DataFrame, compared: DataFrame, threshold: float, recall: float, work: Work) -> DataFrame:
     """(rep, grp, side, i, j): the block pairs in which a group's sets are compared exactly."""
     low = least_slots(recall, threshold) / SLOTS
-    sizes = group.groupBy("grp").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    sizes = work.save(sizes, "group-sizes")
-    placed = hot_join(group, sizes, ["grp"], "m").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    placed = work.save(placed.select("rep", "grp", "side", (F.col("blocks") > 1).alias("wide")), "placed")
-    zero = F.lit(0)
-    out = placed.where("not wide").select("rep", "grp", "side", zero.alias("i"), zero.alias("j"))
-    wide = placed.where("wide").select("rep", "grp", F.col("side").alias("home"))
-    if wide.isEmpty():
-        return out
-    met = None
-    payload = sets.select("rep", "data").join(wide, "rep")
-    for k, (rows, sizes_) in enumerate(compared):
-        dealt = _blocks(rows.join(wide.select("rep"), "rep", "left_semi"), "path", sizes_, payload).select("path", "i", "j", "side", "dense", "rep", "data", "grp", "home")
-        found = work.save(dealt.mapInArrow(lambda it: _met_rows(it, low), "rep long, other int").distinct(), f"met-{k}")
-        met = found if met is None else met.unionByName(found)
-    far = met.distinct().join(wide, "rep").select("rep", "grp", F.col("home").alias("side"), F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"))
+    sizes = work.save(group.groupBy("grp").agg(F.count("*").alias("m")).withColumn("n", F.col("m")), "group-sizes")
+    zero, wide = F.lit(0), (sizes.agg(F.max("m")).first()[0] or 0) > BLOCK
+    if not wide:
+        return group.select("rep", "grp", zero.alias("side"), zero.alias("i"), zero.alias("j"))
+    placed = hot_join(group, sizes, ["grp"], "n").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    placed = work.save(placed.select("rep", "grp", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("home")), "placed-groups")
+    out = placed.where("blocks = 1").select("rep", "grp", zero.alias("side"), zero.alias("i"), zero.alias("j"))
+    wide = placed.where("blocks > 1").select("rep", "grp", "home")
+    dealt = _blocks(compared.join(wide.select("rep"), "rep", "left_semi"), sets.select("rep", "data").join(wide, "rep"))
+    met = work.save(dealt.mapInArrow(lambda it: _met_rows(it, low), "rep long, other int").distinct(), "met")
+    far = met.join(wide, "rep").select("rep", "grp", F.col("home").alias("side"), F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"))
     return out.unionByName(far.distinct())
 
 
