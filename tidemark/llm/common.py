@@ -40,10 +40,12 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset and all runs on one machine (tests)."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         path = "file:///tmp/checkpoints"
         sc.setCheckpointDir(path)
     return path.rstrip("/")

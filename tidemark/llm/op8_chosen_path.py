@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UnionFind, Work, binary_column, flat, hot_join, semi_reduce, slices, tasks
+from .common import UnionFind, Work, binary_column, flat, semi_reduce, slices, tasks
 from .components import components
 from .op5_rabitq import grouped
 from .words import mix, shingles
@@ -249,10 +249,10 @@ def candidate_edges(sets: DataFrame, threshold: float, recall: float, work: Work
     rows = sketches.mapInArrow(start, "rep long, path long, used long")
     while True:
         rows = work.save(rows, f"paths-{level}")
-        sizes = work.save(rows.groupBy("path").agg(F.count("*").alias("m")).where("m > 1").withColumn("n", F.col("m")), f"sizes-{level}")
+        sizes = work.save(rows.groupBy("path").agg(F.count("*").alias("m")).where("m > 1"), f"sizes-{level}")
         largest, total = sizes.agg(F.max("m"), F.sum("m")).first()
         more, total = (largest or 0) > SMALL, total or 0
-        placed = work.save(hot_join(rows, sizes, ["path"], "n"), f"placed-{level}", tasks(total))
+        placed = work.save(rows.join(sizes, "path"), f"placed-{level}", tasks(total))  # written tables: hot paths are split at run time
         few = placed.where(F.col("m") <= SMALL).select("rep", "path", F.lit(True).alias("dense"), "m")
         if more:
             many = placed.where(F.col("m") > SMALL).withColumn("side", F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / LOOK)).cast("int"))
@@ -272,11 +272,11 @@ def candidate_edges(sets: DataFrame, threshold: float, recall: float, work: Work
 def group_blocks(group: DataFrame, sets: DataFrame, compared: DataFrame, threshold: float, recall: float, work: Work) -> DataFrame:
     """(rep, grp, side, i, j): the block pairs in which a group's sets are compared exactly."""
     low = least_slots(recall, threshold) / SLOTS
-    sizes = work.save(group.groupBy("grp").agg(F.count("*").alias("m")).withColumn("n", F.col("m")), "group-sizes")
+    sizes = work.save(group.groupBy("grp").agg(F.count("*").alias("m")), "group-sizes")
     zero, wide = F.lit(0), (sizes.agg(F.max("m")).first()[0] or 0) > BLOCK
     if not wide:
         return group.select("rep", "grp", zero.alias("side"), zero.alias("i"), zero.alias("j"))
-    placed = hot_join(group, sizes, ["grp"], "n").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    placed = group.join(sizes, "grp").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     placed = work.save(placed.select("rep", "grp", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("home")), "placed-groups")
     out = placed.where("blocks = 1").select("rep", "grp", zero.alias("side"), zero.alias("i"), zero.alias("j"))
     wide = placed.where("blocks > 1").select("rep", "grp", "home")
@@ -367,11 +367,11 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     counts = found.where("dst is null").groupBy(F.col("src").alias("rep")).agg(F.sum("n").alias("n_links"))
     per = sets.select("d1", "d2", "n", "rep", "low", "mult").join(counts, "rep", "left").join(label, "rep", "left").withColumn("class_key", F.coalesce("component", "rep"))
     per = work.save(per, "per")
-    lowest = work.save(per.groupBy("class_key").agg(F.min("low").alias("class_low"), F.count("*").alias("c")), "lowest")
-    per = hot_join(per, lowest, ["class_key"], "c").select("d1", "d2", "n", "class_key", "mult", (F.coalesce("n_links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.col("class_low").alias("class_id"))
+    lowest = work.save(per.groupBy("class_key").agg(F.min("low").alias("class_low")), "lowest")
+    per = per.join(lowest, "class_key").select("d1", "d2", "n", "class_key", "mult", (F.coalesce("n_links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.col("class_low").alias("class_id"))
     per = work.save(per, "classes-of-sets")
     alone = (F.col("n") == 0) | F.col("id").isNull()
     rows = rows.drop("data")
-    out = hot_join(rows.where(~alone), per, ["d1", "d2", "n"], "mult").select("id", "class_id", "n_links", "class_key", "row_key")
+    out = rows.where(~alone).join(per, ["d1", "d2", "n"]).select("id", "class_id", "n_links", "class_key", "row_key")
     lone = rows.where(alone).select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("class_key"), "row_key")
     return out.unionByName(lone).withColumnRenamed("id", id_col).withColumn("kept", F.coalesce(F.col(id_col) == F.col("class_id"), F.lit(True)))
