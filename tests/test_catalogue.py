@@ -11,7 +11,8 @@ def test_matches_sql(spark, name):
     df = catalogue.queries()[name](spark, D)
     columns = sorted(df.columns)
     con = duckdb.connect()
-    con.sql(f"create view events as select * from '{D}/events.parquet'")
+    for table in ("events", "supplier", "region"):
+        con.sql(f"create view {table} as select * from '{D}/{table}.parquet'")
     sql = con.sql(catalogue.oracle_sql()[name])
     assert columns == sorted(sql.columns)
     want = sorted(sql.select(*[f'"{c}"' for c in columns]).fetchall(), key=repr)

@@ -1,11 +1,14 @@
 """Encoding transforms and size estimates over (stream, ts, value) rows.
 
 Storage itself is Parquet; these queries tell what the run-length and fixed
-encodings would take, and give the reversible delta forms.
+encodings would take, give the reversible delta forms, and pack and unpack
+sections.  A section of a stream is encoded by itself, so give keys with a section
+(``sections``): then no task orders a whole stream.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +16,11 @@ from pyspark.sql import functions as F
 from .values import WIDE, fixed_width, unzigzag, varint_extra, zigzag
 
 
+def sections(df: DataFrame, start: int, width: int) -> DataFrame:
+    """``section``: the number of the stretch of time of a row."""
+    return df.withColumn("section", F.expr(f"(ts - {start}L) div {width}L"))
+
+
 def _ordered(keys: list[str]):
     return W.partitionBy(*keys).orderBy("ts")
 
@@ -83,7 +91,7 @@ def presence_size(df: DataFrame, keys: list[str], section: list[str]) -> DataFra
     rows = df.groupBy(*section).agg(F.countDistinct("ts").alias("rows"))
     facts = df.groupBy(*section, *keys).agg(F.count("*").alias("facts"))
     size = F.when(F.col("facts") == F.col("rows"), 0).otherwise(F.ceil(F.col("rows") / 8)).cast("long")
-    return facts.join(F.broadcast(rows), section).select(*section, *keys, "facts", "rows", size.alias("presence_bytes"))
+    return facts.join(rows, section).select(*section, *keys, "facts", "rows", size.alias("presence_bytes"))
 
 
 def fixed_bytes(values: list[int | None]) -> bytes:
@@ -119,3 +127,106 @@ def nvr_bytes(symbols: list[int | None]) -> bytes:
         put(0xC0 if s is None else 0x80, 4 if s is None else 5, j - i)
         i = j
     return bytes(out)
+
+
+def nvr_symbols(data: bytes) -> list[int | None]:
+    """The inverse of ``nvr_bytes``."""
+    out, i = [], 0
+    while i < len(data):
+        first, i = data[i], i + 1
+        bits, flag = (6, 0x40) if first < 0x80 else (5, 0x20) if first < 0xC0 else (4, 0x10)
+        n, shift, more = first & (1 << bits) - 1, bits, bool(first & flag)
+        while more:
+            n, shift, more, i = n | (data[i] & 0x7F) << shift, shift + 7, data[i] >= 0x80, i + 1
+        out += [n] if first < 0x80 else [0] * n if first < 0xC0 else [None] * n
+    return out
+
+
+def fixed_values(data: bytes, n: int, nulls: int) -> list[int | None]:
+    """The inverse of ``fixed_bytes`` for n values, so many of them null."""
+    width, size = data[0], -(-n // 8) if nulls else 0
+    bitmap = int.from_bytes(data[1 : 1 + size], "little")
+    out, at = [], 1 + size
+    for i in range(n):
+        if bitmap >> i & 1:
+            out.append(None)
+        else:
+            out.append(int.from_bytes(data[at : at + width], "little"))
+            at += width
+    return out
+
+
+def delta2_symbols(values: list[int | None]) -> list[int | None]:
+    """Zigzag second differences of a list; nulls stay and do not advance the predictor."""
+    last = step = 0
+    out = []
+    for v in values:
+        if v is None:
+            out.append(None)
+            continue
+        d = v - last - step
+        out.append(2 * d if d >= 0 else -2 * d - 1)
+        last, step = v, v - last
+    return out
+
+
+def delta2_values(symbols: list[int | None]) -> list[int | None]:
+    last = step = 0
+    out = []
+    for s in symbols:
+        if s is not None:
+            step += s // 2 if s % 2 == 0 else -(s + 1) // 2
+            last += step
+        out.append(None if s is None else last)
+    return out
+
+
+def encode(values: list[int | None], fixed: bytes) -> tuple[str, bytes]:
+    """Runs of second differences where they are strictly smaller and fit 64 bits, else the fixed form."""
+    symbols = delta2_symbols(values)
+    runs = nvr_bytes(symbols) if all(s is None or s < 2**64 for s in symbols) else None
+    return ("runs", runs) if runs is not None and len(runs) < len(fixed) else ("fixed", fixed)
+
+
+def pack_sections(df: DataFrame, keys: list[str], value: str = "u") -> DataFrame:
+    """(keys, rows, nulls, time_encoding, times, encoding, data): one row a section, unsigned integers or nulls.
+
+    Times are 8 bytes each in the fixed form.  A section's rows are held at once.
+    """
+    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ts", F.col(value).cast(WIDE).alias("v")))).alias("rows"))
+    kinds = [rows.schema[k] for k in keys]
+
+    def run(batches):
+        for b in batches:
+            out = [[], [], [], [], [], []]
+            for section in b.column(len(keys)).to_pylist():
+                times, values = [r["ts"] for r in section], [None if r["v"] is None else int(r["v"]) for r in section]
+                out[0].append(len(section))
+                out[1].append(values.count(None))
+                for k, (encoding, data) in ((2, encode(times, b"".join(t.to_bytes(8, "little", signed=True) for t in times))), (4, encode(values, fixed_bytes(values)))):
+                    out[k].append(encoding)
+                    out[k + 1].append(data)
+            types = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keys))), *(pa.array(x, t) for x, t in zip(out, types))], names=[*keys, "rows", "nulls", "time_encoding", "times", "encoding", "data"])
+
+    schema = ", ".join(f"{k.name} {k.dataType.simpleString()}" for k in kinds) + ", rows long, nulls long, time_encoding string, times binary, encoding string, data binary"
+    return rows.mapInArrow(run, schema)
+
+
+def unpack_sections(packed: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ts, value): the inverse of ``pack_sections``."""
+    columns = [*keys, "rows", "nulls", "time_encoding", "times", "encoding", "data"]
+    kinds = [packed.schema[k] for k in keys]
+
+    def run(batches):
+        from decimal import Decimal
+
+        for b in batches:
+            for i in range(b.num_rows):
+                n, nulls, time_encoding, times, encoding, data = (b.column(len(keys) + k)[i].as_py() for k in range(6))
+                ts = delta2_values(nvr_symbols(times)) if time_encoding == "runs" else [int.from_bytes(times[8 * k : 8 * k + 8], "little", signed=True) for k in range(n)]
+                values = delta2_values(nvr_symbols(data)) if encoding == "runs" else fixed_values(data, n, nulls)
+                own = [b.column(k).take(pa.array([i] * n)) for k in range(len(keys))]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(ts, pa.int64()), pa.array([None if v is None else Decimal(v) for v in values], pa.decimal128(20, 0))], names=[*keys, "ts", "value"])
+
+    return packed.select(*columns).mapInArrow(run, ", ".join(f"{k.name} {k.dataType.simpleString()}" for k in kinds) + ", ts long, value decimal(20,0)")

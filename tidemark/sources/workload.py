@@ -7,6 +7,8 @@ and every restart (capacities and boot time).
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,33 @@ def chance(salt: int) -> Column:
     return F.pmod(F.xxhash64("i", F.lit(salt)), F.lit(1_000_000)) / F.lit(1_000_000.0)
 
 
+def lerp(start: Column, end: Column, position: Column, span: Column) -> Column:
+    """The whole number at ``position`` of ``span`` on the way from start to end, cut towards zero."""
+    wide = lambda c: c.cast("decimal(38,0)")
+    return start + F.try_divide(wide(end - start) * position, wide(span)).cast("decimal(38,6)").cast("long")
+
+
+def splitmix(value: Column) -> Column:
+    """A scrambled unsigned 64-bit number as DECIMAL(20,0): a weak but fast generator's step.  Arithmetic is modulo 2^64, in halves."""
+    number = lambda n: F.lit(Decimal(n)).cast("decimal(38,0)")
+    let = lambda c, f: F.element_at(F.transform(F.array(c.cast("decimal(38,0)")), f), 1)  # noqa: E731  an expression used twice is written once
+
+    def times(d: Column, k: int) -> Column:
+        low, high = d % number(2**32), F.floor(d / number(2**32))
+        cross = (low * number(k >> 32)) % number(2**32) + (high * number(k % 2**32)) % number(2**32)
+        return ((cross.cast("decimal(38,0)") % number(2**32)) * number(2**32)).cast("decimal(38,0)") + (low * number(k % 2**32)).cast("decimal(38,0)")
+
+    def fold(d: Column, by: int) -> Column:
+        signed = F.when(d >= number(2**63), d - number(2**64)).otherwise(d).cast("long")
+        mixed = F.element_at(F.transform(F.array(signed), lambda n: n.bitwiseXOR(F.shiftrightunsigned(n, by))), 1).cast("decimal(38,0)")
+        return let(mixed, lambda m: F.when(m < 0, m + number(2**64)).otherwise(m).cast("decimal(38,0)"))
+
+    out = let(value, lambda v: (v + number(0x9E3779B97F4A7C15)) % number(2**64))
+    stage = lambda c, by, k: let(let(c, lambda d: fold(d, by)), lambda d: times(d, k).cast("decimal(38,0)") % number(2**64))
+    out = stage(stage(out, 30, 0xBF58476D1CE4E5B9), 27, 0x94D049BB133111EB)
+    return let(out, lambda d: fold(d, 31)).cast("decimal(20,0)")
+
+
 def rounded(b: Column) -> Column:
     return (F.round(b / TEN_MB) * TEN_MB).cast("long")
 
@@ -60,7 +89,7 @@ def host_month(spark: SparkSession, days: int = 30, restarts: int = 3) -> DataFr
     ping = base.where("i % 5 = 0")
     for route, loss in enumerate(LOSSES, 1):
         out = out.unionByName(facts(ping, 2, route, 1, F.when(chance(20 + route) >= loss, (8 * route + 30 * chance(10 + route)).cast("long"))))
-    out = out.unionByName(facts(base.where("i % 20 = 0"), 3, 1, 1, rounded(F.lit(8e10) + F.col("i") * 12_000)))
+    out = out.unionByName(facts(base.where("i % 20 = 0"), 3, 1, 1, rounded(lerp(F.lit(80_000_000_000), F.lit(90_368_000_000), F.col("i"), F.lit(n)))))
     boot = base.where("i = boot")
     for field, value in ((1, F.lit(16_000_000_000)), (2, F.lit(250_000_000_000)), (3, F.col("ts"))):
         out = out.unionByName(facts(boot, 4, 1, field, value))
