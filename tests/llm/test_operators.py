@@ -405,6 +405,25 @@ def test_null_ids_come_last(spark):
     assert got == [(False, len(t) + 4), (True, 0), (True, 0)]
 
 
+def test_transform_and_prefixes_match_a_sorted_suffix_array():
+    rng = np.random.default_rng(8)
+    for _ in range(15):
+        m, width, span = int(rng.integers(1, 40)), 24, 9
+        group, ctx = np.sort(rng.integers(0, 3, m)), rng.integers(97, 99, (m, width)).astype(np.uint8)
+        ctx[rng.integers(0, m, m // 2)] = ctx[rng.integers(0, m, m // 2)]
+        seen = []
+        for j, order, transform, lcp in op7_suffix.columns_inserted(group, ctx, span):
+            suffix = [(int(g), bytes(c[j:])) for g, c in zip(group, ctx)]
+            assert [suffix[i] for i in order] == sorted(suffix) and sorted(order) == list(range(m))
+            assert transform.tolist() == [int(ctx[i, j - 1]) if j else 0 for i in order]
+            for k in range(1, m):
+                (g, a), (h, b) = suffix[order[k - 1]], suffix[order[k]]
+                same = next((n for n, (p, q) in enumerate(zip(a, b)) if p != q), len(a)) if g == h else 0
+                assert lcp[k] == min(same, span)
+            seen.append(j)
+        assert seen == list(range(width - 1, -1, -1))
+
+
 def test_column_index_matches_sorting():
     rng = np.random.default_rng(3)
     for _ in range(20):

@@ -1,9 +1,10 @@
 """Content-chosen anchors: which parts of a corpus can hold a passage that occurs elsewhere.
 
-Every run of ``span`` symbols (bytes or words) holds at least one anchor, a
-k-gram whose hash is lowest among its neighbours, and equal runs hold equal
-anchors at equal places.  So a run can recur only around anchors that recur.
-Documents are dealt to cells by id; cells exchange nothing but hashes:
+Every run of ``span`` symbols holds at least one anchor, a k-gram whose hash is
+lowest among its neighbours, and equal runs hold equal anchors at equal places.
+So a run can recur only around anchors that recur.  Documents are written once,
+dealt to cells, in buckets that later passes read where they lie; cells exchange
+nothing but hashes and notes:
   1. each cell sends its distinct anchor hashes to the hash's owner;
   2. owners answer which hashes came from several cells;
   3. cells look closer only around anchors found in several documents.
@@ -17,88 +18,95 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Work, flat, tidy
+from .common import Work, flat, hot_join, parts, tidy
 from .words import mix
 
-#: Text bytes of a cell.
-CELL = 8 << 20
-DOC = 9
+#: Text bytes of a cell, and the most buckets of a table.
+CELL, MOST_BUCKETS = 8 << 20, 100_000
 LAST = (1 << 63) - 1
-ROW = "q int, kind int, id long, uid long, blob binary, text string"
 LOW = np.uint64((1 << 48) - 1)
 
 
 class Cells:
-    """Documents of a table dealt to cells by id, with markers of copies of whole texts."""
+    """Documents of a table dealt to cells by row, with markers of copies of whole texts."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, shortest: int, work: Work, columns: tuple[str, ...] = ()):
         text = F.coalesce(F.col(text_col), F.lit(""))
-        own = F.col(id_col).cast("long")
-        self.columns = columns
-        rows = docs.select(F.coalesce(own, F.lit(LAST)).alias("id"), text.alias("text"), *[F.col(c).cast("string").alias(f"_{c}") for c in columns])
-        rows = rows.withColumn("uid", F.xxhash64(F.lit(5), "id", "text"))
-        size = F.octet_length("text").cast("long")
-        keys = work.save(rows.select("id", "uid", size.alias("n"), F.xxhash64(F.lit(6), "text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2")), "keys")
-        self.bytes = keys.agg(F.sum("n")).first()[0] or 0
+        size = F.octet_length(text).cast("long")
+        self.work, self.columns = work, columns
+        self.bytes = docs.agg(F.sum(size)).first()[0] or 0
         self.cells = max(1, -(-self.bytes // CELL))
+        self.buckets = min(MOST_BUCKETS, max(parts(work.spark), self.cells))
         self.owner_bits = min(16, max(4, int(self.bytes // CELL).bit_length()))
-        q = F.pmod(F.xxhash64(F.lit(8), "id"), F.lit(self.cells)).cast("int")
-        none, no_text = F.lit(None).cast("binary"), F.lit(None).cast("string")
-        first = keys.where(F.col("n") >= shortest).groupBy("h1", "h2", "n").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-        copies = keys.join(first, ["h1", "h2", "n"]).where("id > first").select(q.alias("q"), F.lit(0).alias("kind"), "id", "uid", none.alias("blob"), no_text.alias("text"))
-        self.copies = work.save(copies.distinct(), "copies")
-        self.docs = rows.select(q.alias("q"), F.lit(DOC).alias("kind"), "id", "uid", none.alias("blob"), "text", *[f"_{c}" for c in columns])
-
-    def dealt(self, *notes: DataFrame, payload: bool = False) -> DataFrame:
-        """Documents (with their other columns if asked for), markers and notes (q, kind, blob) to cells, small rows first."""
-        docs = self.docs if payload else self.docs.drop(*[f"_{c}" for c in self.columns])
-        all_ = docs.unionByName(self.copies, allowMissingColumns=True)
+        uid = F.monotonically_increasing_id()
+        rows = docs.select(
+            F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), uid.alias("uid"), F.pmod(F.xxhash64(F.lit(8), uid), F.lit(self.cells)).cast("int").alias("q"), text.alias("text"),
+            size.alias("n"), F.xxhash64(F.lit(6), text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2"), *[F.col(c).cast("string").alias(f"_{c}") for c in columns],
+        )
+        self.docs = work.bucketed(rows, "cells", "q", self.buckets)
+        keys = self.docs.where(F.col("n") >= shortest).select("q", "id", "uid", "n", "h1", "h2")
+        first = work.save(keys.groupBy("h1", "h2", "n").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1"), "first")
+        copies = hot_join(keys, first, ["h1", "h2", "n"], "c").where("id > first")
+        self.copies = work.save(copies.select("q", F.lit(0).alias("kind"), "uid", F.lit(None).cast("binary").alias("blob")), "copies")
+
+    def each(self, f, schema: str, *notes: DataFrame, payload: bool = False) -> DataFrame:
+        """Batches that ``f(cell, documents)`` yields for every cell.
+
+        ``notes`` (q, kind, blob) and markers are dealt to the cells; documents
+        (id, uid, text, and their other columns with ``payload``) stay where they are.
+        """
+        columns = ["q", "id", "uid", "text", *([f"_{c}" for c in self.columns] if payload else [])]
+        all_ = self.copies
         for n in notes:
-            all_ = all_.unionByName(n.select("q", "kind", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("uid"), "blob", F.lit(None).cast("string").alias("text")), allowMissingColumns=True)
-        return all_.repartition("q").sortWithinPartitions("q", "kind")
-
-
-def runs(batches, most: int = 1 << 19):
-    """(q, kind, slice) over a stream sorted by q and kind; slices of documents hold about ``most`` bytes."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        q, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        cut = np.flatnonzero((q[1:] != q[:-1]) | (kind[1:] != kind[:-1])) + 1
-        at = [0, *cut.tolist(), batch.num_rows]
-        for a, b in zip(at, at[1:]):
-            if kind[a] != DOC:
-                yield int(q[a]), int(kind[a]), batch.slice(a, b - a)
-                continue
-            _, offsets = flat(batch.column(5).slice(a, b - a))
-            i, n = 0, b - a
-            while i < n:
-                j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
-                yield int(q[a]), DOC, batch.slice(a + i, j - i)
+            all_ = all_.unionByName(n.select("q", "kind", F.lit(None).cast("long").alias("uid"), "blob"))
+        kind = pa.schema([])
+
+        def run(key, docs, told):
+            nonlocal kind
+            batches = list(f(Cell(key[0].as_py(), told), docs.drop_columns("q"))) if docs.num_rows else []
+            tidy()
+            if batches:
+                kind = batches[0].schema
+            return pa.Table.from_batches(batches, kind if batches else _schema(schema))
+
+        return self.docs.select(*columns).groupBy("q").cogroup(all_.repartition(self.buckets, "q").groupBy("q")).applyInArrow(run, schema)
+
+
+def _schema(text: str) -> pa.Schema:
+    """The Arrow schema of columns of simple types."""
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "array<array<long>>": pa.list_(pa.list_(pa.int64()))}
+    return pa.schema([(c.split(" ")[0], types[c.split(" ")[1]]) for c in text.split(", ")])
+
+
+def pieces(docs: pa.Table, most: int = 1 << 19):
+    """Record batches of (id, uid, text, ...) that hold about ``most`` text bytes, or one row."""
+    for batch in docs.to_batches():
+        if batch.num_rows:
+            _, at = flat(batch.column(2))
+            i = 0
+            while i < batch.num_rows:
+                j = max(i + 1, int(np.searchsorted(at, at[i] + most, side="right")) - 1)
+                yield batch.slice(i, j - i)
                 i = j
 
 
 class Cell:
     """What a task holds of one cell: markers of copies and notes."""
 
-    def __init__(self, q: int):
-        self.q, self.copies, self.notes = q, set(), {}
+    def __init__(self, q: int, told: pa.Table):
+        self.q, self.told = q, told
+        kind = told.column("kind").to_numpy()
+        self.kind = kind
+        self.copies = set(told.filter(pa.array(kind == 0)).column("uid").to_pylist()) if (kind == 0).any() else set()
 
-    def note(self, kind: int, rows: pa.RecordBatch) -> None:
-        if kind == 0:
-            self.copies.update(rows.column(3).to_pylist())
-        else:
-            self.notes.setdefault(kind, []).extend(rows.column(4).to_pylist())
-
-    def fresh(self, rows: pa.RecordBatch) -> pa.RecordBatch:
+    def fresh(self, docs: pa.Table) -> pa.Table:
         """Without the copies."""
         if not self.copies:
-            return rows
-        keep = [u not in self.copies for u in rows.column(3).to_pylist()]
-        return rows if all(keep) else rows.filter(pa.array(keep))
+            return docs
+        return docs.filter(pa.array([u not in self.copies for u in docs.column(1).to_pylist()]))
 
     def blobs(self, kind: int, dtype) -> np.ndarray:
-        return np.frombuffer(b"".join(self.notes.get(kind, [])), dtype)
+        return np.frombuffer(b"".join(self.told.filter(pa.array(self.kind == kind)).column("blob").to_pylist()), dtype)
 
 
 def slide(f, a: np.ndarray, width: int) -> np.ndarray:
@@ -171,10 +179,9 @@ def recurring(cells: Cells, anchors_of, work: Work) -> DataFrame:
     """
     bits = cells.owner_bits
 
-    def send(batches):
-        def out(cell, held):
-            if not held:
-                return
+    def send(cell, docs):
+        held = [np.unique(owner_hash(anchors_of(*flat(b.column(2)))[2], bits)) for b in pieces(cell.fresh(docs))]
+        if held:
             h = np.unique(np.concatenate(held))
             owner = (h >> np.uint64(48)).astype(np.int64)
             cut = np.searchsorted(owner, np.arange((1 << bits) + 1))
@@ -184,21 +191,7 @@ def recurring(cells: Cells, anchors_of, work: Work) -> DataFrame:
                 names=["owner", "q", "blob"],
             )
 
-        cell, held = None, []
-        for q, kind, rows in runs(batches):
-            if cell is None or cell.q != q:
-                if cell:
-                    yield from out(cell, held)
-                cell, held = Cell(q), []
-                tidy()
-            if kind != DOC:
-                cell.note(kind, rows)
-            elif (rows := cell.fresh(rows)).num_rows:
-                held.append(np.unique(owner_hash(anchors_of(*flat(rows.column(5)))[2], bits)))
-        if cell:
-            yield from out(cell, held)
-
-    sent = cells.dealt().mapInArrow(send, "owner int, q int, blob binary")
+    sent = cells.each(send, "owner int, q int, blob binary")
 
     def answer(batches):
         def out(owner, qs, blobs):

@@ -5,9 +5,9 @@ of ``span`` bytes that occurs twice.  Those surroundings are short documents of
 equal width.  For each hash range their collection is indexed the way of
 column-wise multi-document construction: round by round one symbol of every
 document, from the last column to the first, is inserted; the order of all
-suffixes of that length (whose preceding symbols are the collection's
-Burrows-Wheeler transform) follows from the order of the round before by one
-stable sort, and common prefixes by range minima.  Neighbours whose common
+suffixes of that length follows from the order of the round before by one stable
+sort by the symbols before its suffixes (the collection's Burrows-Wheeler
+transform), and common prefixes by range minima.  Neighbours whose common
 prefix reaches ``span`` are equal strings, whose lowest document is their
 source.  The files between rounds of the external method are the sorted runs of
 Spark's shuffle, read in order, one hash range at a time.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import DOC, LAST, Cell, Cells, anchors, gather, hot_batch, hot_notes, owner_hash, recurring, runs, shared_here
+from .anchors import LAST, Cells, anchors, gather, hot_batch, hot_notes, owner_hash, pieces, recurring, shared_here
 from .common import Work, flat, tidy
 from .words import mix
 
@@ -104,28 +104,31 @@ def bits(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return (one << (hi.astype(np.uint64) + one)) - (one << lo.astype(np.uint64))
 
 
-def column_index(group: np.ndarray, ctx: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, span: int) -> np.ndarray:
-    """For every record the offsets (as bits) whose ``span`` symbols also start in a record of the group with a smaller doc.
+def columns_inserted(group: np.ndarray, ctx: np.ndarray, span: int):
+    """The collection's transform and common prefixes, round by round.
 
-    Records are in order of ``group``.  ``order`` lists the documents by the
-    suffix inserted last, ``lcp[i]`` is the common prefix of the i-th with the
-    one before (0 across groups, at most ``span``).
+    Documents (rows of ``ctx``) are in order of ``group``.  Round j, from the last
+    column to the first, inserts symbol j of every document before the suffix it
+    has so far and yields (j, order, transform, lcp): the documents in order of their
+    suffixes from j on, the symbols before those suffixes (0 before whole
+    documents), and ``lcp[i]``, the common prefix of the i-th suffix with the one before
+    (0 across groups, at most ``span``).  One stable sort by the transform of the round
+    before gives the order; range minima of its common prefixes give the new ones.
     """
     m, width = ctx.shape
     order = np.arange(m)
     start = np.concatenate([[True], group[1:] != group[:-1]])
-    lcp = np.where(start, 0, 0).astype(np.int16)  # empty suffixes
+    lcp = np.zeros(m, np.int16)  # empty suffixes
     edge = np.cumsum(start) - 1
     levels = int(np.bincount(edge).max() - 1).bit_length() if m else 0
-    out = np.zeros(m, np.uint64)
+    transform = ctx[:, width - 1]
     for j in range(width - 1, -1, -1):
-        symbol = ctx[order, j]  # the transform's column: what precedes each suffix
-        at = np.argsort(edge.astype(np.int64) * 256 + symbol, kind="stable")
-        sym = symbol[at]
+        at = np.argsort(edge.astype(np.int64) * 256 + transform, kind="stable")
+        sym = transform[at]
         # common prefix with the new neighbour: 1 + range minimum of the old ones between them, if the symbols agree
         low, high = at[:-1] + 1, at[1:]
         agree = (sym[1:] == sym[:-1]) & ~start[1:]
-        least = np.zeros(m - 1, np.int16)
+        least = np.zeros(max(0, m - 1), np.int16)
         length = high - low
         table, step = lcp, 1
         for level in range(levels + 1):
@@ -137,6 +140,15 @@ def column_index(group: np.ndarray, ctx: np.ndarray, doc: np.ndarray, lo: np.nda
             table, step = np.minimum(table[:-step], table[step:]), step * 2
         lcp = np.concatenate([[0], np.where(agree, np.minimum(least + 1, span), 0)]).astype(np.int16)
         order = order[at]
+        transform = ctx[order, j - 1] if j else np.zeros(m, np.uint8)
+        yield j, order, transform, lcp
+
+
+def column_index(group: np.ndarray, ctx: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, span: int) -> np.ndarray:
+    """For every record the offsets (as bits) whose ``span`` symbols also start in a record of the group with a smaller doc."""
+    m, width = ctx.shape
+    out = np.zeros(m, np.uint64)
+    for j, order, _, lcp in columns_inserted(group, ctx, span):
         if j <= width - span:  # suffixes of at least span symbols
             first = np.flatnonzero(lcp < span)
             valid = (lo[order] <= j) & (j <= hi[order])
@@ -154,80 +166,60 @@ def covered(cells: Cells, span: int, work: Work) -> list[DataFrame]:
     answers = recurring(cells, of, work)
     parts = 1 << bit
 
-    def collect(batches):
-        def out(cell, held):
-            if not held:
-                return
-            r = np.concatenate(held)
-            # equal surroundings within the cell: the earliest document speaks for all, the later ones are covered
-            digest = digests(r)
-            order = np.lexsort((r["id"], digest))
-            r, digest = r[order], digest[order]
-            new = np.concatenate([[True], digest[1:] != digest[:-1]])
-            first = r["id"][np.flatnonzero(new)][np.cumsum(new) - 1]
-            late = r["id"] > first
-            if late.any():
-                x = r[late]
-                note = noted(x, bits(x["lo"], x["hi"]))
-                yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([cell.q], pa.int32()), pa.array([note.tobytes()], pa.binary())], names=["kind", "q", "blob"])
-            r = r[~late]
-            part = (r["h"] >> np.uint64(48)).astype(np.int64) % parts
-            order = np.argsort(part, kind="stable")
-            r, part = r[order], part[order]
-            cut = np.searchsorted(part, np.arange(parts + 1))
-            full = np.flatnonzero(np.diff(cut))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(full), 3, np.int32)), pa.array(full.astype(np.int32)), pa.array([r[cut[i] : cut[i + 1]].tobytes() for i in full.tolist()], pa.binary())], names=["kind", "q", "blob"]
-            )
-
-        # first a cell's hashes, then the surroundings of those that matter
-        cell, docs = None, []
-
-        def finish(cell, docs):
-            wanted = np.unique(cell.blobs(1, "<u8"))
-            hashes, own, kept = [], [], []
-            for rows in docs:
-                raw, at = flat(rows.column(5))
-                d, p, h = of(raw, at)
-                h = owner_hash(h, bit)
-                ids = rows.column(2).to_numpy()[d]
-                hashes.append(h)
-                own.append(ids)
-                kept.append((d.astype(np.int32), p.astype(np.int32)))
-            if not docs:
-                return
-            wanted = np.union1d(wanted, shared_here(hashes, own))
-            del own
-            held = []
-            for rows, h, (d, p) in zip(docs, hashes, kept):
-                if not len(wanted):
-                    break
-                hit = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
-                d, p, h = d[hit], p[hit], h[hit]
-                raw, at = flat(rows.column(5))
-                for i in range(0, len(d), 32768):
-                    e, p_, h_ = d[i : i + 32768], p[i : i + 32768], h[i : i + 32768]
-                    r = np.zeros(len(e), kind_of)
-                    r["lo"], r["hi"], r["ctx"] = contexts(raw, at, e, p_, span)
-                    r["h"], r["id"], r["uid"], r["pos"], r["q"], r["count"] = h_, rows.column(2).to_numpy()[e], rows.column(3).to_numpy()[e], p_ - at[e], cell.q, 1
-                    # ordinary text has an anchor every 16 bytes; far more come from text that repeats itself
-                    held.append(compress(r) if len(d) > len(raw) // 6 else r)
-            yield from out(cell, held)
-
-        for q, kind, rows in runs(batches):
-            if cell is None or cell.q != q:
-                if cell:
-                    yield from finish(cell, docs)
-                cell, docs = Cell(q), []
-                tidy()
-            if kind != DOC:
-                cell.note(kind, rows)
-            elif (rows := cell.fresh(rows)).num_rows:
-                docs.append(rows)
-        if cell:
-            yield from finish(cell, docs)
-
-    found = work.save(cells.dealt(answers).mapInArrow(collect, "kind int, q int, blob binary"), "contexts")
+    def collect(cell, docs):
+        wanted, docs = np.unique(cell.blobs(1, "<u8")), list(pieces(cell.fresh(docs)))
+        hashes, own, kept = [], [], []
+        for rows in docs:
+            raw, at = flat(rows.column(2))
+            d, p, h = of(raw, at)
+            h = owner_hash(h, bit)
+            hashes.append(h)
+            own.append(rows.column(0).to_numpy()[d])
+            kept.append((d.astype(np.int32), p.astype(np.int32)))
+        if not docs:
+            return
+        wanted = np.union1d(wanted, shared_here(hashes, own))
+        del own
+        held = []
+        for rows, h, (d, p) in zip(docs, hashes, kept):
+            if not len(wanted):
+                break
+            hit = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
+            d, p, h = d[hit], p[hit], h[hit]
+            raw, at = flat(rows.column(2))
+            for i in range(0, len(d), 32768):
+                e, p_, h_ = d[i : i + 32768], p[i : i + 32768], h[i : i + 32768]
+                r = np.zeros(len(e), kind_of)
+                r["lo"], r["hi"], r["ctx"] = contexts(raw, at, e, p_, span)
+                r["h"], r["id"], r["uid"], r["pos"], r["q"], r["count"] = h_, rows.column(0).to_numpy()[e], rows.column(1).to_numpy()[e], p_ - at[e], cell.q, 1
+                # ordinary text has an anchor every 16 bytes; far more come from text that repeats itself
+                held.append(compress(r) if len(d) > len(raw) // 6 else r)
+        if not held:
+            return
+        r = np.concatenate(held)
+        del held, hashes, kept
+        # equal surroundings within the cell: the earliest document speaks for all, the later ones are covered
+        digest = digests(r)
+        order = np.lexsort((r["id"], digest))
+        r, digest = r[order], digest[order]
+        new = np.concatenate([[True], digest[1:] != digest[:-1]])
+        first = r["id"][np.flatnonzero(new)][np.cumsum(new) - 1]
+        late = r["id"] > first
+        if late.any():
+            x = r[late]
+            note = noted(x, bits(x["lo"], x["hi"]))
+            yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([cell.q], pa.int32()), pa.array([note.tobytes()], pa.binary())], names=["kind", "q", "blob"])
+        r = r[~late]
+        part = (r["h"] >> np.uint64(48)).astype(np.int64) % parts
+        order = np.argsort(part, kind="stable")
+        r, part = r[order], part[order]
+        cut = np.searchsorted(part, np.arange(parts + 1))
+        full = np.flatnonzero(np.diff(cut))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(full), 3, np.int32)), pa.array(full.astype(np.int32)), pa.array([r[cut[i] : cut[i + 1]].tobytes() for i in full.tolist()], pa.binary())], names=["kind", "q", "blob"]
+        )
+
+    found = work.save(cells.each(collect, "kind int, q int, blob binary", answers), "contexts")
 
     def index(batches):
         def out(r):
@@ -277,20 +269,13 @@ def gone(n: int, pos: np.ndarray, mask: np.ndarray, span: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def each_document(batches, span: int):
-    """(slice of documents, index, bytes, removed) for every document of dealt cells with notes."""
-    cell, notes = None, None
-    for q, kind, rows in runs(batches):
-        if cell is None or cell.q != q:
-            cell, notes = Cell(q), None
-        if kind != DOC:
-            cell.note(kind, rows)
-            continue
-        if notes is None:
-            notes = cell.blobs(2, NOTE)
-            notes = notes[np.argsort(notes["uid"], kind="stable")]
-        raw, at = flat(rows.column(5))
-        uid = rows.column(3).to_numpy()
+def each_document(cell, docs, span: int):
+    """(slice of documents, index, bytes, removed) for every document of a cell with notes."""
+    notes = cell.blobs(2, NOTE)
+    notes = notes[np.argsort(notes["uid"], kind="stable")]
+    for rows in pieces(docs):
+        raw, at = flat(rows.column(2))
+        uid = rows.column(1).to_numpy()
         first, last = np.searchsorted(notes["uid"], uid, "left"), np.searchsorted(notes["uid"], uid, "right")
         for i in range(rows.num_rows):
             n = int(at[i + 1] - at[i])
@@ -324,7 +309,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spa
     cells = Cells(docs, id_col, text_col, span, work, columns)
     notes = covered(cells, span, work)
 
-    def cut(batches):
+    def cut(cell, docs):
         ids, size, kept, spans, more = [], [], [], [], [[] for _ in columns]
 
         def out():
@@ -334,28 +319,27 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spa
             )
 
         held = 0
-        for rows, i, raw, dead in each_document(batches, span):
+        for rows, i, raw, dead in each_document(cell, docs, span):
             if dead is not None and whole_characters:
                 lead = np.cumsum((raw & 0xC0) != 0x80) - 1  # each byte's character
                 whole = np.bincount(lead, ~dead) == 0
                 dead = whole[lead]
             a, b = spans_of(dead) if dead is not None else ((), ())
-            ids.append(rows.column(2)[i].as_py())
+            ids.append(rows.column(0)[i].as_py())
             size.append(len(raw))
             kept.append((raw if dead is None else raw[~dead]).tobytes())
             spans.append([[int(x), int(y)] for x, y in zip(a, b)])
             for k, x in enumerate(more):
-                x.append(rows.column(6 + k)[i].as_py())
+                x.append(rows.column(3 + k)[i].as_py())
             held += len(raw) + 64
             if held > 2 << 20:
                 yield out()
                 ids, size, kept, spans, held, more = [], [], [], [], 0, [[] for _ in columns]
         if ids:
             yield out()
-        tidy()
 
     schema = "id long, n_bytes long, kept binary, spans array<array<long>>" + "".join(f", {c} string" for c in columns)
-    out = cells.dealt(*notes, payload=True).mapInArrow(cut, schema)
+    out = cells.each(cut, schema, *notes, payload=True)
     return out.withColumn("id", F.when(F.col("id") < LAST, F.col("id"))).withColumnRenamed("id", id_col)
 
 
