@@ -103,6 +103,17 @@ def fixed_bytes(values: list[int | None]) -> bytes:
     return bytes([width]) + bitmap + b"".join(v.to_bytes(width, "little") for v in values if v is not None)
 
 
+def presence_bytes(present: list[bool]) -> bytes:
+    """Which rows of a section a stream has: nothing if all, else a bit a row."""
+    return b"" if all(present) else sum(1 << i for i, p in enumerate(present) if p).to_bytes(-(-len(present) // 8), "little")
+
+
+def presence_rows(data: bytes, n: int) -> list[bool]:
+    """The inverse of ``presence_bytes`` for n rows."""
+    bits = int.from_bytes(data, "little")
+    return [not data or bool(bits >> i & 1) for i in range(n)]
+
+
 def nvr_bytes(symbols: list[int | None]) -> bytes:
     """The byte stream of one column, for golden vectors and small exports."""
     out = bytearray()

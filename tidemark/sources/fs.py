@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from ..errors import Io
+from ..errors import Io, Unsupported
 
 
 class Files:
@@ -14,7 +14,10 @@ class Files:
         self.root = root.rstrip("/")
         self.fs = self.path("").getFileSystem(self.conf)
         self.gateway = spark.sparkContext._gateway
-        self.context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.makeQualified(self.path("")).toUri(), self.conf)
+        try:
+            self.context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.makeQualified(self.path("")).toUri(), self.conf)
+        except Exception as e:
+            raise Unsupported("this file system", "files cannot be renamed over others there") from e
 
     def path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
