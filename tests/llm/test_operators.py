@@ -87,6 +87,28 @@ def test_language_sample_counts_distinct_texts(spark):
     assert got == want
 
 
+def test_language_scores_match_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(k, prose(rng, rng.randrange(3, 30), a)) for k, a in (("aa", "abcdef"), ("bb", "efghij")) for _ in range(30)]
+    work = Work(spark, "t")
+    model = op1_langid.train(spark.createDataFrame(rows, "lang string, text string"), work, per_label=25, landmarks_per_label=6)
+    grams = lambda t: {f" {t} "[i : i + n] for n in (1, 2, 3) for i in range(len(t) + 3 - n)}
+    kernel = lambda a, b: len(grams(a) & grams(b)) / (len(grams(a)) * len(grams(b))) ** 0.5
+    used = sorted((r["lang"], r["k"], r["text"]) for r in spark.read.parquet(f"{work.root}/train").collect())
+    marks, texts = [t for _, k, t in used if k <= 6], [t for _, _, t in used]
+    assert len(marks) == 12 and len(texts) == 50
+    value, vector = np.linalg.eigh(np.array([[kernel(a, b) for b in marks] for a in marks]))
+    root = vector / np.sqrt(value)
+    feature = lambda ts: np.hstack([np.array([[kernel(t, m) for m in marks] for t in ts]) @ root, np.ones((len(ts), 1))])
+    x, y = feature(texts), np.array([[lang == k for k in ("aa", "bb")] for lang, _, _ in used], float)
+    weights = np.linalg.solve(x.T @ x + 1e-3 * len(x) * np.eye(x.shape[1]), x.T @ y)
+    test = [prose(rng, 12, a) for a in ("abcdef", "efghij", "cdefgh") for _ in range(10)]
+    want = feature(test) @ weights
+    label, score = op1_langid.classify(model, test)
+    assert label == [("aa", "bb")[i] for i in want.argmax(1)]
+    assert np.abs(np.clip(want.max(1), 0, 1) - score).max() < 2e-3
+
+
 # --- 2 ---
 
 
@@ -160,6 +182,42 @@ def test_chain_on_held_out_rows(spark, edge, empty):
     assert none is None and op3_chain.score(edge, none, "toxic").where("toxic").count() == 0 and op3_chain.score(empty, chain, "toxic").count() == 0
 
 
+def test_chain_features_and_scores_match_brute_force():
+    rng = random.Random(9)
+    texts = [prose(rng, 30, "abcdefghijé") + " Straße ABC" for _ in range(40)] + ["", "42"]
+    doc, feature = op3_chain.features(texts)
+    for i, t in enumerate(texts):
+        words = set("".join(c if c.isalpha() else " " for c in t.lower()).split())
+        parts = {(n, w if n is None else w[:n]) for w in words for n in (None, *op3_chain.PREFIXES)}
+        assert len({f for d, f in zip(doc, feature) if d == i}) == (doc == i).sum() and abs((doc == i).sum() - len(parts)) <= 1  # two may share a column
+    y = np.array([i % 3 == 0 for i in range(len(texts))], float)
+    earlier = rng.random() * np.ones((len(texts), 1))
+    m = op3_chain.fit(doc, feature, len(texts), earlier, y, np.ones(len(texts), bool))
+    got = m.score(doc, feature, len(texts), earlier)
+    for i in range(len(texts)):
+        z = sum(float(m.weights[f]) for d, f in zip(doc, feature) if d == i) + float(earlier[i] @ m.extra) + m.bias
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-6
+
+
+def test_chain_folds_hold_copies_together(spark, monkeypatch):
+    seen = []
+    real = op3_chain.fit
+
+    def fit(doc, feature, n, earlier, y, rows, **k):
+        seen.append(rows.copy())
+        return real(doc, feature, n, earlier, y, rows, **k)
+
+    monkeypatch.setattr(op3_chain, "fit", fit)
+    rng = random.Random(2)
+    texts = [prose(rng, 20) + (" vileword" if i % 2 else "") for i in range(60)]
+    docs = spark.createDataFrame([(i, texts[i % 60]) for i in range(180)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 60 % 2) for i in range(180)], "doc_id long, toxic int")
+    op3_chain.train(docs, labels, ["toxic"], "toxic")
+    folds = [~rows for rows in seen if not rows.all()]
+    assert len(folds) == op3_chain.FOLDS and sum(f.astype(int) for f in folds).tolist() == [1] * 180
+    assert all(f[i] == f[i + 60] == f[i + 120] for f in folds for i in range(60))  # rows come in order of ids
+
+
 # --- 4 ---
 
 

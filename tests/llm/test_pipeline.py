@@ -138,6 +138,8 @@ def test_queries_return_their_contracts(spark):
     want = {
         "op1_language_id": ["doc_id", "held_out", "lang_pred", "score"],
         "op2_sharding": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
+        "op3_toxicity": ["doc_id", "p_low_quality", "p_toxic", "toxic"],
+        "op8_jaccard_join": ["doc_id", "class_id", "n_links", "kept"],
         "op4_mixing": ["doc_id", "size", "source_size", "target", "taken"],
         "op5_embedding_near_dedup": ["vec_id", "n_links", "component_id", "kept"],
         "op6_packing": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
@@ -150,3 +152,22 @@ def test_queries_return_their_contracts(spark):
     got = queries.queries()["op1_language_id"](spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.95
     assert op1_langid.UNKNOWN == "und"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    found = {r["doc_id"]: r["toxic"] for r in queries.queries()["op3_toxicity"](spark, d).collect()}
+    assert len(found) == spark.read.parquet(f"{d}/documents.parquet").count()
+    assert np.mean([found[i] == bool(t) for i, t in labels.items()]) > 0.9
+
+
+def test_what_sql_says_of_mixing_and_fingerprints(spark):
+    import duckdb
+
+    d, con = "/root/testdata/sf0.001", duckdb.connect()
+    con.sql(f"create view documents as select * from '{d}/documents.parquet'")
+    for name in ("mixing_targets", "fingerprint_edits"):
+        df = queries.queries()[name](spark, d)
+        columns = sorted(df.columns)
+        want = con.sql(queries.oracle_sql()[name])
+        assert sorted(want.columns) == columns
+        assert sorted(map(tuple, df.select(*columns).collect())) == sorted(want.select(*columns).fetchall())
+    edits = {r["doc_id"]: r["edited_sha256"] for r in queries.queries()["fingerprint_edits"](spark, d).collect()}
+    assert edits == {r["doc_id"]: r["edited_sha256"] for r in queries.queries()["op10_fingerprints"](spark, d).collect()}

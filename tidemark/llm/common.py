@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -28,7 +29,9 @@ def ship_package(spark: SparkSession) -> None:
     if app in _shipped:
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(os.path.realpath(tempfile.mkdtemp()), "tidemark.zip")
+    folder = tempfile.mkdtemp()  # the driver's own: executors get the file from the driver
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(os.path.realpath(folder), "tidemark.zip")
     with zipfile.ZipFile(path, "w") as z:
         for folder, _, names in sorted(os.walk(top)):
             for name in sorted(names):

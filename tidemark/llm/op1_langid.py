@@ -178,7 +178,13 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
 
 def annotate(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of ``docs`` with lang_pred and score; texts pass through the workers once, nothing is joined."""
+    """The rows of ``docs`` with lang_pred and score; texts pass through the workers once, nothing is joined.
+
+    Null texts, texts without a letter, and every text without a model are ``und``
+    with score 0; ties go to the first label; repeated rows repeat.  Columns
+    of the same names are replaced.
+    """
+    docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

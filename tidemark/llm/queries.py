@@ -117,6 +117,19 @@ def _op10(docs: DataFrame, work: Work) -> DataFrame:
     )
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of the mix: sizes and targets, to a thousandth."""
+    mixed = op4_cube.mix(documents(spark, sf_dir), weights=(5, 2, 1), share=1.5, most=2, work=Work(spark, "op4"))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of the fingerprints: the edited texts, without normal forms."""
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    both = op10_digest.edited(docs, op10_digest.next_ids(docs, Work(spark, "op10")))
+    return both.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -136,6 +149,8 @@ def queries() -> dict:
         "op9_substring_dedup": op9_substring_dedup,
         "op6_packing": op6_packing_query,
         "op10_fingerprints": op10_fingerprints,
+        "mixing_targets": mixing_targets,
+        "fingerprint_edits": fingerprint_edits,
     }
 
 
@@ -177,6 +192,20 @@ OP9_SQL = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
 
 
+#: Targets fill up at one rate a weight, but for sources that are full at twice their size: a prefix by size over weight.
+MIXING_SQL = f"""WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
+  s AS (SELECT source, CAST(sum(size) AS BIGINT) AS size FROM d GROUP BY source),
+  w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM s),
+  o AS (SELECT *, row_number() OVER (ORDER BY size / w, source NULLS LAST) AS k, (SELECT 1.5::DOUBLE * sum(size) FROM s) AS t FROM w),
+  r AS (SELECT *, (t - coalesce(sum(2 * size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM o),
+  f AS (SELECT coalesce((SELECT arg_min(rate, k) FROM r WHERE rate * w <= 2 * size), 1e300) AS rate)
+  SELECT doc_id, d.size AS size, r.size AS source_size, round(least(f.rate * w, 2.0 * r.size), 3)::DOUBLE AS target FROM d JOIN r ON r.source IS NOT DISTINCT FROM d.source, f"""
+
+EDITS_SQL = """WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+  n AS (SELECT doc_id, text, CAST(length(text) AS BIGINT) AS n, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS after FROM d)
+  SELECT doc_id, n AS n_chars, sha256(concat(substr(text, 1, n - n // 4), substr(after, 1, n // 4))) AS edited_sha256 FROM n"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Language ID, sharding, toxicity, sampling, packing and normal forms have no SQL; tests hold them against brute force."""
-    return {"op5_embedding_near_dedup": OP5_SQL, "op7_suffix_dedup": OP7_SQL, "op8_jaccard_join": OP8_SQL, "op9_substring_dedup": OP9_SQL}
+    return {"mixing_targets": MIXING_SQL, "fingerprint_edits": EDITS_SQL} | {"op5_embedding_near_dedup": OP5_SQL, "op7_suffix_dedup": OP7_SQL, "op8_jaccard_join": OP8_SQL, "op9_substring_dedup": OP9_SQL}
