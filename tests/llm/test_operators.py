@@ -199,6 +199,13 @@ def test_chain_features_and_scores_match_brute_force():
         assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-6
 
 
+def test_cut_needs_half_of_it_right():
+    one = np.ones(8)
+    assert op3_chain.best_cut(np.full(8, 0.1), np.array([1, 0, 0, 0, 0, 0, 0, 0]), one) == 2.0
+    assert op3_chain.best_cut(np.array([0.9, 0.8, 0.8, 0.2, 0.1, 0.1, 0.1, 0.1]), np.array([1, 1, 0, 0, 0, 0, 0, 0]), one) == 0.5
+    assert op3_chain.best_cut(np.array([0.9, 0.2, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1]), np.array([1, 0, 0, 0, 0, 0, 0, 0]), one) == 0.55
+
+
 def test_chain_folds_hold_copies_together(spark, monkeypatch):
     seen = []
     real = op3_chain.fit

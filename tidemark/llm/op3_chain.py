@@ -174,11 +174,18 @@ def train(docs: DataFrame, labels: DataFrame, columns: list[str], target: str, p
 
 
 def best_cut(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
-    """The probability from which on out-of-fold F1, weighted to the whole table, is highest."""
+    """The probability from which on out-of-fold F1, weighted to the whole table, is highest.
+
+    Equal probabilities stay together, and at least half of what lies above must
+    be right; where no cut does that (too few labels to learn from), nothing lies above.
+    """
     order = np.argsort(-p, kind="stable")
-    hit = np.cumsum((y * weight)[order])
-    score = 2 * hit / (np.cumsum(weight[order]) + max(1e-9, float((y * weight).sum())))
+    hit, above = np.cumsum((y * weight)[order]), np.cumsum(weight[order])
+    last = np.concatenate([p[order][1:] < p[order][:-1], [True]])
+    score = np.where(last & (hit >= above / 2), 2 * hit / (above + max(1e-9, float((y * weight).sum()))), 0)
     i = int(np.argmax(score))
+    if score[i] <= 0:
+        return 2.0
     low = p[order[i + 1]] if i + 1 < len(p) else 0.0
     return float((p[order[i]] + low) / 2)
 
