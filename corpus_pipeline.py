@@ -50,10 +50,11 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (0 to 2 times); rows with a null id too."""
+    key = F.coalesce("doc_id", "h").alias("k")  # with the hash it names a row, never null
     taken = op4_cube.mix(docs, work=Work(spark, "stage-mixing")).where("copies > 0")
-    taken = taken.groupBy(F.col("doc_id").alias("_d"), "h").agg(F.sum("copies").cast("int").alias("copies"))
-    one = docs.withColumn("h", op4_cube.row_hash()).dropDuplicates(["doc_id", "h"])
-    return one.join(taken, "h").where(F.col("doc_id").eqNullSafe(F.col("_d"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    taken = taken.groupBy(key, "h").agg(F.sum("copies").cast("int").alias("copies"))
+    one = docs.withColumn("h", op4_cube.row_hash()).withColumn("k", key).dropDuplicates(["k", "h"])  # dealt as the join needs it
+    return one.join(taken, ["k", "h"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
