@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.work import ship_package
 from .values import WIDE, fixed_width, unzigzag, varint_extra, zigzag
 
 
@@ -204,6 +205,7 @@ def pack_sections(df: DataFrame, keys: list[str], value: str = "u") -> DataFrame
 
     Times are 8 bytes each in the fixed form.  A section's rows are held at once.
     """
+    ship_package(df.sparkSession)
     rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ts", F.col(value).cast(WIDE).alias("v")))).alias("rows"))
     kinds = [rows.schema[k] for k in keys]
 
@@ -226,6 +228,7 @@ def pack_sections(df: DataFrame, keys: list[str], value: str = "u") -> DataFrame
 
 def unpack_sections(packed: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, ts, value): the inverse of ``pack_sections``."""
+    ship_package(packed.sparkSession)
     columns = [*keys, "rows", "nulls", "time_encoding", "times", "encoding", "data"]
     kinds = [packed.schema[k] for k in keys]
 
