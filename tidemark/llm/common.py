@@ -3,57 +3,21 @@
 from __future__ import annotations
 
 import atexit
-import os
-import shutil
-import tempfile
 import uuid
-import zipfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.work import shared_folder, ship_package
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 ARROW_BYTES = str(8 << 20)
 FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the executors, once an application; they need not have it installed."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    folder = tempfile.mkdtemp()  # the driver's own: executors get the file from the driver
-    atexit.register(shutil.rmtree, folder, True)
-    path = os.path.join(os.path.realpath(folder), "tidemark.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in sorted(os.walk(top)):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
-    spark.sparkContext.addPyFile(path)
-    _shipped.add(app)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset and all runs on one machine (tests)."""
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not path:
-        if sc.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        path = "file:///tmp/checkpoints"
-        sc.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -73,7 +37,7 @@ class Work:
         self.spark = spark
         ship_package(spark)
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)  # workers hold a few batches
-        self.root = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex[:12]}"
+        self.root = f"{shared_folder(spark)}/tidemark-{name}-{uuid.uuid4().hex[:12]}"
         self.tables: list[str] = []
         atexit.register(self._clear)
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from .common import Work, list_column, slices, small
+from .common import Work, list_column, ship_package, slices, small
 
 UNKNOWN = "und"
 LETTERS = 64
@@ -166,6 +166,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     Null texts, texts without a letter, and every text if no model could be
     fitted are ``und`` with score 0.  Ties go to the first label.
     """
+    ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -184,6 +185,7 @@ def annotate(docs: DataFrame, model: Model | None) -> DataFrame:
     with score 0; ties go to the first label; repeated rows repeat.  Columns
     of the same names are replaced.
     """
+    ship_package(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")

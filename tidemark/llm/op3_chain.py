@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, slices, small
+from .common import binary_column, ship_package, slices, small
 from .op1_langid import char_classes
 from .words import mix, word_hashes
 
@@ -130,6 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, columns: list[str], target: str, p
     Texts are read whole, however long; other columns are ignored.  None if no
     labelled document is left.
     """
+    ship_package(docs.sparkSession)
     good = labels.select("doc_id", *[F.col(c).cast("int") for c in columns]).where(" and ".join(f"{c} is not null" for c in ["doc_id", *columns]))
     good = good.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in columns]).withColumn("h", F.xxhash64("doc_id"))
     counts = {r[target]: r["n"] for r in good.groupBy(target).agg(F.count("*").alias("n")).collect()}
@@ -198,6 +199,7 @@ def score(docs: DataFrame, chain: Chain | None, target: str) -> DataFrame:
     and an empty table gives no rows; without a chain all probabilities are null
     and nothing is ``target``.
     """
+    ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # SPACE weights a label
     columns = chain.labels if chain else [target]
 
