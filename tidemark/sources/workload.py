@@ -33,7 +33,9 @@ def chance(salt: int) -> Column:
 def lerp(start: Column, end: Column, position: Column, span: Column) -> Column:
     """The whole number at ``position`` of ``span`` on the way from start to end, cut towards zero."""
     wide = lambda c: c.cast("decimal(38,0)")
-    return start + F.try_divide(wide(end - start) * position, wide(span)).cast("decimal(38,6)").cast("long")
+    way = (wide(end - start) * position).cast("decimal(38,0)")
+    # a quotient is rounded to six digits, so only what divides evenly is divided
+    return start + F.try_divide((way - F.try_mod(way, wide(span))).cast("decimal(38,0)"), wide(span)).cast("long")
 
 
 def splitmix(value: Column) -> Column:
@@ -42,7 +44,8 @@ def splitmix(value: Column) -> Column:
     let = lambda c, f: F.element_at(F.transform(F.array(c.cast("decimal(38,0)")), f), 1)  # noqa: E731  an expression used twice is written once
 
     def times(d: Column, k: int) -> Column:
-        low, high = d % number(2**32), F.floor(d / number(2**32))
+        low = d % number(2**32)
+        high = ((d - low).cast("decimal(38,0)") / number(2**32)).cast("decimal(38,0)")  # divides evenly: a quotient is rounded to six digits
         cross = (low * number(k >> 32)) % number(2**32) + (high * number(k % 2**32)) % number(2**32)
         return ((cross.cast("decimal(38,0)") % number(2**32)) * number(2**32)).cast("decimal(38,0)") + (low * number(k % 2**32)).cast("decimal(38,0)")
 
