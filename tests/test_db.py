@@ -343,3 +343,25 @@ def test_cli(spark, tmp_path):
     assert run("maintain")[0].count("\t") == 4
     with pytest.raises(InvalidArgument):
         cli.parse_value("x:1")
+
+
+def test_frames_of_keys_may_exceed_the_slots_of_a_list(spark, tmp_path, monkeypatch):
+    from tidemark.scenarios import asked
+
+    monkeypatch.setattr("tidemark.plans.guards.MAX_SLOTS", 10)
+    with Db(spark, f"file://{tmp_path}/db") as db:
+        t = db.create_table([(1, 1)])
+        put(db, t, 1, *[(s, 1, U(s)) for s in range(4)])
+        db.seal()
+        put(db, t, 8, (9, 1, U(9)))  # pending streams are asked for too
+        s, keys = db.snapshot(), [(t, k, 1) for k in (0, 1, 2, 3, 9)]
+        for call in (s.aggregate, s.sample):
+            with pytest.raises(ResourceExhausted):
+                call(keys, 0, 9, 3)
+            with pytest.raises(ResourceExhausted):
+                call(asked(db, t), 0, 11, 1)
+        out = s.aggregate(asked(db, t, 2), 0, 9, 3).collect()
+        assert [(r["ord"], r["start_ts"], r["sum"]) for r in out] == [((k * 10 + 1) * 10 + i, 6 if k == 9 else 0, k) for k in (0, 1, 2, 3, 9) for i in (0, 1)]
+        assert [(r["series_id"], r["slot_ts"], r["u"]) for r in s.sample(asked(db, t), 0, 9, 3).collect()] == [(k, ts, k if ts and k < 9 else None) for k in (0, 1, 2, 3, 9) for ts in (0, 3, 6)]
+        with pytest.raises(InvalidArgument):
+            s.sample(asked(db, t).withColumn("field_id", F.col("field_id") + 1), 0, 9, 3)

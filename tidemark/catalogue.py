@@ -55,7 +55,7 @@ def _facts_sql(kind: int = UINT, nulls: bool = True) -> str:
 
 def _agg(spark, sf_dir, kind=UINT, start=START, end=END, width=DAY, repeat=1, nulls=True):
     db, table = x.events_db(spark, sf_dir), KINDS[kind] if nulls else FULL
-    out = x.named(db.snapshot().aggregate(x.keys(db, table, repeat), start, end, width), repeat)
+    out = db.snapshot().aggregate(x.asked(db, table, repeat), start, end, width)
     low, high = {UINT: ("min_u", "max_u"), SQ1: ("min_q", "max_q"), F32: ("min_f", "max_f")}[kind]
     show = (lambda c: f32_value(F.col(c)).cast("double")) if kind == F32 else (lambda c: F.col(c).cast("long"))
     return out.select(

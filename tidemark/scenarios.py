@@ -84,6 +84,12 @@ def keys(db: Db, table: int, repeat: int = 1) -> list[tuple[int, int, int]]:
     return [(table, s, f) for s, f in streams(db, table) for _ in range(repeat)]
 
 
+def asked(db: Db, table: int, repeat: int = 1) -> DataFrame:
+    """The same as a frame that never reaches the driver, with the numbers of ``named``."""
+    every = db.snapshot().streams(table).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(repeat - 1))))
+    return every.select(((F.col("series_id") * 10 + F.col("field_id")) * 10 + F.col("r")).cast("int").alias("ord"), "table_id", "series_id", "field_id")
+
+
 def named(out: DataFrame, repeat: int = 1) -> DataFrame:
     """``ord`` as a number that the stream and the repetition tell."""
     return out.withColumn("ord", ((F.col("series_id") * 10 + F.col("field_id")) * 10 + F.col("ord") % repeat).cast("int"))

@@ -12,6 +12,8 @@ from .plans.guards import check_floor, check_range, check_step, prune, slots
 from .sources import units as unit_files
 
 Key = tuple[int, int, int]
+#: A request: a list of streams, or a frame (ord, table_id, series_id, field_id) of any number of them.
+Keys = list[Key] | DataFrame
 
 
 def signed(n: int) -> int:
@@ -86,12 +88,32 @@ class Snapshot:
             self.spark.createDataFrame(fields, "table_id long, field_id int, cutoff long") if fields else None,
         )
 
+    def streams(self, table: int) -> DataFrame:
+        """(table_id, series_id, field_id) of every stream of a table that has a sealed or pending fact."""
+        self._table(table)
+        return self.facts_upto(None, None, {table}).where(F.col("table_id") == table).select(*KEY).distinct()
+
+    def _request(self, keys: Keys) -> tuple[DataFrame, set[int], int]:
+        """The request as a frame, its tables, and the number of keys that share the slot limit.
+
+        A list is held by the driver, so its keys share the limit; the keys of a
+        frame stay on executors, and each may have as many slots as the limit says.
+        """
+        if isinstance(keys, DataFrame):
+            kinds = keys.select("table_id", "field_id").distinct().collect()  # one row a field of the catalogue
+            self._check_fields((r["table_id"], r["field_id"]) for r in kinds)
+            return keys.select("ord", *KEY), {r["table_id"] for r in kinds}, 1
+        return self._keys(keys), {k[0] for k in keys}, len(keys)
+
     def _keys(self, keys: list[Key]) -> DataFrame:
-        for t, _, f in keys:
+        self._check_fields((t, f) for t, _, f in keys)
+        return self.spark.createDataFrame([(i, t, signed(s), f) for i, (t, s, f) in enumerate(keys)], KEYS)
+
+    def _check_fields(self, fields) -> None:
+        for t, f in fields:
             table = self._table(t)
             if f not in {x for x, _ in table["versions"][-1]["fields"]}:
                 raise InvalidArgument("key", f"table {t} has no field {f}")
-        return self.spark.createDataFrame([(i, t, signed(s), f) for i, (t, s, f) in enumerate(keys)], KEYS)
 
     def _table(self, table: int) -> dict:
         if str(table) not in self.state["tables"]:
@@ -114,19 +136,21 @@ class Snapshot:
         series, fields = self._retired()
         return lookup.latest(self.facts_upto(None, None, {k[0] for k in keys}), self._keys(keys), self.tables_frame(), self.versions_frame(), series, fields, self.heads(), self.ticks).orderBy("ord")
 
-    def aggregate(self, keys: list[Key], start: int, end: int, width: int) -> DataFrame:
+    def aggregate(self, keys: Keys, start: int, end: int, width: int) -> DataFrame:
         check_range(start, end, self.state["floor"])
         check_step(width, "width")
-        slots(start, end, width, len(keys))
-        out = aggregate.aggregate(self.facts(start, end, {k[0] for k in keys}), self._keys(keys), self.tables_frame(), start, end, width, fields=self.fields_frame())
+        asked, tables, sharing = self._request(keys)
+        slots(start, end, width, sharing)
+        out = aggregate.aggregate(self.facts(start, end, tables), asked, self.tables_frame(), start, end, width, fields=self.fields_frame())
         return out.orderBy("ord", "start_ts")
 
-    def sample(self, keys: list[Key], start: int, end: int, step: int) -> DataFrame:
+    def sample(self, keys: Keys, start: int, end: int, step: int) -> DataFrame:
         check_range(start, end, self.state["floor"])
         check_step(step, "step")
-        slots(start, end, step, len(keys))
+        asked, tables, sharing = self._request(keys)
+        slots(start, end, step, sharing)
         series, fields = self._retired()
-        out = sample.sample(self.facts_upto(start, end, {k[0] for k in keys}), self._keys(keys), start, end, step, len(keys), self.versions_frame(), series, fields, self.heads(), self.ticks)
+        out = sample.sample(self.facts_upto(start, end, tables), asked, start, end, step, sharing, self.versions_frame(), series, fields, self.heads(), self.ticks)
         return out.orderBy("ord", "slot_ts")
 
     def table_last_timestamp(self, table: int) -> int | None:
