@@ -127,7 +127,7 @@ def latest_table_clock(spark, sf_dir):
 
 def _sample(spark, sf_dir, table=FOREVER, step=DAY):
     db = x.events_db(spark, sf_dir)
-    out = x.named(db.snapshot().sample(x.keys(db, table), START, END, step))
+    out = db.snapshot().sample(x.asked(db, table), START, END, step)
     return out.select("ord", "series_id", "field_id", "slot_ts", "state", F.col("u").cast("long").alias("u"), "source_ts", "carried")
 
 
