@@ -366,3 +366,53 @@ def test_frames_of_keys_may_exceed_the_slots_of_a_list(spark, tmp_path, monkeypa
         assert [(r["series_id"], r["slot_ts"], r["u"]) for r in s.sample(asked(db, t), 0, 9, 3).collect()] == [(k, ts, k if ts and k < 9 else None) for k in (0, 1, 2, 3, 9) for ts in (0, 3, 6)]
         with pytest.raises(InvalidArgument):
             s.sample(asked(db, t).withColumn("field_id", F.col("field_id") + 1), 0, 9, 3)
+
+
+def test_few_facts_are_sealed_without_jobs(spark, tmp_path, monkeypatch):
+    """The files that the driver writes have the digests that executors compute, and a catalogue of many units survives."""
+    from tidemark.sources import units
+
+    monkeypatch.setattr("tidemark.sources.manifest.PART", 2)
+    root, sizes = f"file://{tmp_path}/db", []
+    with Db(spark, root) as db:
+        t = db.create_table([(1, 1), (2, 2), (3, 3)])
+        spark.sparkContext.setJobGroup("sealing", "sealing")
+        for ts in range(12):
+            put(db, t, 10 * ts - 50, (1, 1, U(2**63 - 1 - ts)), (1, 2, Value.sq1(254)), (2**64 - 3, 3, Value.f32_bits(0xFFC01234)), (2**64 - 1, 1, NULL))
+            put(db, t, 10 * ts - 49, (1, 1, U(ts)))
+            db.seal()
+            sizes.append(max(db.files.size(n) for n in db.files.list() if n.startswith("manifest-")))
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("sealing")
+        spark.sparkContext.setJobGroup("other", "other")
+        assert max(sizes) < 1.7 * sizes[2]
+        put(db, t, 1000, (1, 1, U(2**64 - 1)))  # does not fit a long, so a job writes it
+        db.seal()
+        assert db.verify() == 13
+        rows = [tuple(r) for r in db.snapshot().facts().collect()]
+        assert len(rows) == 61 and {r["u"] for r in db.snapshot().latest([(t, 1, 1)]).collect()} == {2**64 - 1}
+        some = db.state["units"][:5]
+        assert units.summaries(spark, [db.files.full(u["path"]) for u in some]) == {db.files.full(u["path"]): {k: u[k] for k in ("min_ts", "max_ts", "facts", "digest", "last_digest", "tables")} for u in some}
+        before = db.state["units"]
+    with Db(spark, root) as db:
+        assert db.state["units"] == before
+        assert sorted(tuple(r) for r in db.snapshot().facts().collect() if r["u"]) == sorted(r for r in rows if r[5])
+        db.compact(0)
+        assert len(db.state["units"]) == 1 and db.verify() == 1
+    with Db(spark, root) as db:
+        assert db.snapshot().facts().count() == 61
+        put(db, t, 2000, (1, 1, U(1)))
+        db.seal()
+        assert not db.files.list("parts")
+
+
+def test_positions_of_a_long_log(spark, tmp_path, monkeypatch):
+    """A status reads no sizes of log files again."""
+    with Db(spark, f"file://{tmp_path}/db") as db:
+        t = db.create_table([(1, 1)])
+        for ts in range(5):
+            put(db, t, ts, (1, 1, U(ts)))
+            db.sync()
+        monkeypatch.setattr(db.files, "size", lambda n: pytest.fail("read again"))
+        assert db.maintenance_status().wal_bytes > 0
+        monkeypatch.undo()
+        assert db.maintenance_status().wal_bytes == db.files.size("log")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import F32, SQ1, UINT
 from ..model import FACTS, KEY, SECTION_ROWS, STORED
+from .fs import Files
 
 #: Page format 2 packs numbers as differences; a dictionary of times would only be in the way.
 OPTIONS = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary#ts": "false"}
@@ -53,14 +57,87 @@ def summary(spark: SparkSession, path: str) -> dict:
 
     The digest is an order-free sum of hashes of all columns, of the facts and of the streams' last facts.
     """
+    return summaries(spark, [path])[path]
 
-    def digest(name):
-        rows = spark.read.schema(STORED).parquet(f"{path}/{name}")
+
+def summaries(spark: SparkSession, paths: list[str]) -> dict[str, dict]:
+    """``summary`` of many units, whose folders differ in name, by one job for facts and one for last facts."""
+
+    def digests(name):
+        rows = spark.read.schema(STORED).parquet(*[f"{p}/{name}" for p in paths])
         row = F.xxhash64(*rows.columns, *[F.col(c).isNull() for c in rows.columns]).cast("decimal(38,0)")  # hashes skip nulls
-        return rows.groupBy("table_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"), F.sum(row).alias("d")).collect()  # one row a table
+        rows = rows.select(F.regexp_extract("_metadata.file_path", f"([^/]+)/{name}/[^/]+$", 1).alias("unit"), "table_id", "ts", row.alias("d"))
+        out = {p.rsplit("/", 1)[1]: [] for p in paths}
+        for r in rows.groupBy("unit", "table_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"), F.sum("d").alias("d")).collect():  # one row a unit and table
+            out[r["unit"]].append((r["table_id"], r["a"], r["b"], r["n"], int(r["d"])))
+        return out
+
+    got, last = digests("facts"), digests("last")
+    return {p: _summed(got[n], last[n]) for p in paths for n in [p.rsplit("/", 1)[1]]}
 
-    got, last = digest("facts"), digest("last")
+
+def _summed(got: list[tuple], last: list[tuple]) -> dict:
+    """A summary from (table, first time, last time, facts, digest) of each table."""
     return {
-        "min_ts": min((r["a"] for r in got), default=None), "max_ts": max((r["b"] for r in got), default=None), "facts": sum(r["n"] for r in got),
-        "digest": str(sum(int(r["d"]) for r in got)), "last_digest": str(sum(int(r["d"]) for r in last)), "tables": {str(r["table_id"]): [r["a"], r["b"]] for r in sorted(got)},
+        "min_ts": min((a for _, a, *_ in got), default=None), "max_ts": max((b for _, _, b, *_ in got), default=None), "facts": sum(n for *_, n, _ in got),
+        "digest": str(sum(d for *_, d in got)), "last_digest": str(sum(d for *_, d in last)), "tables": {str(t): [a, b] for t, a, b, *_ in sorted(got)},
     }
+
+
+# --- few facts that the driver holds anyway: the same files and digests without a job ---
+
+P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+PARQUET = pa.schema([("table_id", pa.int64()), ("series_id", pa.int64()), ("field_id", pa.int32()), ("ts", pa.int64()), ("kind", pa.int8()), ("val", pa.int64()), ("big", pa.decimal128(20, 0))])
+
+
+def _turn(x: np.ndarray, by: int) -> np.ndarray:
+    return x << np.uint64(by) | x >> np.uint64(64 - by)
+
+
+def _hash(seed: np.ndarray, values: np.ndarray, wide: bool) -> np.ndarray:
+    """Spark's xxhash64 of a column of longs, or of ints and booleans, on top of ``seed``."""
+    v = values.astype(np.int64).view(np.uint64)
+    if wide:
+        h = _turn(seed + P5 + np.uint64(8) ^ _turn(v * P2, 31) * P1, 27) * P1 + P4
+    else:
+        h = _turn(seed + P5 + np.uint64(4) ^ (v & np.uint64(0xFFFFFFFF)) * P1, 23) * P2 + P3
+    h = (h ^ h >> np.uint64(33)) * P2
+    h = (h ^ h >> np.uint64(29)) * P3
+    return h ^ h >> np.uint64(32)
+
+
+def _digests(rows: list[tuple]) -> list[int]:
+    """The hash of each stored row, as ``summary`` has it."""
+    h = np.full(len(rows), 42, np.uint64)
+    columns = list(zip(*rows))
+    for k, column in enumerate(columns):
+        none = np.array([x is None for x in column])
+        if not none.all():
+            h = np.where(none, h, _hash(h, np.array([0 if x is None else x for x in column], np.int64), pa.types.is_int64(PARQUET.types[k])))
+    for column in columns:
+        h = _hash(h, np.array([x is None for x in column], np.int64), False)
+    return h.view(np.int64).tolist()
+
+
+def write_few(files: Files, path: str, tail: list[tuple]) -> dict | None:
+    """Writes rows of ``FACTS`` as ``write`` does and returns their summary and ``bytes``; None if a number is too large for a long."""
+    if any(r[4] == UINT and r[5] > LARGEST for r in tail):
+        return None
+    rows = sorted((*r[:5], {UINT: r[5] if r[5] is None else int(r[5]), SQ1: r[6], F32: r[7]}.get(r[4]), None) for r in tail)
+    newest = list({r[:3]: r for r in rows}.values())
+    parts, size = [], 0
+    for name, some in (("facts", rows), ("last", newest)):
+        sink = pa.BufferOutputStream()
+        table = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), PARQUET.types)], schema=PARQUET)
+        pq.write_table(table, sink, compression="zstd", data_page_version="2.0", use_dictionary=[c for c in PARQUET.names if c != "ts"])
+        data, file = sink.getvalue().to_pybytes(), f"{path}/{name}/part-00000.zstd.parquet"
+        if not files.create(file, data):  # left by a writer that died
+            files.delete(path)
+            return write_few(files, path, tail)
+        size += len(data)
+        tables: dict[int, list] = {}
+        for r, d in zip(some, _digests(some)):
+            t = tables.setdefault(r[0], [r[3], r[3], 0, 0])
+            t[:] = min(t[0], r[3]), max(t[1], r[3]), t[2] + 1, t[3] + d
+        parts.append([(k, *v) for k, v in tables.items()])
+    return {"bytes": size} | _summed(*parts)
