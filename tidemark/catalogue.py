@@ -481,7 +481,7 @@ def chunk_suffixes(spark, sf_dir):
         start = db.archive_status().durable_end
         x.append_all(db, db.create_table([(1, UINT)]), x.suppliers(spark, sf_dir))
         db.sync()
-        whole = db.export_durable(start, 4 << 20)
+        whole = ExportChunk.joined(_all_records(db, start, 4 << 20))
         out, at = [], start
         for _ in range(len(whole.records)):
             rest = whole.suffix_after(at)
