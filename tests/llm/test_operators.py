@@ -567,6 +567,17 @@ def test_recall_holds_where_buckets_stay_large(spark):
     assert found >= n * 0.998  # a perfect 0.999 leaves 8 of them
 
 
+def test_rows_of_a_split_do_not_grow_with_the_square_of_a_group(spark):
+    """A group of sets that agree in a fifth of their slots; the square of 8 times the sets is 64, the rows of one slot after another grew 26-fold."""
+    made = []
+    for n in (1500, 12000):
+        tokens = np.random.default_rng(3).integers(0, 5, (n, op8_chosen_path.SLOTS)).astype(np.uint32)
+        work = Work(spark, "t")
+        op8_chosen_path.candidate_edges(spark.createDataFrame([(i, t.tobytes()) for i, t in enumerate(tokens)], "rep long, data binary"), 0.8, 0.999, work)
+        made.append(spark.read.parquet(f"{work.root}/split-*").count())
+    assert 0 < made[1] < 20 * made[0], made
+
+
 # --- 10 ---
 
 

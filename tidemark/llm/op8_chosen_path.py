@@ -1,14 +1,14 @@
 """N-gram Jaccard join by chosen paths.
 
 A document is the set of its five-word shingles, embedded as ``SLOTS`` min-hash
-tokens.  In each run a set goes down the buckets named by tokens that a random
-function of the path so far chooses, never the same slot twice, so similar sets
-meet.  Buckets are split again until they are small, and small ones are compared by brute force on their
+tokens.  In each run a set goes to the buckets named by tokens that a random
+function chooses, so similar sets meet.  Buckets are split until they are small, and small ones are compared by brute force on their
 tokens.  In a larger bucket, sets that are alike to much of it would go on
 together for ever: they are compared with the whole bucket and leave it, the
-others are split.  So there is no deepest level.  A set chooses ``FAN`` tokens of those it
-shares with a set at the threshold, on average; with more than one, a pair's chance to stay together
-does not run out with the depth, and runs repeat until the recall asked for.
+others go on, by slots that a random function of the path chooses, never the same slot twice.
+They take as many slots at once as make the bucket small: if slots are taken one by one, what a set
+goes on by multiplies with every slot, and rows grow nearly with the square of a group of sets a
+third alike.  Taken at once, ``tuples_needed`` choices are enough for the recall asked for.
 
 Sets that met and look similar form candidate groups, in which Jaccard
 similarity is computed exactly from the whole sets, in blocks.  In a group of
@@ -34,11 +34,11 @@ from .words import mix, shingles
 SLOTS = 64
 #: A bucket of at most so many sets is compared by brute force at once.
 SMALL = 256
-#: Tokens of those shared with a set at the threshold that a set goes on by, on average.
+#: Tokens of those shared with a set at the threshold that a set starts by in a run, on average.
 FAN = 1.8
-#: Levels for which the recall is computed; by then buckets of 10^10 sets are small, each less than DENSE of the one before.
-LEVELS = 20
-#: A set that agrees with a bucket in this part of its slots on average is compared with all of it; the buckets of others shrink to less than that.
+#: Most slots taken at once; a bucket that needs more is split again.
+DEPTH = 4
+#: A set that agrees with a bucket in this part of its slots on average is compared with all of it; the buckets of others shrink to less than that with each slot.
 DENSE = 0.35
 #: Sets of a block in a brute-force comparison.
 BLOCK = 1024
@@ -46,6 +46,8 @@ BLOCK = 1024
 LOOK = 256
 #: Part of the pairs that may be lost whose sketches may look too different.
 LOST_BY_SKETCH = 0.1
+#: Part of the pairs that may be lost that start in no bucket together.
+LOST_AT_START = 0.01
 
 
 def agreeing(threshold: float) -> list[float]:
@@ -69,29 +71,43 @@ def chance(threshold: float) -> float:
     return min(1.0, FAN / (threshold * SLOTS))
 
 
-def missed(runs: int, recall: float, threshold: float) -> float:
+def missed(runs: int, recall: float, threshold: float, depth: int = 0, tuples: int = 0, rounds: int = 0) -> float:
     """Share of the pairs at the threshold that are not found in ``runs`` runs.
 
-    A pair goes on together by each slot in which its sketches agree and which its
-    path has not used; buckets may be too large to compare at all ``LEVELS``.
+    A pair starts together by each chosen slot in which its sketches agree.  In each of
+    ``rounds`` rounds its bucket is too large to compare, and the pair goes on together by each of ``tuples``
+    choices of ``depth`` slots, of those that its path has not used, in all of which its sketches agree.
     """
     step, least, out = chance(threshold), least_slots(recall, threshold), 0.0
     for m, share in enumerate(agreeing(threshold)):
         once = 1.0
-        for level in reversed(range(LEVELS)):
-            once = 1 - (1 - step * once) ** max(0, m - level)
-        out += share * ((1 - once) ** runs if m >= least else 1.0)
+        for used in reversed([1 + depth * r for r in range(rounds)]):
+            once = 1 - (1 - math.comb(max(0, m - used), depth) / math.comb(SLOTS - used, depth) * once) ** tuples
+        out += share * ((1 - step * once) ** (m * runs) if m >= least else 1.0)
     return out
 
 
 def runs_needed(recall: float, threshold: float) -> int:
-    """Runs after which a pair at the threshold is found with probability ``recall``, however large the buckets."""
-    runs = 1
-    while missed(runs, recall, threshold) > 1 - recall:
+    """Runs after which nearly all pairs at the threshold with similar sketches have started together."""
+    runs, lost = 1, sum(agreeing(threshold)[: least_slots(recall, threshold)])
+    while missed(runs, recall, threshold) - lost > LOST_AT_START * (1 - recall):
         runs += 1
     return runs
 
 
+def depth_of(m: int, small: int) -> int:
+    """Slots after which a bucket of m sets is about small, if it shrinks to DENSE with each."""
+    return max(1, round(math.log(max(m, 1) / small) / -math.log(DENSE)))
+
+
+def tuples_needed(depth: int, rounds: int, recall: float, threshold: float) -> int:
+    """Choices of ``depth`` slots a round with which a pair at the threshold is found with probability ``recall``."""
+    tuples, runs = 1, runs_needed(recall, threshold)
+    while missed(runs, recall, threshold, depth, tuples, rounds) > 1 - recall:
+        tuples += 1
+    return tuples
+
+
 def sketch(docs: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """n x SLOTS 32-bit min-hashes; documents must be in order and have a shingle each to get one."""
     rng = np.random.default_rng(11)
@@ -104,14 +120,27 @@ def sketch(docs: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def choose(tokens: np.ndarray, path: np.ndarray, used: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, longer path, slots used by it) for every chosen token of every row."""
+def choose(tokens: np.ndarray, run: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, path, slots used by it) for every token by which a row starts in a run."""
     slot = np.arange(SLOTS, dtype=np.uint64)
-    h = mix(mix(path.astype(np.uint64))[:, None] + (tokens.astype(np.uint64) | slot << np.uint64(32)))
-    bit = np.uint64(1) << slot
-    fresh = (used.view(np.uint64)[:, None] & bit) == 0
-    row, col = np.nonzero(fresh & (mix(h + np.uint64(1)) <= np.uint64(min((1 << 64) - 1, int(2.0**64 * chance(threshold))))))
-    return row, h[row, col].view(np.int64), (used.view(np.uint64)[row] | bit[col]).view(np.int64)
+    h = mix(mix(np.array([run], np.uint64)) + (tokens.astype(np.uint64) | slot << np.uint64(32)))
+    row, col = np.nonzero(mix(h + np.uint64(1)) <= np.uint64(min((1 << 64) - 1, int(2.0**64 * chance(threshold)))))
+    return row, h[row, col].view(np.int64), (np.uint64(1) << slot[col]).view(np.int64)
+
+
+def go_on(tokens: np.ndarray, path: int, used: int, depth: int, tuples: int) -> tuple[np.ndarray, np.ndarray]:
+    """(longer paths, slots used by them) of the rows of one bucket, ``tuples`` x rows; each takes ``depth`` slots, or all that are left."""
+    seed, slot = np.array([path], np.int64).view(np.uint64), np.arange(SLOTS, dtype=np.uint64)
+    free = np.flatnonzero([not used >> j & 1 for j in range(SLOTS)])
+    paths, after = np.zeros((tuples if len(free) else 0, len(tokens)), np.int64), np.zeros((tuples if len(free) else 0, len(tokens)), np.int64)
+    for k in range(len(paths)):
+        h = mix(seed + np.uint64(2 * k + 1))
+        taken = np.sort(free[np.argsort(mix(h + slot[free]), kind="stable")[:depth]])
+        bits = np.bitwise_or.reduce(np.uint64(1) << slot[taken])
+        for j in taken:
+            h = mix(h + (tokens[:, j].astype(np.uint64) | slot[j] << np.uint64(32)))
+        paths[k], after[k] = h.view(np.int64), np.array([used], np.int64) | bits.view(np.int64)
+    return paths, after
 
 
 def sets_of(docs: DataFrame, id_col: str, text_col: str, width: int, with_sketch: bool) -> DataFrame:
@@ -213,8 +242,8 @@ def _met_rows(batches, low: float):
             yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(other.astype(np.int32))], names=["rep", "other"])
 
 
-def _split_rows(batches, threshold: float):
-    """Of each block (path, side, rep, data, m, used) of a large bucket: (rep, path, dense, null, m, 0), and (rep, path, false, longer path, m, used) for sets that go on."""
+def _split_rows(batches, tuples: list[int], small: int):
+    """Of each block (path, side, rep, data, m, used) of a large bucket: (rep, path, true, null, m, 0) for dense sets, and (rep, path, false, longer path, m, used) for others, which go on."""
     for g in grouped(batches, 2):
         tokens, m, whole = _sketches(g.column(3)), g.num_rows, g.column(4)[0].as_py()
         agree = np.zeros(m)
@@ -222,12 +251,13 @@ def _split_rows(batches, threshold: float):
             _, which, count = np.unique(tokens[:, c], return_inverse=True, return_counts=True)
             agree += count[which]
         dense = agree / (SLOTS * m) >= DENSE
-        path, rep = g.column(0).to_numpy(), g.column(2).to_numpy()
-        row, child, used = choose(tokens[~dense], path[~dense], g.column(5).to_numpy()[~dense], threshold)
-        row = np.flatnonzero(~dense)[row]
+        path, rep = g.column(0)[0].as_py(), g.column(2).to_numpy()
+        depth = min(depth_of(whole, small), len(tuples))
+        child, used = go_on(tokens[~dense], path, g.column(5)[0].as_py(), depth, tuples[depth - 1])
+        n, stay = child.size, int(dense.sum())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([rep, rep[row]])), pa.array(np.concatenate([path, path[row]])), pa.array(np.concatenate([dense, np.zeros(len(row), bool)])),
-             pa.array(np.concatenate([np.zeros(m, np.int64), child]), mask=np.arange(m + len(row)) < m), pa.array(np.full(m + len(row), whole)), pa.array(np.concatenate([np.zeros(m, np.int64), used]))],
+            [pa.array(np.concatenate([rep[dense], np.tile(rep[~dense], len(child))])), pa.array(np.full(stay + n, path)), pa.array(np.arange(stay + n) < stay),
+             pa.array(np.concatenate([np.zeros(stay, np.int64), child.ravel()]), mask=np.arange(stay + n) < stay), pa.array(np.full(stay + n, whole)), pa.array(np.concatenate([np.zeros(stay, np.int64), used.ravel()]))],
             names=["rep", "path", "dense", "child", "m", "used"],
         )
 
@@ -242,24 +272,29 @@ def candidate_edges(sets: DataFrame, threshold: float, recall: float, work: Work
             if b.num_rows:
                 ids, tokens = b.column(0).to_numpy(), _sketches(b.column(1))
                 for r in range(runs):
-                    row, path, used = choose(tokens, np.full(len(ids), r + 1), np.zeros(len(ids), np.int64), threshold)
+                    row, path, used = choose(tokens, r + 1, threshold)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(path), pa.array(used)], names=["rep", "path", "used"])
 
-    sketches, edges, compared, level = sets.select("rep", "data"), [], [], 0
+    sketches, edges, compared, level, tuples, small = sets.select("rep", "data"), [], [], 0, None, SMALL
     rows = sketches.mapInArrow(start, "rep long, path long, used long")
     while True:
         rows = work.save(rows, f"paths-{level}")
         sizes = work.save(rows.groupBy("path").agg(F.count("*").alias("m")).where("m > 1"), f"sizes-{level}")
         largest, total = sizes.agg(F.max("m"), F.sum("m")).first()
-        more, total = (largest or 0) > SMALL, total or 0
+        more, total = (largest or 0) > small, total or 0
         placed = work.save(rows.join(sizes, "path"), f"placed-{level}", tasks(total))  # written tables: hot paths are split at run time
-        few = placed.where(F.col("m") <= SMALL).select("rep", "path", F.lit(True).alias("dense"), "m")
+        few = placed.where(F.col("m") <= small).select("rep", "path", F.lit(True).alias("dense"), "m")
         if more:
-            many = placed.where(F.col("m") > SMALL).withColumn("side", F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / LOOK)).cast("int"))
+            many = placed.where(F.col("m") > small).withColumn("side", F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / LOOK)).cast("int"))
+            if tuples is None:  # a round more than buckets need on average
+                rounds = math.ceil(depth_of(largest, small) / DEPTH) + 1
+                tuples = [tuples_needed(d + 1, rounds, recall, threshold) for d in range(DEPTH)]
             many = many.join(sketches, "rep").select("path", "side", "rep", "data", "m", "used").repartition("path", "side").sortWithinPartitions("path", "side")
-            split = work.save(many.mapInArrow(lambda it: _split_rows(it, threshold), "rep long, path long, dense boolean, child long, m long, used long"), f"split-{level}", tasks(total, 1000))
-            own = split.where("child is null").select("rep", "path", "dense", "m")
-            few = few.unionByName(own.join(split.where("dense").select("path").distinct(), "path", "left_semi"))
+            split = work.save(many.mapInArrow(lambda it: _split_rows(it, tuples, small), "rep long, path long, dense boolean, child long, m long, used long"), f"split-{level}", tasks(total, 1000))
+            dense = split.where("dense").select("rep", "path", "dense")
+            whole = placed.where(F.col("m") > small).select("rep", "path", "m").join(dense.select("path").distinct(), "path", "left_semi")
+            whole = whole.join(dense, ["rep", "path"], "left").select("rep", "path", F.coalesce("dense", F.lit(False)).alias("dense"), "m")
+            few = few.unionByName(work.save(whole, f"whole-{level}", tasks(total)))
         compared.append(few)
         edges.append(work.save(_blocks(few, sketches).mapInArrow(lambda it: _forest_rows(it, low), "src long, dst long"), f"edges-{level}", tasks(total, 1000)))
         if not more:
