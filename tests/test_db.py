@@ -416,3 +416,22 @@ def test_positions_of_a_long_log(spark, tmp_path, monkeypatch):
         assert db.maintenance_status().wal_bytes > 0
         monkeypatch.undo()
         assert db.maintenance_status().wal_bytes == db.files.size("log")
+
+
+def test_units_have_no_limit(spark, tmp_path):
+    """Above the baseline's 8,192 live units seals go on, and all units are there when the database is opened again."""
+    root = f"file://{tmp_path}/db"
+    with Db(spark, root) as db:
+        t = db.create_table([(1, 1)])
+        put(db, t, 0, (1, 1, U(1)))
+        db.seal()
+        one = db.state["units"][0]  # rows of a catalogue alone: their files are not read here
+        db.state["units"] += [one | {"id": k, "path": f"units/unit-{k:012d}-g{k}", "min_ts": k, "max_ts": k, "tables": {str(t): [k, k]}} for k in range(2, 8193)]
+        db.state["next_unit"] = 8193
+        for ts in (9000, 9001):
+            put(db, t, ts, (1, 1, U(1)))
+            assert db.seal().unit_id == ts - 807
+        before = db.state["units"]
+    with Db(spark, root) as db:
+        assert db.state["units"] == before and len(before) == 8194
+        assert db.maintenance_status().level_units == [8194, 0, 0] and db.snapshot().facts(9000).count() == 2

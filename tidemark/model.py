@@ -16,7 +16,6 @@ VALUE = ["kind", "u", "q", "f"]
 
 #: Limits on one request and on catalogue objects.
 MAX_SLOTS = 1_048_576
-MAX_LIVE_UNITS = 8_192
 SECTION_ROWS = 65_536
 TAIL_LIMIT = 64 << 20
 MAX_SEAL_MEMORY, MAX_DIRECTORY_CACHE = 256 << 20, 16 << 20
