@@ -435,3 +435,27 @@ def test_units_have_no_limit(spark, tmp_path):
     with Db(spark, root) as db:
         assert db.state["units"] == before and len(before) == 8194
         assert db.maintenance_status().level_units == [8194, 0, 0] and db.snapshot().facts(9000).count() == 2
+
+
+def test_many_units_are_listed_by_few_tasks(spark, tmp_path):
+    """Compaction, and a view held over it, read many units without a task for each of their folders."""
+    setting, tracker = "spark.sql.sources.parallelPartitionDiscovery.parallelism", spark.sparkContext.statusTracker()
+    told, few = spark.conf.get(setting), 4 * spark.sparkContext.defaultParallelism
+    with Db(spark, f"file://{tmp_path}/db") as db:
+        t = db.create_table([(1, 1)])
+        for ts in range(3 * few):
+            put(db, t, ts, (ts % 5, 1, U(ts)))
+            db.seal()
+        spark.sparkContext.setJobGroup("listing", "listing")
+        view = db.snapshot()
+        assert db.compact(0).input_units == 3 * few and db.verify() == 1
+        assert sorted(int(r["u"]) for r in view.facts().collect()) == sorted(int(r["u"]) for r in db.snapshot().facts().collect()) == list(range(3 * few))
+        assert len(db.files.list("units")) == 3 * few + 1
+        stages = [s for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+        spark.sparkContext.setJobGroup("other", "other")
+        assert stages and max(tracker.getStageInfo(s).numTasks for s in stages) <= few
+        assert spark.conf.get(setting) == told
+        del view
+        db._cached = None
+        db._collect()
+        assert len(db.files.list("units")) == 1

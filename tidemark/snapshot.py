@@ -48,8 +48,8 @@ class Snapshot:
     def facts_upto(self, t: int | None, high: int | None = None, tables: set[int] | None = None) -> DataFrame:
         """What lookups at t or later need: of units that end at t or before only each stream's last fact, the rest up to ``high`` whole."""
         some = prune(self.state["units"], None, high if high is not None else (None if t is None else t + 1), tables)
-        ended = [u for u in some if t is None or u["max_ts"] <= t]
-        return self._union([u for u in some if u not in ended], ended)
+        ends = lambda u: t is None or u["max_ts"] <= t
+        return self._union([u for u in some if not ends(u)], [u for u in some if ends(u)])
 
     def _union(self, whole: list[dict], ended: list[dict]) -> DataFrame:
         live = [int(t) for t in self.state["tables"]]

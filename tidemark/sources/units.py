@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -34,8 +36,26 @@ def shown(rows: DataFrame) -> DataFrame:
     )
 
 
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+_listing = threading.Lock()
+
+
+def _open(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Stored rows of folders.  Spark lists many folders by a job of a task each; here a task lists its share of them."""
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    if len(paths) <= tasks:
+        return spark.read.schema(STORED).parquet(*paths)
+    with _listing:
+        before = spark.conf.get(LISTING, None)
+        spark.conf.set(LISTING, tasks)
+        try:
+            return spark.read.schema(STORED).parquet(*paths)
+        finally:
+            spark.conf.set(LISTING, before) if before is not None else spark.conf.unset(LISTING)
+
+
 def read(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return shown(spark.read.schema(STORED).parquet(*paths)) if paths else spark.createDataFrame([], FACTS)
+    return shown(_open(spark, paths)) if paths else spark.createDataFrame([], FACTS)
 
 
 def write(facts: DataFrame, path: str) -> None:
@@ -64,7 +84,7 @@ def summaries(spark: SparkSession, paths: list[str]) -> dict[str, dict]:
     """``summary`` of many units, whose folders differ in name, by one job for facts and one for last facts."""
 
     def digests(name):
-        rows = spark.read.schema(STORED).parquet(*[f"{p}/{name}" for p in paths])
+        rows = _open(spark, [f"{p}/{name}" for p in paths])
         row = F.xxhash64(*rows.columns, *[F.col(c).isNull() for c in rows.columns]).cast("decimal(38,0)")  # hashes skip nulls
         rows = rows.select(F.regexp_extract("_metadata.file_path", f"([^/]+)/{name}/[^/]+$", 1).alias("unit"), "table_id", "ts", row.alias("d"))
         out = {p.rsplit("/", 1)[1]: [] for p in paths}
